@@ -5,11 +5,16 @@ bytes; every byte outside ASCII counts as a consonant.
 """
 
 import re
+import sys
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+# Executors receive these functions with the job and need no installed package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # Suffix -> replacement per step, applied to the longest match.
 STEP2 = {
     "ational": "ate", "tional": "tion", "enci": "ence", "anci": "ance", "izer": "ize",

@@ -85,9 +85,10 @@ class TextIndex:
     postings: DataFrame
     lengths: DataFrame
 
-    def stats(self):
-        return self.lengths.agg(F.count("*").alias("n_docs"),
-                                F.avg("n_tokens").alias("avg_tokens"))
+    def totals(self):
+        """Struct column (n_docs, avg_tokens) from one scalar subquery."""
+        return self.lengths.agg(F.struct(
+            F.count("*").alias("n_docs"), F.avg("n_tokens").alias("avg_tokens"))).scalar()
 
 
 def doc_lengths(docs):
@@ -135,10 +136,10 @@ def build_index(docs, stemmed=True):
 
 def term_stats(index):
     """Document frequency per term with the corpus totals."""
-    stats = index.stats()
+    totals = index.totals()
     return (index.postings.groupBy("term").agg(F.count("*").alias("df"))
-            .withColumn("n_docs", stats.select("n_docs").scalar())
-            .withColumn("avg_tokens", stats.select("avg_tokens").scalar()))
+            .withColumn("n_docs", totals["n_docs"])
+            .withColumn("avg_tokens", totals["avg_tokens"]))
 
 
 def add_documents(index, docs, stemmed=True):
@@ -267,13 +268,11 @@ def rank(index, query):
     """Matching documents with ``bm25_rank``."""
     hits = phrase_hits(index, query)
     names = [f"h{i}" for i in range(len(query.phrases))]
-    found = hits.agg(*[F.count_if(F.size(n) > 0).alias(n) for n in names])
-    stats = index.stats()
-    n_docs = stats.select("n_docs").scalar()
-    avg = stats.select("avg_tokens").scalar()
+    found = hits.agg(F.struct(*[F.count_if(F.size(n) > 0).alias(n) for n in names])).scalar()
+    totals = index.totals()
     score = reduce(lambda a, b: a + b, [
-        _term_score(_idf(n_docs, found.select(n).scalar()), F.size(n).cast("double"),
-                    F.col("n_tokens"), avg) for n in names])
+        _term_score(_idf(totals["n_docs"], found[n]), F.size(n).cast("double"),
+                    F.col("n_tokens"), totals["avg_tokens"]) for n in names])
     return match(index, query).withColumn("bm25_rank", -score)
 
 
@@ -289,75 +288,92 @@ def search(events, index, query, limit=None):
     return events.join(top, "id")
 
 
-def snippet(content, hits):
-    """Excerpt of ``SNIPPET_TOKENS`` tokens around the best group of hits.
+def with_snippet(df, n_phrases, name="snippet_text"):
+    """Add the excerpt of ``content`` around its best group of ``hits``.
 
     ``hits`` is an array of (pos, phrase, size) in position order. A window's
-    score counts distinct phrases first, then repeats; it may begin at a hit
-    (centred) or at the sentence that holds the hit.
+    score counts distinct phrases first, then repeats; it begins at a hit
+    (then centred) or at the sentence that holds the hit. Each step is its own
+    projection, so no array is built more than once per row.
     """
     piece_re = f"[^{ANYCASE}]*[{ANYCASE}]+|[^{ANYCASE}]+"
-    pieces = F.regexp_extract_all(content, F.lit(piece_re), F.lit(0))
-    has_token = lambda p: F.regexp_like(p, F.lit(f"[{ANYCASE}]"))
-    n = F.size(F.filter(pieces, has_token))
-    starts_sentence = F.filter(
-        F.transform(pieces, lambda p, i: F.when(
-            (i == 0) | F.regexp_like(p, F.lit(rf"^[^{ANYCASE}]*[.:][ \t\n\r]+[{ANYCASE}]")), i)),
-        lambda i: i.isNotNull())
-
-    def score(start):
-        inside = F.filter(hits, lambda h: (h["pos"] >= start) & (h["pos"] < start + SNIPPET_TOKENS))
+    sentence_re = rf"^[^{ANYCASE}]*[.:][ \t\n\r]+[{ANYCASE}]"
+    near = SNIPPET_TOKENS * n_phrases
+
+    def scored(inside):
         kinds = F.size(F.array_distinct(F.transform(inside, lambda h: h["phrase"])))
         return kinds * NEW_PHRASE + (F.size(inside) - kinds) * REPEAT_PHRASE
 
-    def last_end(start):
-        inside = F.filter(hits, lambda h: (h["pos"] >= start) & (h["pos"] < start + SNIPPET_TOKENS))
-        return F.element_at(F.transform(inside, lambda h: h["pos"] + h["size"]), -1)
-
-    def centred(pos):
-        slack = F.lit(SNIPPET_TOKENS) - (last_end(pos) - pos)
-        back = F.when(slack >= 0, F.floor(slack / 2)).otherwise(F.ceil(slack / 2)).cast("int")
-        start = pos - back
-        return F.greatest(F.lit(0), F.when(
-            start + SNIPPET_TOKENS > n, n - SNIPPET_TOKENS).otherwise(start))
-
-    at_hits = F.transform(hits, lambda h, i: F.struct(
-        score(h["pos"]).alias("score"), (-(i * 2)).alias("order"),
-        centred(h["pos"]).alias("start")))
-
-    def sentence_of(pos):
-        return F.array_max(F.filter(starts_sentence, lambda s: s <= pos))
-
-    at_sentences = F.filter(F.transform(hits, lambda h, i: F.when(
-        (n > SNIPPET_TOKENS) & (sentence_of(h["pos"]) < h["pos"]), F.struct(
-            (score(sentence_of(h["pos"])) + F.when(
-                sentence_of(h["pos"]) == 0, TEXT_START_BONUS).otherwise(SENTENCE_BONUS)
-             ).alias("score"),
-            (-(i * 2 + 1)).alias("order"), sentence_of(h["pos"]).alias("start")))),
-        lambda x: x.isNotNull())
-    best = F.array_max(F.concat(at_hits, at_sentences))
-    start = F.coalesce(best["start"], F.lit(0))
-    stop = start + SNIPPET_TOKENS
-
-    covered = lambda i: F.exists(hits, lambda h: (i >= h["pos"]) & (i < h["pos"] + h["size"]))
-    # Overlapping hits of several words are marked as one.
-    joins_left = lambda i: F.exists(hits, lambda h: (i > h["pos"]) & (i < h["pos"] + h["size"]))
-
-    def shown(p, i):
+    def within(h, start):
+        return (h["pos"] >= start) & (h["pos"] < start + SNIPPET_TOKENS)
+
+    def centred(pos, inside):
+        last = F.element_at(inside, -1)
+        slack = F.lit(SNIPPET_TOKENS) - (last["pos"] + last["size"] - pos)
+        start = pos - F.when(slack >= 0, F.floor(slack / 2)).otherwise(F.ceil(slack / 2)).cast("int")
+        return F.greatest(F.lit(0), F.least(start, F.col("__n") - SNIPPET_TOKENS))
+
+    # Pieces are tokens with the text before them; a last piece may hold no token.
+    df = df.withColumn("__pieces", F.regexp_extract_all("content", F.lit(piece_re), F.lit(0)))
+    df = df.withColumn("__n", F.size("__pieces") - F.when(
+        F.regexp_like(F.element_at(F.col("__pieces"), -1), F.lit(f"[{ANYCASE}]")), 0).otherwise(1))
+    df = df.withColumn("__sentences", F.filter(F.transform("__pieces", lambda p, i: F.when(
+        (i == 0) | F.regexp_like(p, F.lit(sentence_re)), i)), lambda i: i.isNotNull()))
+    df = df.withColumn("__at_hits", F.transform("hits", lambda h, i: F.struct(
+        h["pos"].alias("pos"),
+        F.filter(F.slice(F.col("hits"), i + 1, F.lit(near)), lambda x: within(x, h["pos"]))
+        .alias("inside"))))
+    df = df.withColumn("__sentence_of", F.transform("hits", lambda h: F.struct(
+        h["pos"].alias("pos"),
+        F.array_max(F.filter("__sentences", lambda s: s <= h["pos"])).alias("first"))))
+    # A hit that opens its sentence is centred only.
+    df = df.withColumn("__sentence_of", F.when(
+        F.col("__n") > SNIPPET_TOKENS, F.array_distinct(F.transform(
+            F.filter("__sentence_of", lambda x: x["first"] < x["pos"]), lambda x: x["first"])))
+        .otherwise(F.array().cast("array<int>")))
+    df = df.withColumn("__at_sentences", F.transform("__sentence_of", lambda s: F.struct(
+        s.alias("pos"), F.filter("hits", lambda h: within(h, s)).alias("inside"))))
+    best = F.array_max(F.concat(
+        F.transform("__at_hits", lambda w: F.struct(
+            scored(w["inside"]).alias("score"), (-w["pos"]).alias("order"),
+            centred(w["pos"], w["inside"]).alias("start"))),
+        F.transform(F.filter("__at_sentences", lambda w: F.size(w["inside"]) > 0), lambda w: F.struct(
+            (scored(w["inside"]) + F.when(w["pos"] == 0, TEXT_START_BONUS).otherwise(
+                SENTENCE_BONUS)).alias("score"), (-w["pos"]).alias("order"),
+            w["pos"].alias("start")))))
+    df = df.withColumn("__best", best)
+    df = df.withColumn("__start", F.coalesce(F.col("__best")["start"], F.lit(0)))
+
+    start, stop = F.col("__start"), F.col("__start") + SNIPPET_TOKENS
+    # Hits that reach into the window; overlapping ones are marked as one.
+    df = df.withColumn("__marks", F.filter(
+        "hits", lambda h: (h["pos"] + h["size"] > start) & (h["pos"] < stop)))
+    df = df.withColumn("__window", F.slice(
+        F.col("__pieces"), start + 1, F.least(F.lit(SNIPPET_TOKENS), F.col("__n") - start)))
+
+    def covered(i):
+        return F.exists("__marks", lambda h: (i >= h["pos"]) & (i < h["pos"] + h["size"]))
+
+    def goes_on(i):
+        return F.exists("__marks", lambda h: (i > h["pos"]) & (i < h["pos"] + h["size"]))
+
+    def shown(p, k):
+        i = k + start
         head = F.regexp_extract(p, f"^([^{ANYCASE}]*)", 1)
-        word = F.substr(p, F.length(head) + 1)
-        head = F.when((i == start) & (start > 0), F.lit("")).otherwise(head)
-        opened = covered(i) & ((i == start) | ~joins_left(i))
-        closed = covered(i) & ((i == stop - 1) | ~joins_left(i + 1))
-        return F.concat(head, F.when(opened, MARK_OPEN).otherwise(""), word,
-                        F.when(closed, MARK_CLOSE).otherwise(""))
-
-    window = F.filter(F.transform(pieces, lambda p, i: F.when(
-        (i >= start) & (i < stop) & has_token(p), shown(p, i))), lambda x: x.isNotNull())
-    tail = F.when(stop < n, F.lit(ELLIPSIS)).when(
-        F.size(pieces) > n, F.element_at(pieces, -1)).otherwise(F.lit(""))
-    return F.concat(F.when(start > 0, F.lit(ELLIPSIS)).otherwise(F.lit("")),
-                    F.array_join(window, ""), tail)
+        opened = covered(i) & ((k == 0) | ~goes_on(i))
+        closed = covered(i) & ((i == stop - 1) | ~goes_on(i + 1))
+        return F.concat(
+            F.when((k == 0) & (start > 0), F.lit("")).otherwise(head),
+            F.when(opened, MARK_OPEN).otherwise(""), F.substr(p, F.length(head) + 1),
+            F.when(closed, MARK_CLOSE).otherwise(""))
+
+    tail = (F.when(stop < F.col("__n"), F.lit(ELLIPSIS))
+            .when(F.size("__pieces") > F.col("__n"), F.element_at("__pieces", -1))
+            .otherwise(F.lit("")))
+    text = F.concat(F.when(start > 0, F.lit(ELLIPSIS)).otherwise(F.lit("")),
+                    F.array_join(F.transform("__window", shown), ""), tail)
+    kept = [c for c in df.columns if not c.startswith("__")]
+    return df.select(*kept, text.alias(name))
 
 
 def _content_hits(number, size):
@@ -376,8 +392,8 @@ def search_snippets(events, index, query, limit=None):
     hits = F.array_sort(F.concat(*[
         _content_hits(i, len(ph.terms)) for i, ph in enumerate(query.phrases)]))
     marked = top.select("id", "bm25_rank", hits.alias("hits"))
-    return events.select(*fields, "content").join(marked, "id").select(
-        *fields, snippet(F.col("content"), F.col("hits")).alias("snippet_text"), "bm25_rank")
+    found = events.select(*fields, "content").join(marked, "id")
+    return with_snippet(found, len(query.phrases)).select(*fields, "snippet_text", "bm25_rank")
 
 
 def search_text(snippets, text):
@@ -426,11 +442,10 @@ def search_batch(index, queries, limit=None):
         ["term"], salt_on=["id"]).select("key", "id", "n_terms")
     wanted = salted_lookup(candidates, needs, ["key"], salt_on=["id"])
 
-    stats = index.stats()
-    n_docs = stats.select("n_docs").scalar()
-    avg = stats.select("avg_tokens").scalar()
+    totals = index.totals()
     score = F.col("weight") * _term_score(
-        _idf(n_docs, F.col("df")), F.col("tf").cast("double"), F.col("n_tokens"), avg)
+        _idf(totals["n_docs"], F.col("df")), F.col("tf").cast("double"), F.col("n_tokens"),
+        totals["avg_tokens"])
     scored = (wanted.join(slim, ["term", "id"])
               .groupBy("key", "id", "n_terms")
               .agg((-F.sum(score)).alias("bm25_rank"), F.count("*").alias("n_found"))

@@ -151,8 +151,8 @@ def requests(spark, sf_dir):
     named = F.when(F.col("n") % 11 == 0, F.substring_index("label", " ", 1)).when(
         F.col("n") % 2 == 0, alias[F.col("source")]).otherwise(F.col("source"))
     return e.withColumn("source", named).select(F.to_json(F.struct(
-        "id", "timestamp", "source", "label", "content", "metadata", "git_repo", "task_id",
-    )).alias("value"))
+        "id", "timestamp", "source", "label", "content", "metadata", "git_repo", "task_id"),
+        {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}).alias("value"))
 
 
 def uuid_of(c):
