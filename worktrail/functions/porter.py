@@ -115,4 +115,10 @@ def _stem_series(terms: pd.Series) -> pd.Series:
 
 
 def stem_terms(c):
-    return F.pandas_udf(_stem_series, T.StringType())(c)
+    """Stems of a vocabulary column.
+
+    Marked non-deterministic only so that the optimizer does not copy filters
+    on the stem below the vocabulary's distinct, where every token would pass
+    through Python.
+    """
+    return F.pandas_udf(_stem_series, T.StringType()).asNondeterministic()(c)

@@ -11,6 +11,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.utils import AnalysisException
 
 from worktrail import schema as S
 from worktrail.functions import porter, times
@@ -164,27 +165,51 @@ def _bucket(term):
     return F.pmod(F.xxhash64(term), F.lit(TERM_BUCKETS)).cast("int")
 
 
-def write_postings(rows, path, mode="append", spread=8):
-    """Postings by term bucket, sorted by term inside the files.
-
-    ``spread`` writers share a bucket, so a term found in every document does
-    not land in one task.
-    """
-    (rows.withColumn("term_bucket", _bucket(F.col("term")))
-     .withColumn("__part", F.pmod(F.xxhash64("id"), F.lit(spread)))
-     .repartition("term_bucket", "__part").drop("__part")
-     .sortWithinPartitions("term_bucket", "term", "id")
-     .write.mode(mode).partitionBy("term_bucket").parquet(path))
-
-
-def save_index(index, path, mode="overwrite"):
-    write_postings(index.postings, f"{path}/postings", mode)
-    index.lengths.write.mode(mode).parquet(f"{path}/lengths")
-
-
-def load_index(spark, path):
-    return TextIndex(spark.read.parquet(f"{path}/postings"),
-                     spark.read.parquet(f"{path}/lengths"))
+def _clustered(rows, spread):
+    """Sorted by term within files; ``spread`` writers share a term bucket, so a
+    term found in every document does not land in one task."""
+    return (rows.withColumn("term_bucket", _bucket(F.col("term")))
+            .withColumn("__part", F.pmod(F.xxhash64("id"), F.lit(spread)))
+            .repartition("term_bucket", "__part").drop("__part")
+            .sortWithinPartitions("term_bucket", "term", "id"))
+
+
+def save_index(index, path, spread=8):
+    """Write a compacted index: postings partitioned by term bucket."""
+    (_clustered(index.postings.drop("term_bucket"), spread)
+     .write.mode("overwrite").partitionBy("term_bucket").parquet(f"{path}/base/postings"))
+    index.lengths.write.mode("overwrite").parquet(f"{path}/base/lengths")
+
+
+def append_batch(index, path, batch_id):
+    """Write one batch's postings; repeating a batch replaces its own files."""
+    index.postings.withColumn("term_bucket", _bucket(F.col("term"))).sortWithinPartitions(
+        "term_bucket", "term", "id").write.mode("overwrite").parquet(
+        f"{path}/batches/postings/batch_id={batch_id}")
+    index.lengths.write.mode("overwrite").parquet(
+        f"{path}/batches/lengths/batch_id={batch_id}")
+
+
+def load_index(spark, path, but_batch=None):
+    """The compacted index with the batches written since."""
+    def read(name, schema):
+        parts = []
+        for kind in ("base", "batches"):
+            try:
+                df = spark.read.parquet(f"{path}/{kind}/{name}")
+            except AnalysisException:  # nothing written there yet
+                continue
+            if "batch_id" in df.columns:
+                df = (df if but_batch is None else df.filter(F.col("batch_id") != but_batch))
+                df = df.drop("batch_id")
+            parts.append(df)
+        empty = spark.createDataFrame([], schema)
+        return reduce(lambda a, b: a.unionByName(b), parts) if parts else empty
+
+    return TextIndex(
+        read("postings", "term string, id string, n_tokens int, tf int, "
+                         "places array<struct<col:int,pos:int>>, term_bucket int"),
+        read("lengths", "id string, n_tokens int"))
 
 
 # --- one query ---------------------------------------------------------------

@@ -29,12 +29,18 @@ def text_table(spark, sf_dir, name, key):
     return df.repartition(cores, key) if len(df.inputFiles()) < cores else df
 
 
+def event_stream(spark, sf_dir):
+    """The events table as a file stream."""
+    schema = table(spark, sf_dir, "events").schema
+    return spark.readStream.schema(schema).parquet(f"{sf_dir}/events*.parquet")
+
+
 def _s(c):
     return c.cast("string")
 
 
-def raw_events(spark, sf_dir):
-    e = table(spark, sf_dir, "events")
+def raw_events(spark, sf_dir, stream=False):
+    e = event_stream(spark, sf_dir) if stream else table(spark, sf_dir, "events")
     return (e.withColumn("k", F.get_json_object("props", "$.k").cast("bigint"))
             .withColumn("timestamp", F.col("ts").cast("timestamp")))
 
@@ -48,8 +54,8 @@ def _code():
             .when(F.col("event_type") == "purchase", "MCP"))
 
 
-def events(spark, sf_dir):
-    e = raw_events(spark, sf_dir)
+def events(spark, sf_dir, stream=False):
+    e = raw_events(spark, sf_dir, stream)
     return e.select(
         _s(F.col("event_id")).alias("id"), "timestamp", _code().alias("source"),
         F.concat("event_type", F.lit(" "), _s(F.col("k") % 5)).alias("label"),
@@ -90,9 +96,9 @@ def tasks(spark, sf_dir, with_summary=False):
         F.concat(F.lit("repo"), _s(user % 8)).alias("git_repo"), "event_count")
 
 
-def actions(spark, sf_dir):
+def actions(spark, sf_dir, stream=False):
     """Task action log: one action per event of a task."""
-    e = events(spark, sf_dir).filter(F.col("task_id").isNotNull())
+    e = events(spark, sf_dir, stream).filter(F.col("task_id").isNotNull())
     act = (F.when(F.col("source") == "TERM", "start").when(F.col("source") == "GIT", "stop")
            .when(F.col("source") == "NOTE", "abandon").otherwise("look"))
     return e.select("task_id", act.alias("action"), F.col("timestamp").alias("ts"),
@@ -142,9 +148,9 @@ def stored_history(spark, sf_dir):
     return events(spark, sf_dir).filter(F.col("timestamp") < F.lit(HISTORY_END).cast("timestamp"))
 
 
-def requests(spark, sf_dir):
+def requests(spark, sf_dir, stream=False):
     """JSON ingest requests; every eleventh names an unknown source."""
-    e = events(spark, sf_dir).withColumn("n", F.col("id").cast("bigint"))
+    e = events(spark, sf_dir, stream).withColumn("n", F.col("id").cast("bigint"))
     alias = F.create_map(*[F.lit(x) for x in (
         "TERM", "terminal", "IDE", "editor", "GIT", "git", "FS", "file_system",
         "NOTE", "manual", "MCP", "mcp")])

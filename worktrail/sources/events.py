@@ -38,17 +38,33 @@ def split_requests(requests):
     return valid, rejected
 
 
-def to_events(valid):
-    """Cleaned events from valid requests.
+def with_ids(requests, scope):
+    """Give an id to each request that brings none.
 
-    A request that brings no id gets one from its content, so that a replayed
-    batch produces the same id; one without a time gets the batch time.
+    Equal requests are counted and numbered within ``scope`` (a load or
+    micro-batch), so a replay of the same rows yields the same ids while real
+    repeats stay apart. Counting first keeps many equal requests from meeting
+    in one task.
     """
-    whole = F.xxhash64(F.to_json(F.struct("source", "label", "content", "metadata", "cwd",
-                                          "git_repo", "task_id", "timestamp")))
-    filled = (valid
-              .withColumn("id", F.coalesce("id", F.format_string(
-                  "%016x-%s", whole, F.substring(F.md5(F.coalesce("content", F.lit(""))), 1, 16))))
+    fields = [c for c in requests.columns if c != "id"]
+    named = requests.filter(F.col("id").isNotNull())
+    counted = (requests.filter(F.col("id").isNull())
+               .groupBy(*fields).agg(F.count("*").cast("int").alias("__n")))
+    numbered = counted.select(*fields, F.explode(F.sequence(F.lit(1), "__n")).alias("__k"))
+    text = F.to_json(F.struct(F.lit(scope).alias("scope"), "__k", *fields))
+    hashed = F.md5(text)
+    uid = F.concat_ws("-", *[F.substring(hashed, at, size) for at, size in
+                             ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))])
+    return named.unionByName(numbered.withColumn("id", uid).drop("__k"))
+
+
+def to_events(valid, scope=None):
+    """Cleaned events from valid requests; ``scope`` numbers those without id.
+
+    A request without a time gets the time of this read.
+    """
+    known = with_ids(valid, scope) if scope is not None else valid.filter(F.col("id").isNotNull())
+    filled = (known
               .withColumn("timestamp", F.coalesce("timestamp", F.current_timestamp()))
               .withColumn("label", F.coalesce("label", F.lit("")))
               .withColumn("content", F.coalesce("content", F.lit("")))
