@@ -122,3 +122,12 @@ def stem_terms(c):
     through Python.
     """
     return F.pandas_udf(_stem_series, T.StringType()).asNondeterministic()(c)
+
+
+def _stem_lists(lists: pd.Series) -> pd.Series:
+    return lists.map(lambda terms: [stem(t) for t in terms])
+
+
+def stem_arrays(c):
+    """Stems of each query's few terms."""
+    return F.pandas_udf(_stem_lists, T.ArrayType(T.StringType()))(c)
