@@ -1,11 +1,12 @@
 """Porter's suffix stripping (1980, with the author's later revisions).
 
-Used once, as a vectorised UDF over the distinct vocabulary. Letters are UTF-8
+Used as a vectorised UDF over each document's distinct words. Letters are UTF-8
 bytes; every byte outside ASCII counts as a consonant.
 """
 
 import re
 import sys
+from typing import Iterator
 
 import pandas as pd
 from pyspark import cloudpickle
@@ -32,6 +33,9 @@ STEP4 = {s: "" for s in (
 )}
 MIN_BYTES, MAX_BYTES = 3, 64
 
+# Words a task remembers between batches.
+KNOWN_WORDS = 1_000_000
+
 _VC = re.compile("v+c")
 
 
@@ -110,18 +114,23 @@ def stem(token):
     return word.encode("latin-1").decode("utf-8", "replace")
 
 
-def _stem_series(terms: pd.Series) -> pd.Series:
-    return terms.map(stem)
+def _stem_batches(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    known = {}
+    for words in batches:
+        if len(known) > KNOWN_WORDS:
+            known.clear()
+        known.update((w, stem(w)) for w in words.unique() if w not in known)
+        yield words.map(known)
 
 
 def stem_terms(c):
-    """Stems of a vocabulary column.
+    """Stems of a column of words.
 
-    Marked non-deterministic only so that the optimizer does not copy filters
-    on the stem below the vocabulary's distinct, where every token would pass
-    through Python.
+    Marked non-deterministic only so that the optimizer does not move filters
+    on the stem below a distinct, where every single token would pass through
+    Python.
     """
-    return F.pandas_udf(_stem_series, T.StringType()).asNondeterministic()(c)
+    return F.pandas_udf(_stem_batches, T.StringType()).asNondeterministic()(c)
 
 
 def _stem_lists(lists: pd.Series) -> pd.Series:

@@ -29,7 +29,6 @@ SNIPPET_TOKENS = 15
 MARK_OPEN, MARK_CLOSE, ELLIPSIS = "«", "»", "..."
 NEW_PHRASE, REPEAT_PHRASE, SENTENCE_BONUS, TEXT_START_BONUS = 1000, 1, 100, 120
 
-TERM_BUCKETS = 256
 
 
 def tokens(c):
@@ -103,8 +102,16 @@ def doc_lengths(docs):
 
 
 def token_places(docs):
-    """(id, n_tokens, token, col, pos): every token with its place."""
-    split = docs.select("id", *[tokens(F.col(c)).alias(c) for c in COLUMNS])
+    """(id, n_tokens, token, col, pos): every token with its place.
+
+    Documents are hashed by id before they are split, so that the groupings
+    by (id, token) and (id, term) that follow move no tokens. The partition
+    count is explicit: texts grow when split, so coalescing by their size would
+    leave too few tasks.
+    """
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    split = docs.select("id", *COLUMNS).repartition(parts, "id").select(
+        "id", *[tokens(F.col(c)).alias(c) for c in COLUMNS])
     total = reduce(lambda a, b: a + b, [F.size(c) for c in COLUMNS])
 
     def placed(number, name):
@@ -115,25 +122,20 @@ def token_places(docs):
     return split.select("id", total.alias("n_tokens"), F.inline(places))
 
 
-def vocabulary(docs):
-    """Distinct tokens with their stems: the only place the stemmer runs."""
-    words = F.array_distinct(F.concat(*[tokens(F.col(c)) for c in COLUMNS]))
-    distinct = docs.select(F.explode(words).alias("token")).distinct()
-    return distinct.withColumn("term", porter.stem_terms("token"))
-
-
 def postings(docs, stemmed=True):
-    """Grouped within a document, so no term's list of documents is collected."""
-    per_token = (token_places(docs).groupBy("id", "n_tokens", "token")
-                 .agg(F.collect_list(F.struct("col", "pos")).alias("places")))
-    if not stemmed:
-        per_term = per_token.withColumnRenamed("token", "term")
-    else:
-        per_term = (
-            salted_lookup(per_token, vocabulary(docs), ["token"], salt_on=["id"])
-            .groupBy("id", "n_tokens", "term")
-            .agg(F.flatten(F.collect_list("places")).alias("places")))
-    return per_term.select("term", "id", "n_tokens", F.size("places").alias("tf"), "places")
+    """One row per (term, document).
+
+    Grouped within a document, so no term's list of documents is collected.
+    The stemmer sees a document's distinct words only.
+    """
+    rows = (token_places(docs).groupBy("id", "n_tokens", "token")
+            .agg(F.collect_list(F.struct("col", "pos")).alias("places")))
+    if stemmed:
+        rows = (rows.select("id", "n_tokens", porter.stem_terms("token").alias("token"), "places")
+                .groupBy("id", "n_tokens", "token")
+                .agg(F.flatten(F.collect_list("places")).alias("places")))
+    return rows.select(F.col("token").alias("term"), "id", "n_tokens",
+                       F.size("places").alias("tf"), "places")
 
 
 def build_index(docs, stemmed=True):
@@ -152,7 +154,7 @@ def add_documents(index, docs, stemmed=True):
     """Index new documents; ids already present are left alone."""
     fresh = docs.join(index.lengths.select("id"), "id", "left_anti")
     new = build_index(fresh, stemmed)
-    return TextIndex(index.postings.unionByName(new.postings),
+    return TextIndex(index.postings.select(new.postings.columns).unionByName(new.postings),
                      index.lengths.unionByName(new.lengths))
 
 
@@ -166,31 +168,37 @@ def replace_documents(index, docs, stemmed=True):
     return add_documents(remove_documents(index, docs), docs, stemmed)
 
 
-def _bucket(term):
-    return F.pmod(F.xxhash64(term), F.lit(TERM_BUCKETS)).cast("int")
+def _bucket(term, buckets):
+    return F.pmod(F.xxhash64(term), F.lit(buckets) if isinstance(buckets, int) else buckets
+                  ).cast("int")
 
 
-def _clustered(rows, spread):
-    """Sorted by term within files; ``spread`` writers share a term bucket, so a
-    term found in every document does not land in one task."""
-    return (rows.withColumn("term_bucket", _bucket(F.col("term")))
-            .withColumn("__part", F.pmod(F.xxhash64("id"), F.lit(spread)))
-            .repartition("term_bucket", "__part").drop("__part")
-            .sortWithinPartitions("term_bucket", "term", "id"))
+def save_index(index, path, buckets=None, spread=4):
+    """Write a compacted index: postings partitioned by term bucket.
 
-
-def save_index(index, path, spread=8):
-    """Write a compacted index: postings partitioned by term bucket."""
-    (_clustered(index.postings.drop("term_bucket"), spread)
-     .write.mode("overwrite").partitionBy("term_bucket").parquet(f"{path}/base/postings"))
+    Rows are sorted by term within files. ``spread`` writers share a bucket, so
+    a term found in every document does not land in one task. The bucket count
+    is part of the layout, so a reader needs no other record of it.
+    """
+    spark = index.postings.sparkSession
+    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    (index.postings.select("term", "id", "n_tokens", "tf", "places")
+     .withColumn("buckets", F.lit(buckets))
+     .withColumn("term_bucket", _bucket("term", buckets))
+     .withColumn("__part", F.pmod(F.xxhash64("id"), F.lit(spread)))
+     .repartition("term_bucket", "__part").drop("__part")
+     .sortWithinPartitions("term_bucket", "term", "id")
+     .write.mode("overwrite").partitionBy("buckets", "term_bucket")
+     .parquet(f"{path}/base/postings"))
     index.lengths.write.mode("overwrite").parquet(f"{path}/base/lengths")
 
 
 def append_batch(index, path, batch_id):
     """Write one batch's postings; repeating a batch replaces its own files."""
-    index.postings.withColumn("term_bucket", _bucket(F.col("term"))).sortWithinPartitions(
-        "term_bucket", "term", "id").write.mode("overwrite").parquet(
-        f"{path}/batches/postings/batch_id={batch_id}")
+    (index.postings.select("term", "id", "n_tokens", "tf", "places",
+                           F.lit(1).alias("buckets"), F.lit(0).alias("term_bucket"))
+     .sortWithinPartitions("term", "id").write.mode("overwrite")
+     .parquet(f"{path}/batches/postings/batch_id={batch_id}"))
     index.lengths.write.mode("overwrite").parquet(
         f"{path}/batches/lengths/batch_id={batch_id}")
 
@@ -213,7 +221,7 @@ def load_index(spark, path, but_batch=None):
 
     return TextIndex(
         read("postings", "term string, id string, n_tokens int, tf int, "
-                         "places array<struct<col:int,pos:int>>, term_bucket int"),
+                         "places array<struct<col:int,pos:int>>, buckets int, term_bucket int"),
         read("lengths", "id string, n_tokens int"))
 
 
@@ -236,7 +244,7 @@ def _relevant(index, query):
     exact = [s[3] for s in slots]
     if "term_bucket" in rows.columns and None not in exact:
         rows = rows.filter(reduce(lambda a, b: a | b, [
-            F.col("term_bucket") == _bucket(F.lit(t)) for t in exact]))
+            F.col("term_bucket") == _bucket(F.lit(t), F.col("buckets")) for t in exact]))
     return rows, slots
 
 
