@@ -464,16 +464,15 @@ def search_batch(index, queries, limit=None):
     asked = (keyed.select("key", "terms").dropDuplicates(["key"])
              .select("key", F.explode("terms").alias("term"))
              .groupBy("key", "term").agg(F.count("*").alias("weight")))
-    freq = (index.postings.select("term")
-            .join(asked.select("term").distinct(), "term", "left_semi")
-            .groupBy("term").agg(F.count("*").alias("df")))
+    slim = (index.postings.select("term", "id", "n_tokens", "tf")
+            .join(asked.select("term").distinct(), "term", "left_semi"))
+    freq = slim.groupBy("term").agg(F.count("*").alias("df"))
     needs = asked.join(freq, "term", "left")
     plans = (needs.groupBy("key").agg(
         F.min_by("term", F.struct(F.coalesce("df", F.lit(0)), "term")).alias("rarest"),
         F.count("*").alias("n_terms"), F.count("df").alias("n_known"))
         .filter(F.col("n_terms") == F.col("n_known")))
 
-    slim = index.postings.select("term", "id", "n_tokens", "tf")
     candidates = salted_lookup(
         slim.select("term", "id"),
         plans.select(F.col("rarest").alias("term"), "key", "n_terms"),

@@ -11,7 +11,10 @@ from worktrail.operators import events as E
 from worktrail.operators import tasks as K
 from worktrail.plans import context
 from worktrail.plans import inputs as I
+from worktrail.session import work_dir
 from worktrail.sources import events as src
+from worktrail.sources.store import EventStore
+from worktrail.streaming import ingest, state
 
 QUERIES = {}
 PRUNE_DAYS = 14
@@ -665,3 +668,59 @@ def comment_upsert(s, d):
     return review.upsert_comments(new, old).select("pr_id", "comment_id", "action")
 
 
+
+
+# --- streams: the whole table drained through a file stream -----------------------
+
+@query
+def stream_ingest(s, d):
+    base = work_dir(s, "stream-ingest")
+    store = EventStore(f"{base}/store")
+    requests = src.parse_requests(I.requests(s, d, stream=True))
+    ingest.start_ingest(requests, store, f"{base}/checkpoint", drain=True).awaitTermination()
+    return store.read(s).select("id", "timestamp", "source", "label", "content", "metadata",
+                                "was_redacted", "git_repo", "task_id")
+
+
+@query
+def stream_tail(s, d):
+    base = work_dir(s, "stream-tail")
+    requests = src.parse_requests(I.requests(s, d, stream=True))
+    ingest.start_tail(requests, f"{base}/out", f"{base}/checkpoint", drain=True).awaitTermination()
+    return s.read.text(f"{base}/out").select(
+        F.get_json_object("value", "$.id").alias("id"),
+        F.get_json_object("value", "$.source").alias("source"),
+        F.get_json_object("value", "$.content").alias("content"))
+
+
+@query
+def stream_counts(s, d):
+    base = work_dir(s, "stream-counts")
+    counts = state.running_counts(I.events(s, d, stream=True), "source")
+    state.start_upserts(counts, f"{base}/out", f"{base}/checkpoint", drain=True).awaitTermination()
+    return state.latest(s, f"{base}/out", "source")
+
+
+@query
+def stream_debounce(s, d):
+    """Closed bursts only: a burst is out once the watermark passes its end."""
+    base = work_dir(s, "stream-debounce")
+    bursts = state.debounce(I.events(s, d, stream=True), ["source"], f"{BURST_MS} milliseconds")
+    (bursts.writeStream.format("parquet").outputMode("append").option("path", f"{base}/out")
+     .option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start()
+     .awaitTermination())
+    return s.read.schema(bursts.schema).parquet(f"{base}/out").select("id", "source", "timestamp")
+
+
+@query
+def stream_task_state(s, d):
+    base, conf = work_dir(s, "stream-tasks"), "spark.sql.streaming.stateStore.providerClass"
+    before = s.conf.get(conf)
+    s.conf.set(conf, state.ROCKSDB)
+    try:
+        changes = state.task_states(I.actions(s, d, stream=True))
+        state.start_upserts(changes, f"{base}/out", f"{base}/checkpoint",
+                            drain=True).awaitTermination()
+    finally:
+        s.conf.set(conf, before)
+    return state.latest(s, f"{base}/out", "task_id").filter(F.col("started_at").isNotNull())

@@ -636,3 +636,12 @@ _LINES = DOC + ", l AS (SELECT *, string_split(content, chr(10)) AS lines, doc_i
 ORACLE["cursor_context"] = f"WITH {_LINES} SELECT id, md5({_NEAR}) AS text_md5 FROM l"
 ORACLE["selection_cap"] = f"""WITH {_LINES} SELECT id, md5(CASE WHEN doc_id % 4 = 0 OR content = ''
   THEN {_NEAR} ELSE substr(content, 1, 2000) END) AS text_md5 FROM l"""
+
+ORACLE["stream_ingest"] = ORACLE["src_events"]
+ORACLE["stream_tail"] = f"WITH {REQ} SELECT id, source, content FROM rq WHERE n % 11 <> 0"
+ORACLE["stream_counts"] = ORACLE["source_counts"]
+ORACLE["stream_task_state"] = ORACLE["task_state"]
+ORACLE["stream_debounce"] = f"""WITH {EV} SELECT id, source, "timestamp" FROM (SELECT *,
+    lead("timestamp") OVER (PARTITION BY source ORDER BY "timestamp", id) AS nx,
+    max("timestamp") OVER () AS newest FROM ev)
+  WHERE coalesce(nx, newest) >= "timestamp" + INTERVAL 10 MINUTE"""

@@ -62,3 +62,21 @@ def task_states(actions):
     return actions.groupBy("task_id").transformWithStateInPandas(
         statefulProcessor=TaskLifecycle(), outputStructType=OUTPUT_SCHEMA,
         outputMode="Update", timeMode="None")
+
+
+def start_upserts(changes, path, checkpoint, drain=False):
+    """Write each micro-batch's changed rows; a replayed batch replaces itself."""
+    def write(batch, batch_id):
+        batch.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+
+    trigger = {"availableNow": True} if drain else {"processingTime": "500 milliseconds"}
+    return (changes.writeStream.outputMode("update").foreachBatch(write)
+            .option("checkpointLocation", checkpoint).trigger(**trigger).start())
+
+
+def latest(spark, path, *keys):
+    """The newest version of each key from the written changes."""
+    rows = spark.read.parquet(path)
+    rest = [c for c in rows.columns if c not in (*keys, "batch_id")]
+    return (rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch_id").alias("v"))
+            .select(*keys, "v.*"))
