@@ -2,9 +2,9 @@
 
 from pyspark.sql import functions as F
 
-from worktrail.functions.text import basename
-from worktrail.operators.ranking import newest_per_key, with_neighbour
 from worktrail import schema as S
+from worktrail.functions.text import basename
+from worktrail.operators.ranking import newest_per_key, salted_lookup, with_neighbour
 
 # Documents never captured, and the burst length.
 SCHEME = "file"
@@ -40,8 +40,8 @@ def workspace_context(files, workspaces, key="id"):
     parts = F.split("path", "/")
     above = F.transform(F.sequence(F.lit(1), F.size(parts) - 1),
                         lambda n: F.array_join(F.slice(parts, 1, n), "/"))
-    found = (files.select(key, F.explode(above).alias("root"))
-             .join(workspaces.select("root").distinct(), "root")
+    found = (salted_lookup(files.select(key, F.explode(above).alias("root")),
+                           workspaces.select("root").distinct(), ["root"], salt_on=[key])
              .groupBy(key).agg(F.max_by("root", F.length("root")).alias("root")))
     return (files.join(found, key, "left")
             .withColumn("cwd", F.coalesce("root", parent_dir(F.col("path"))))

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import functions as F
 
 from worktrail import schema as S
+from worktrail.operators.ranking import salted_lookup
 
 
 @dataclass(frozen=True)
@@ -91,14 +92,15 @@ def task_event_counts(events):
 def orphan_task_refs(events, tasks):
     """Events that name a task which does not exist."""
     known = tasks.select(F.col("id").alias("task_id"))
-    return (events.filter(F.col("task_id").isNotNull())
-            .join(known, "task_id", "left_anti").select("id", "task_id"))
+    refs = events.filter(F.col("task_id").isNotNull()).select("id", "task_id")
+    return salted_lookup(refs, known, ["task_id"], salt_on=["id"], how="left_anti").select(
+        "id", "task_id")
 
 
 def detach_orphans(events, tasks):
     """Set-null for references to missing tasks."""
     known = tasks.select(F.col("id").alias("task_id"), F.lit(True).alias("__known"))
-    return (events.join(known, "task_id", "left")
+    return (salted_lookup(events, known, ["task_id"], salt_on=["id"], how="left")
             .withColumn("task_id", F.when(F.col("__known"), F.col("task_id")))
             .select(*events.columns))
 

@@ -61,13 +61,14 @@ def with_neighbour(df, keys, ts, order, value, name, ahead=False, bucket="hour")
             .drop("__bucket", "__value", "__near", "__edge"))
 
 
-def salted_lookup(big, small, on, salt_on, salts=8):
-    """Inner join of a hot-keyed frame to a small per-key lookup.
+def salted_lookup(big, small, on, salt_on, how="inner", salts=8):
+    """Join a hot-keyed frame to a small per-key lookup.
 
     The lookup is repeated once per salt so that a hot key spreads over
     ``salts`` tasks; where the lookup turns out small, AQE broadcasts it.
+    ``how`` is any join type that keeps or filters the rows of ``big``.
     """
-    salt = F.pmod(F.xxhash64(*salt_on), F.lit(salts))
-    left = big.withColumn("__salt", salt.cast("int"))
+    salt = F.pmod(F.xxhash64(*salt_on), F.lit(salts)).cast("int")
+    left = big.withColumn("__salt", salt)
     right = small.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return left.join(right, [*on, "__salt"]).drop("__salt")
+    return left.join(right, [*on, "__salt"], how).drop("__salt")

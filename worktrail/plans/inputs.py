@@ -19,8 +19,8 @@ def table(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def text_table(spark, sf_dir, name, key):
-    """A table of long texts, spread over the cores when it has too few files.
+def spread_table(spark, sf_dir, name, key):
+    """A table for heavy per-row work, spread over the cores when it has few files.
 
     Large tables have more files than cores and are read as they are.
     """
@@ -39,8 +39,13 @@ def _s(c):
     return c.cast("string")
 
 
-def raw_events(spark, sf_dir, stream=False):
-    e = event_stream(spark, sf_dir) if stream else table(spark, sf_dir, "events")
+def raw_events(spark, sf_dir, stream=False, spread=False):
+    if stream:
+        e = event_stream(spark, sf_dir)
+    elif spread:
+        e = spread_table(spark, sf_dir, "events", "event_id")
+    else:
+        e = table(spark, sf_dir, "events")
     return (e.withColumn("k", F.get_json_object("props", "$.k").cast("bigint"))
             .withColumn("timestamp", F.col("ts").cast("timestamp")))
 
@@ -54,8 +59,8 @@ def _code():
             .when(F.col("event_type") == "purchase", "MCP"))
 
 
-def events(spark, sf_dir, stream=False):
-    e = raw_events(spark, sf_dir, stream)
+def events(spark, sf_dir, stream=False, spread=False):
+    e = raw_events(spark, sf_dir, stream, spread)
     return e.select(
         _s(F.col("event_id")).alias("id"), "timestamp", _code().alias("source"),
         F.concat("event_type", F.lit(" "), _s(F.col("k") % 5)).alias("label"),
@@ -106,7 +111,7 @@ def actions(spark, sf_dir, stream=False):
 
 
 def documents(spark, sf_dir):
-    d = text_table(spark, sf_dir, "documents", "doc_id")
+    d = spread_table(spark, sf_dir, "documents", "doc_id")
     return d.select(
         _s(F.col("doc_id")).alias("id"),
         F.timestamp_seconds(F.lit(1704067200) + F.col("doc_id")).alias("timestamp"),
@@ -259,7 +264,7 @@ def diffs(spark, sf_dir):
 
 def reviews(spark, sf_dir):
     """Documents as review texts with severity headings and a verdict."""
-    d = text_table(spark, sf_dir, "documents", "doc_id")
+    d = spread_table(spark, sf_dir, "documents", "doc_id")
     n = F.col("doc_id")
     finding = F.get(F.array(*[F.lit(x) for x in (
         "", "\n#### 🔴 CRITICAL: a\n**Severity**: HIGH", "\n#### 🟠 High risk",
@@ -290,4 +295,5 @@ def query_table(spark, sf_dir, tokens):
 
 
 def session_cards(spark, sf_dir, **options):
-    return cards.session_cards(tasks(spark, sf_dir), events(spark, sf_dir), now(), **options)
+    return cards.session_cards(tasks(spark, sf_dir), events(spark, sf_dir, spread=True), now(),
+                               **options)
