@@ -101,16 +101,31 @@ def test_running_counts(spark):
 
 
 def test_stream_lifecycle_equals_batch(spark, tmp_path):
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", state.ROCKSDB)
     q = (state.task_states(I.actions(spark, D, stream=True)).writeStream.format("memory")
          .queryName("lifecycle").outputMode("update").trigger(availableNow=True).start())
     run(q)
-    spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
     want = K.task_state(I.actions(spark, D))
-    got = spark.table("lifecycle").filter(F.col("started_at").isNotNull()).select(want.columns)
+    got = spark.table("lifecycle").select(want.columns)
     assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
 
 
+def test_lifecycle_keeps_state_between_batches(spark, tmp_path):
+    path, at = str(tmp_path / "log"), lambda m: datetime(2024, 1, 1, 9, m)
+    schema = "task_id string, action string, ts timestamp, seq bigint"
+    runs = [[("a", "start", at(1), 1), ("b", "stop", at(1), 1)],
+            [("a", "stop", at(2), 2), ("b", "start", at(2), 2), ("c", "start", at(2), 1)],
+            [("a", "abandon", at(3), 3), ("b", "abandon", at(3), 3)]]
+    for rows in runs:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(path)
+        stream = spark.readStream.schema(schema).parquet(path)
+        run(state.start_upserts(state.task_states(stream), str(tmp_path / "out"),
+                                str(tmp_path / "cp"), drain=True))
+    got = {r["task_id"]: (r["status"], r["started_at"], r["stopped_at"]) for r in
+           state.latest(spark, str(tmp_path / "out"), "task_id").collect()}
+    assert got == {"a": ("completed", at(1), at(2)), "b": ("abandoned", at(2), at(3)),
+                   "c": ("active", at(2), None)}
+
+
 def test_prune_rewrites_only_affected_days(spark, tmp_path):
     store = EventStore(str(tmp_path / "s"))
     now = datetime(2024, 2, 1)

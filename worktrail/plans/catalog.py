@@ -714,13 +714,7 @@ def stream_debounce(s, d):
 
 @query
 def stream_task_state(s, d):
-    base, conf = work_dir(s, "stream-tasks"), "spark.sql.streaming.stateStore.providerClass"
-    before = s.conf.get(conf)
-    s.conf.set(conf, state.ROCKSDB)
-    try:
-        changes = state.task_states(I.actions(s, d, stream=True))
-        state.start_upserts(changes, f"{base}/out", f"{base}/checkpoint",
-                            drain=True).awaitTermination()
-    finally:
-        s.conf.set(conf, before)
-    return state.latest(s, f"{base}/out", "task_id").filter(F.col("started_at").isNotNull())
+    base = work_dir(s, "stream-tasks")
+    changes = state.task_states(I.actions(s, d, stream=True))
+    state.start_upserts(changes, f"{base}/out", f"{base}/checkpoint", drain=True).awaitTermination()
+    return state.latest(s, f"{base}/out", "task_id")

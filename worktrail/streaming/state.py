@@ -6,12 +6,12 @@ from typing import Iterator
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-# Executors receive the processor with the job and need no installed package.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
+from worktrail.operators.tasks import TERMINAL
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+# Executors receive the state function with the job and need no installed package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 STATE_SCHEMA = "started_at timestamp, stopped_at timestamp, status string"
 OUTPUT_SCHEMA = f"task_id string, {STATE_SCHEMA}"
@@ -31,37 +31,29 @@ def running_counts(events, *keys):
     return events.groupBy(*keys).agg(F.count("*").alias("n_events"))
 
 
-class TaskLifecycle(StatefulProcessor):
+def _advance(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     """First start opens a task; its first stop or abandon from then on closes it."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.task = handle.getValueState("task", STATE_SCHEMA)
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        started, stopped, status = self.task.get() if self.task.exists() else (None, None, None)
-        before = (started, stopped, status)
-        # One task's actions within one rate-limited micro-batch.
-        batch = pd.concat([r[["action", "ts", "seq"]] for r in rows])
-        for row in batch.sort_values(["ts", "seq"]).itertuples():
-            if row.action == "start" and started is None:
-                started, status = row.ts.to_pydatetime(), "active"
-            elif status == "active" and row.action in ("stop", "abandon"):
-                stopped = row.ts.to_pydatetime()
-                status = "completed" if row.action == "stop" else "abandoned"
-        if (started, stopped, status) != before:
-            self.task.update((started, stopped, status))
-            yield pd.DataFrame({"task_id": [key[0]], "started_at": [started],
-                                "stopped_at": [stopped], "status": [status]})
-
-    def close(self) -> None:
-        pass
+    started, stopped, status = state.get if state.exists else (None, None, None)
+    before = (started, stopped, status)
+    # One task's actions within one rate-limited micro-batch.
+    rows = sorted((ts, seq, action) for b in batches
+                  for ts, seq, action in zip(b["ts"], b["seq"], b["action"]))
+    for ts, _, action in rows:
+        if action == "start" and started is None:
+            started, status = ts, "active"
+        elif status == "active" and action in TERMINAL:
+            stopped, status = ts, TERMINAL[action]
+    if (started, stopped, status) != before:
+        state.update((started, stopped, status))
+        yield pd.DataFrame({"task_id": [key[0]], "started_at": [started],
+                            "stopped_at": pd.to_datetime([stopped]), "status": [status]})
 
 
 def task_states(actions):
-    """Changed task states per micro-batch (update mode, RocksDB state store)."""
-    return actions.groupBy("task_id").transformWithStateInPandas(
-        statefulProcessor=TaskLifecycle(), outputStructType=OUTPUT_SCHEMA,
-        outputMode="Update", timeMode="None")
+    """Changed task states per micro-batch (update mode)."""
+    known = actions.filter(F.col("action").isin("start", *TERMINAL))
+    return known.groupBy("task_id").applyInPandasWithState(
+        _advance, OUTPUT_SCHEMA, STATE_SCHEMA, "update", GroupStateTimeout.NoTimeout)
 
 
 def start_upserts(changes, path, checkpoint, drain=False):
