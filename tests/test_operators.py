@@ -155,8 +155,9 @@ def test_debounce_on_hot_keys(spark):
         for r, nxt in zip(rs, [*rs[1:], None]):
             if nxt is None or nxt[1] - r[1] >= 120:
                 want.append(r[0])
-    got = capture.debounce(make_events(spark, rows), ["task_id"], 120_000).collect()
-    assert sorted(r["id"] for r in got) == sorted(want)
+    for bucket in ("hour", "minute"):
+        got = capture.debounce(make_events(spark, rows), ["task_id"], 120_000, bucket).collect()
+        assert sorted(r["id"] for r in got) == sorted(want)
 
 
 def test_newest_per_key_on_hot_keys(spark):

@@ -49,10 +49,13 @@ def workspace_context(files, workspaces, key="id"):
             .drop("root"))
 
 
-def debounce(events, keys, delay_ms=DEBOUNCE_MS):
-    """The last event of each burst: none of its key follows within the delay."""
+def debounce(events, keys, delay_ms=DEBOUNCE_MS, bucket="hour"):
+    """The last event of each burst: none of its key follows within the delay.
+
+    ``bucket`` is the time unit by which a key's rows spread over tasks.
+    """
     near = with_neighbour(events, keys, "timestamp", ["timestamp", "id"],
-                          F.col("timestamp"), "next_ts", ahead=True)
+                          F.col("timestamp"), "next_ts", ahead=True, bucket=bucket)
     quiet = F.unix_micros("next_ts") - F.unix_micros("timestamp") >= delay_ms * 1000
     return near.filter(~F.col("has_next_ts") | quiet).drop("next_ts", "has_next_ts")
 
