@@ -226,31 +226,28 @@ def slices(values, most=4 << 20):
 def encode(text, path):
     """Ids of a text column by the ranks at ``path``; null counts as empty."""
     @F.arrow_udf("binary")
-    def run(batches):
+    def run(texts: pa.Array) -> pa.Array:
         enc = encoder(path)
-        for texts in batches:
-            yield pa.array([y for xs in slices(texts.to_pylist()) for y in enc.encode(xs)],
-                           pa.binary())
+        return pa.array([y for xs in slices(texts.to_pylist()) for y in enc.encode(xs)],
+                        pa.binary())
     return run(text)
 
 
 def decode(ids, path):
     """Bytes of an ids column; null decodes as empty."""
     @F.arrow_udf("binary")
-    def run(batches):
+    def run(values: pa.Array) -> pa.Array:
         enc = encoder(path)
-        for values in batches:
-            yield pa.array([enc.decode(x or b"") for x in values.to_pylist()], pa.binary())
+        return pa.array([enc.decode(x or b"") for x in values.to_pylist()], pa.binary())
     return run(ids)
 
 
 def ids_to_array(ids):
     """An ids column as array<int>."""
     @F.arrow_udf("array<int>")
-    def run(batches):
-        for values in batches:
-            yield pa.array([np.frombuffer(x or b"", "<i4") for x in values.to_pylist()],
-                           pa.list_(pa.int32()))
+    def run(values: pa.Array) -> pa.Array:
+        return pa.array([np.frombuffer(x or b"", "<i4") for x in values.to_pylist()],
+                        pa.list_(pa.int32()))
     return run(ids)
 
 

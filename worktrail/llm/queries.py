@@ -1,6 +1,6 @@
 """One query per operator, over its whole table with production parameters."""
 
-from worktrail.llm import bpe
+from worktrail.llm import bpe, chat, packing, tokencount, urls
 from worktrail.llm.common import table
 
 QUERIES, ORACLE = {}, {}
@@ -14,3 +14,30 @@ def query(fn):
 @query
 def op1_byte_bpe(s, d):
     return bpe.digest(table(s, d, "documents"))
+
+
+@query
+def op2_url_filter(s, d):
+    pages = table(s, d, "pages")
+    return urls.judge(pages, urls.bad_host_urls(pages), urls.RULES)
+
+
+ORACLE["op2_url_filter"] = urls.SQL
+
+
+@query
+def op6_token_counts(s, d):
+    return tokencount.count_tokens(table(s, d, "documents"))
+
+
+@query
+def op9_packing(s, d):
+    return packing.digest(table(s, d, "documents"))
+
+
+@query
+def op10_chat_format(s, d):
+    turns = table(s, d, "conversations").select("conv_id", "turn", "role", "text")
+    said = "\\### Assistant: </turn> ok"
+    extra = s.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], turns.schema)
+    return chat.digest(chat.format_conversations(turns.unionByName(extra)))
