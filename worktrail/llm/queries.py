@@ -1,6 +1,6 @@
 """One query per operator, over its whole table with production parameters."""
 
-from worktrail.llm import bpe, chat, packing, tokencount, urls
+from worktrail.llm import bpe, chat, packing, quality, secret_scan, tokencount, urls
 from worktrail.llm.common import table
 
 QUERIES, ORACLE = {}, {}
@@ -41,3 +41,16 @@ def op10_chat_format(s, d):
     said = "\\### Assistant: </turn> ok"
     extra = s.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], turns.schema)
     return chat.digest(chat.format_conversations(turns.unionByName(extra)))
+
+
+@query
+def op3_quality_rules(s, d):
+    return quality.digest(table(s, d, "documents"))
+
+
+ORACLE["op3_quality_rules"] = quality.SQL
+
+
+@query
+def op4_secret_scan(s, d):
+    return secret_scan.digest(table(s, d, "documents"))
