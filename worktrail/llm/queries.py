@@ -1,6 +1,6 @@
 """One query per operator, over its whole table with production parameters."""
 
-from worktrail.llm import bpe, chat, packing, quality, secret_scan, tokencount, urls
+from worktrail.llm import ann, bpe, chat, packing, quality, secret_scan, tokencount, urls
 from worktrail.llm.common import table
 
 QUERIES, ORACLE = {}, {}
@@ -54,3 +54,8 @@ ORACLE["op3_quality_rules"] = quality.SQL
 @query
 def op4_secret_scan(s, d):
     return secret_scan.digest(table(s, d, "documents"))
+
+
+@query
+def op8_neighbours(s, d):
+    return ann.digest(table(s, d, "embeddings"))
