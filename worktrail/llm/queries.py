@@ -1,6 +1,7 @@
 """One query per operator, over its whole table with production parameters."""
 
-from worktrail.llm import ann, bpe, chat, packing, quality, secret_scan, tokencount, urls
+from worktrail.llm import (ann, bpe, chat, jaccard, packing, pii, quality, secret_scan, tokencount,
+                           urls)
 from worktrail.llm.common import table
 
 QUERIES, ORACLE = {}, {}
@@ -59,3 +60,13 @@ def op4_secret_scan(s, d):
 @query
 def op8_neighbours(s, d):
     return ann.digest(table(s, d, "embeddings"))
+
+
+@query
+def op5_personal_data(s, d):
+    return pii.digest(table(s, d, "documents"))
+
+
+@query
+def op7_jaccard_join(s, d):
+    return jaccard.digest(table(s, d, "documents"))
