@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from worktrail.llm import urls
-from worktrail.llm.common import stored
+from worktrail.llm.common import numbered, stored
 from worktrail.llm.components import components
 
 LEAST = 3
@@ -350,5 +350,20 @@ def link(docs, k=3, num=90, den=100, id_column="doc_id", text="text"):
                     .alias("component_id")))
 
 
+def one_of_each(docs, k=5, num=80, den=100, id_column="doc_id", text="text"):
+    """The documents without those that link, also by others, with one of a smaller id.
+
+    Rows are told apart by id and row, so that one row stays of a group even if
+    ids are null or repeated. Documents without words all stay.
+    """
+    rows = stored(numbered(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+                                       .alias("own")), "row"), "rows")
+    named = rows.select("own", F.struct(F.col(f"own.`{id_column}`").alias("id"), "row").alias("key"),
+                        F.col(f"own.`{text}`").alias("text"))
+    gone = (link(named.select("key", "text"), k, num, den, "key", "text")
+            .filter("key <> component_id").select("key.row"))
+    return rows.join(gone, "row", "left_anti").select("own.*")
+
+
 def digest(docs):
     return link(docs).select("doc_id", "n_shingles", "component_id")
