@@ -111,7 +111,7 @@ def readable(raw):
 
 
 def unpacked(raw):
-    """Parts of compressed data as bytes, each of bounded size; None if it isn't compressed."""
+    """Parts of compressed data as bytes, each of bounded size; none if it isn't compressed."""
     if raw[:2] == b"\x1f\x8b":
         opener = zlib.decompressobj(31)
     elif raw[:1] == b"\x78" and len(raw) > 2 and (raw[0] << 8 | raw[1]) % 31 == 0:
@@ -121,7 +121,7 @@ def unpacked(raw):
     elif raw[:6] == b"\xfd7zXZ\x00":
         opener = lzma.LZMADecompressor()
     else:
-        return None
+        return ()
     return _parts(opener, raw)
 
 
@@ -154,13 +154,11 @@ def opened(run):
         raw = base64.b64decode(body.replace("-", "+").replace("_", "/") + "=" * (-len(body) % 4))
     except (binascii.Error, ValueError):
         return
-    parts = unpacked(raw)
-    if parts is None:
-        said = readable(raw)
-        if said:
-            yield said
+    said = readable(raw)
+    if said:
+        yield said
         return
-    for part in parts:
+    for part in unpacked(raw):
         yield part.decode("utf-8", "replace")
 
 

@@ -26,10 +26,10 @@ from pyspark.sql import functions as F
 from worktrail.llm import pretokens
 from worktrail.llm.common import Cache, stored
 
-HOT = 1 << 18
-FLUSH = 200_000  # distinct pieces that one task counts before it hands them on
+HOT = 1 << 20
+FLUSH = 400_000  # distinct parts that one task counts before it hands them on
 ROWS = 20_000  # rows of one outgoing batch
-CACHED = 150_000
+CACHED = 400_000  # text parts kept per task and generation
 
 
 @functools.cache
@@ -57,27 +57,10 @@ def segments(text, path):
     return parts, len(parts) - 1
 
 
-class Pieces:
-    """Pre-token frequencies of texts; the split of each text part is cached."""
-
-    def __init__(self):
-        self.cache = Cache(CACHED)
-
-    def counts(self, texts, path):
-        """For each text its Counter of pieces, and the number of special strings."""
-        keys, marks = [], []
-        for text in texts:
-            parts, n = segments(text or "", path)
-            keys.append([c for p in parts for c in pretokens.chunks(p)])
-            marks.append(n)
-        rows = self.cache.rows(keys, lambda new: {x: tuple(pretokens.pieces(x)) for x in new})
-        return [(Counter(p for own in row for p in own), n)
-                for row, n in zip(rows, marks, strict=True)]
-
-
-@functools.cache
-def splitter():
-    return Pieces()
+def keys_of(text, path):
+    """Part keys of a text (see ``pretokens``), and the number of special strings in it."""
+    parts, n = segments(text or "", path)
+    return [k for p in parts for k in pretokens.chunks(p)], n
 
 
 def _batches(rows, names, types):
@@ -89,18 +72,22 @@ def _batches(rows, names, types):
 
 def piece_counts(docs, path, text="text"):
     """How often each pre-token occurs: piece, freq."""
-    def run(batches):
+    def rows(parts):
         total = Counter()
+        for key, n in parts.items():
+            for piece in pretokens.pieces(key):
+                total[piece] += n
+        return _batches(list(total.items()), ["piece", "freq"], [pa.string(), pa.int64()])
+
+    def run(batches):
+        parts = Counter()
         for batch in batches:
-            texts = batch.column(0).to_pylist()
-            for i in range(0, len(texts), 256):
-                for own, _ in splitter().counts(texts[i:i + 256], path):
-                    total.update(own)
-                if len(total) > FLUSH:
-                    yield from _batches(list(total.items()), ["piece", "freq"],
-                                        [pa.string(), pa.int64()])
-                    total = Counter()
-        yield from _batches(list(total.items()), ["piece", "freq"], [pa.string(), pa.int64()])
+            for x in batch.column(0).to_pylist():
+                parts.update(keys_of(x, path)[0])
+                if len(parts) > FLUSH:
+                    yield from rows(parts)
+                    parts = Counter()
+        yield from rows(parts)
 
     found = docs.select(text).mapInArrow(run, "piece string, freq bigint")
     return found.groupBy("piece").agg(F.sum("freq").alias("freq"))
@@ -138,28 +125,40 @@ def frequencies(docs, path, hot, id_column="doc_id", text="text"):
     kind = docs.select(id_column).schema[0].dataType.simpleString()
 
     def run(batches):
-        known = shared.value
+        known, cache = shared.value, Cache(CACHED)
+
+        def split(key):
+            """Tokens of the hot pieces of a part; with its other pieces, if it has any."""
+            tokens, other = 0, []
+            for piece in pretokens.pieces(key):
+                n = known.get(piece)
+                if n is None:
+                    other.append(piece)
+                else:
+                    tokens += n
+            return (tokens, other) if other else tokens
+
         for batch in batches:
-            id_type = batch.column(0).type
             ids, hashes, texts = (batch.column(i).to_pylist() for i in range(3))
-            for i in range(0, len(texts), 128):
+            for i in range(0, len(texts), 256):
+                keys, marks = zip(*[keys_of(x, path) for x in texts[i:i + 256]], strict=True)
+                found = cache.rows(keys, lambda new: {k: split(k) for k in new})
                 rows = []
-                counted = splitter().counts(texts[i:i + 128], path)
-                for (own, n), key, h, x in zip(counted, ids[i:i + 128], hashes[i:i + 128],
-                                               texts[i:i + 128], strict=True):
-                    for piece, f in own.items():
-                        tokens = known.get(piece)
-                        if tokens is None:
-                            rows.append((key, h, piece, f, None, None))
-                        else:
-                            n += f * tokens
+                for key, h, x, n, own in zip(ids[i:i + 256], hashes[i:i + 256], texts[i:i + 256],
+                                             marks, found, strict=True):
+                    cold = [v for v in own if type(v) is tuple]
+                    n += sum([v for v in own if type(v) is int]) + sum(t for t, _ in cold)
+                    rows += [(key, h, piece, f, None, None) for piece, f in Counter(
+                        [p for _, other in cold for p in other]).items()]
                     rows.append((key, h, MARK.format(h % 9973), None, len((x or "").encode()), n))
                 yield from _batches(rows, ["id", "hash", "piece", "freq", "n_bytes", "hot"],
-                                    [id_type, pa.int64(), pa.string(), *[pa.int64()] * 3])
+                                    [batch.column(0).type, pa.int32(), pa.string(), pa.int32(),
+                                     pa.int64(), pa.int64()])
 
-    return docs.select(F.col(id_column).alias("id"), F.xxhash64(text).alias("hash"),
+    return docs.select(F.col(id_column).alias("id"),
+                       F.xxhash64(text).bitwiseAND(0x7FFFFFFF).cast("int").alias("hash"),
                        F.col(text).alias("text")).mapInArrow(
-        run, f"id {kind}, hash bigint, piece string, freq bigint, n_bytes bigint, hot bigint")
+        run, f"id {kind}, hash int, piece string, freq int, n_bytes bigint, hot bigint")
 
 
 def count_tokens(docs, path=None, id_column="doc_id", text="text", limit=512):
