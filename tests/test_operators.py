@@ -233,7 +233,7 @@ def test_workspace_context(spark):
 def test_context_text(spark, session, task_rows):
     tiers = context.context_tiers(session, task_rows, flt=E.EventFilter(source="IDE"))
     out = context.context_text(tiers).first()["text"]
-    assert out.startswith("## 📌 Permanent Notes & Decisions (Layer 3)\n- **AI note** _2024-03-01 09:00 UTC_\n")
+    assert out.startswith("## Lasting notes\n- **AI note** _2024-03-01 09:00 UTC_\n")
     assert "**Other** | Started: 2024-03-01 09:00 UTC | 3 events captured\n" in out
     assert "- **Fix it** (3 events)" in out
     assert out.endswith("**[IDE] Opened: b.py** _2024-03-01 09:00 UTC_\n```\nx\n```")
@@ -266,9 +266,9 @@ def test_diff_bounds(spark):
     diff = "\n".join(block(f"f{i}.rs", "+" + "x" * 50) for i in range(5))
     r = bounded(spark, diff, max_files=3, max_file=40, max_total=120)
     assert r["kept_files"] == ["f0.rs", "f1.rs", "f2.rs"] and r["was_truncated"]
-    assert r["bounded_diff"].endswith("[... Unified diff truncated at 120 bytes ...]\n")
-    assert r["notice"].startswith("> ⚠️ **Review Scope Notice:** File `f0.rs` was truncated exceeding 40 bytes.")
-    assert "Reached maximum file limit (3 files)" in r["notice"]
+    assert r["bounded_diff"].endswith("[... diff cut at 120 bytes ...]\n")
+    assert r["notice"].startswith("> **Not all was reviewed:** File `f0.rs` is cut at 40 bytes.")
+    assert "More files than the limit (3 files)" in r["notice"]
 
 
 REVIEWS = [
@@ -289,8 +289,8 @@ def test_review_scores(spark):
         c for _, _, c in REVIEWS]
     noted = review.score_reviews(df).withColumn("notice", F.lit("> cut"))
     text = review.review_comment(noted, now()).orderBy("i").first()["comment"]
-    assert text.startswith("<!-- automated-review -->\n## 🤖 Automated Code Review\n\n"
-                           "**Review Outcome:** 🔴 **FAIL**")
+    assert text.startswith("<!-- automated-review -->\n## Automatic review\n\n"
+                           "**Verdict:** 🔴 **FAIL**")
     assert "\n\n> cut\n\n#### 🔴 CRITICAL" in text
 
 

@@ -64,6 +64,56 @@ def test_repeats_without_ids_stay_apart(spark):
     assert ids("a") == ids("a") != ids("b")
 
 
+def nameless(spark, rows):
+    return spark.createDataFrame(rows, "source string, label string, content string").select(
+        F.lit(None).cast("string").alias("id"), F.lit(None).cast("timestamp").alias("timestamp"),
+        "source", "label", "content", *[F.lit(None).cast("string").alias(c) for c in (
+            "metadata", "cwd", "git_repo", "task_id")], F.lit(None).cast("boolean").alias("was_redacted"))
+
+
+def test_streams_keep_requests_without_ids(spark, tmp_path):
+    """Two streams into one store: real repeats stay apart; the tail gives every event."""
+    store = EventStore(str(tmp_path / "store"))
+    for k in (1, 2):
+        path = str(tmp_path / f"in{k}")
+        nameless(spark, [("terminal", "git status", "ok")] * 2).coalesce(1).write.parquet(path)
+        stream = src.stream_requests(spark, path, "parquet")
+        for _ in range(2):
+            run(ingest.start_ingest(stream, store, str(tmp_path / f"c{k}"), drain=True))
+        run(ingest.start_tail(stream, str(tmp_path / f"tail{k}"), str(tmp_path / f"t{k}"), drain=True))
+        assert spark.read.text(str(tmp_path / f"tail{k}")).count() == 2
+    assert store.read(spark).count() == 4
+
+
+def test_quarantine_keeps_malformed_text(spark):
+    raw = spark.createDataFrame([("{broken",), ('{"source":"term"}',), ("[1]",), (None,)], "value string")
+    _, rejected = src.split_requests(src.parse_requests(raw))
+    got = {(r["malformed"], r["reason"]) for r in rejected.collect()}
+    assert ("{broken", "malformed JSON") in got and ("[1]", "malformed JSON") in got
+    assert (None, "unknown source: null") in got
+
+
+@pytest.mark.parametrize("zone", ["UTC", "America/New_York"])
+def test_dates_are_utc_in_any_session(spark, tmp_path, zone):
+    from worktrail.functions import times
+    from worktrail.operators import events as E
+    was = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        e = nameless(spark, [("TERM", "a", "b")]).withColumn(
+            "timestamp", F.timestamp_seconds(F.lit(1704074400))).withColumn("id", F.lit("x"))
+        store = EventStore(str(tmp_path / "s"))
+        store.append(e)
+        row = store.read(spark).select("event_date", times.stamp(F.col("timestamp")).alias("s")).first()
+        assert str(row["event_date"]) == "2024-01-01" and row["s"] == "2024-01-01 02:00 UTC"
+        hit = E.EventFilter(since=datetime(2024, 1, 1), until=datetime(2024, 1, 1, 2))
+        assert E.apply_filter(store.read(spark), hit).count() == 1
+        miss = E.EventFilter(since=datetime(2024, 1, 1, 2, 0, 1))
+        assert E.apply_filter(store.read(spark), miss).count() == 0
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", was)
+
+
 def test_tail_emits_every_event(spark, request_files, tmp_path):
     stream = src.stream_requests(spark, request_files, "parquet")
     run(ingest.start_tail(stream, str(tmp_path / "out"), str(tmp_path / "cp"), drain=True))
@@ -73,22 +123,44 @@ def test_tail_emits_every_event(spark, request_files, tmp_path):
     assert '"source":"TERM"' in lines.filter(F.contains("value", F.lit("click"))).first()[0]
 
 
-def test_stream_debounce_equals_batch(spark, tmp_path):
+def shuffled_stream(spark, rows, schema, path, parts=5):
+    """Rows as a stream of micro-batches whose times are mixed."""
+    for k in range(parts):
+        spark.createDataFrame(rows[k::parts], schema).coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def test_debounce_over_shuffled_batches(spark, tmp_path):
     e = I.events(spark, D)
-    path = str(tmp_path / "in")
-    for day in range(1, 31, 10):
-        part = e.filter((F.dayofmonth("timestamp") >= day) & (F.dayofmonth("timestamp") < day + 10))
-        part.coalesce(1).write.mode("append").parquet(path)
-    last = e.limit(1).withColumn("timestamp", F.lit("2025-01-01").cast("timestamp")).withColumn(
-        "source", F.lit("END"))
-    last.write.mode("append").parquet(path)
-    stream = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(path)
-    q = (state.debounce(stream, ["source"], "10 minutes", "40 days").writeStream.format("memory")
-         .queryName("bursts").outputMode("append").trigger(availableNow=True).start())
-    run(q)
+    rows = sorted(e.collect(), key=lambda r: hash(r["id"]))
+    day = 86_400_000
+    stream = shuffled_stream(spark, rows, e.schema, str(tmp_path / "in"))
+    out = str(tmp_path / "out")
+    for checkpoint in ("cp", "cp"):  # the second run finds nothing new
+        run(state.start_debounce(stream, ["source"], 600_000, 60 * day, out,
+                                 str(tmp_path / checkpoint), drain=True))
     want = capture.debounce(e, ["source"], 600_000)
-    got = spark.table("bursts").select(want.columns)
-    assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+    got = state.closed_bursts(spark, out, e.schema).unionByName(
+        state.flush_debounce(spark, out, e.schema, ["source"], 600_000))
+    got = got.select(want.columns)
+    assert got.count() == want.count() and got.exceptAll(want).count() == 0
+
+
+def test_debounce_closes_bursts_and_keeps_late_rows(spark, tmp_path):
+    schema = "id string, timestamp timestamp, source string"
+    at = lambda m: datetime(2024, 1, 1, 9, m)
+    out, path, seen = str(tmp_path / "out"), str(tmp_path / "in"), []
+    for m in (1, 30, 40, 10, 59):
+        spark.createDataFrame([(str(m), at(m), None)], schema).coalesce(1).write.mode(
+            "append").parquet(path)
+        run(state.start_debounce(spark.readStream.schema(schema).parquet(path), ["source"],
+                                 300_000, 600_000, out, str(tmp_path / "cp"), drain=True))
+        seen.append(sorted(r["id"] for r in state.closed_bursts(spark, out, schema).collect()))
+    assert seen == [[], ["1"], ["1"], ["1"], ["1", "30", "40"]]
+    late = spark.read.parquet(f"{out}/late")
+    assert [r["id"] for r in late.collect()] == ["10"]
+    rest = state.flush_debounce(spark, out, schema, ["source"], 300_000)
+    assert [r["id"] for r in rest.collect()] == ["59"]
 
 
 def test_running_counts(spark):
@@ -100,30 +172,37 @@ def test_running_counts(spark):
     assert {r["source"]: r["n_events"] for r in spark.table("counts").collect()} == want
 
 
-def test_stream_lifecycle_equals_batch(spark, tmp_path):
-    q = (state.task_states(I.actions(spark, D, stream=True)).writeStream.format("memory")
-         .queryName("lifecycle").outputMode("update").trigger(availableNow=True).start())
-    run(q)
-    want = K.task_state(I.actions(spark, D))
-    got = spark.table("lifecycle").select(want.columns)
+def test_counts_over_batches(spark, tmp_path):
+    e = I.events(spark, D)
+    stream = shuffled_stream(spark, e.collect(), e.schema, str(tmp_path / "in"), 3)
+    run(state.start_counts(stream, ["source"], str(tmp_path / "out"), str(tmp_path / "cp"), drain=True))
+    got = state.read_version(spark, str(tmp_path / "out"), "source string, n_events bigint")
+    assert {tuple(r) for r in got.collect()} == {
+        tuple(r) for r in e.groupBy("source").count().collect()}
+
+
+def test_lifecycle_over_shuffled_batches(spark, tmp_path):
+    a = I.actions(spark, D)
+    rows = sorted(a.collect(), key=lambda r: hash((r["seq"], r["task_id"])))
+    stream = shuffled_stream(spark, rows, a.schema, str(tmp_path / "in"))
+    run(state.start_lifecycle(stream, str(tmp_path / "out"), str(tmp_path / "cp"), drain=True))
+    want, got = K.task_state(a), state.lifecycle(spark, str(tmp_path / "out"))
     assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
 
 
-def test_lifecycle_keeps_state_between_batches(spark, tmp_path):
+def test_lifecycle_keeps_state_between_runs(spark, tmp_path):
     path, at = str(tmp_path / "log"), lambda m: datetime(2024, 1, 1, 9, m)
-    schema = "task_id string, action string, ts timestamp, seq bigint"
-    runs = [[("a", "start", at(1), 1), ("b", "stop", at(1), 1)],
+    runs = [[("a", "start", at(1), 1), ("b", "stop", at(1), 1), ("d", "stop", at(5), 2)],
             [("a", "stop", at(2), 2), ("b", "start", at(2), 2), ("c", "start", at(2), 1)],
-            [("a", "abandon", at(3), 3), ("b", "abandon", at(3), 3)]]
+            [("a", "abandon", at(3), 3), ("b", "abandon", at(3), 3), ("d", "start", at(4), 1)]]
     for rows in runs:
-        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(path)
-        stream = spark.readStream.schema(schema).parquet(path)
-        run(state.start_upserts(state.task_states(stream), str(tmp_path / "out"),
-                                str(tmp_path / "cp"), drain=True))
+        spark.createDataFrame(rows, state.ACTIONS).coalesce(1).write.mode("append").parquet(path)
+        stream = spark.readStream.schema(state.ACTIONS).parquet(path)
+        run(state.start_lifecycle(stream, str(tmp_path / "out"), str(tmp_path / "cp"), drain=True))
     got = {r["task_id"]: (r["status"], r["started_at"], r["stopped_at"]) for r in
-           state.latest(spark, str(tmp_path / "out"), "task_id").collect()}
+           state.lifecycle(spark, str(tmp_path / "out")).collect()}
     assert got == {"a": ("completed", at(1), at(2)), "b": ("abandoned", at(2), at(3)),
-                   "c": ("active", at(2), None)}
+                   "c": ("active", at(2), None), "d": ("completed", at(4), at(5))}
 
 
 def test_prune_rewrites_only_affected_days(spark, tmp_path):

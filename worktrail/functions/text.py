@@ -132,13 +132,15 @@ _VIEW_RE = (r"(?imUd)^(?:View|Check|Open|See)\s+(?:this|the|our)\s+"
 _POWERED_RE = r"(?imUd)Powered by[^\n]*"
 
 
+def _literal(x):
+    """A string as a pattern that matches it alone."""
+    return "".join(c if c.isalnum() else "\\" + c for c in x)
+
+
 def reference_patterns(products=(), hosts=(), vendors=(), lines=()):
     """Delete patterns for a search product, its hosts, vendors and quoted lines."""
-    q = [(kind, "".join("\\" + ch if not ch.isalnum() else ch for ch in v))
-         for kind, vs in (("p", products), ("h", hosts), ("v", vendors), ("l", lines))
-         for v in vs]
-    named = [v for k, v in q if k == "p"]
-    hosted = [v for k, v in q if k == "h"]
+    named, hosted, sellers, quoted = (
+        [_literal(x) for x in xs] for xs in (products, hosts, vendors, lines))
     return (
         [_EXPLORE_RE]
         + [rf"(?iUd)View this search on {p}:?[^\n]*" for p in named]
@@ -146,8 +148,8 @@ def reference_patterns(products=(), hosts=(), vendors=(), lines=()):
         + [rf"(?iUd)https?://(?:www\.)?{h}\S*" for h in hosted]
         + [rf"(?iUd)(?:api\.)?{h}\S*" for h in hosted]
         + [rf"(?iUd){p}\S*" for p in named]
-        + [rf"(?iUd){v}(?:'s)?" for k, v in q if k == "v"]
-        + [rf"(?imUd)^.*?{v}.*$" for k, v in q if k == "l"]
+        + [rf"(?iUd){v}(?:'s)?" for v in sellers]
+        + [rf"(?imUd)^.*?{x}.*$" for x in quoted]
         + [_COVERAGE_RE, _VIEW_RE, _POWERED_RE]
     )
 

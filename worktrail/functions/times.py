@@ -17,8 +17,18 @@ def parse_timestamp(c):
             .when(c.rlike(NAIVE_RE), naive.try_cast("timestamp")))
 
 
+def in_utc(ts):
+    """The UTC wall clock of a timestamp, whatever the session time zone is."""
+    return F.to_utc_timestamp(ts, F.current_timezone())
+
+
+def utc_date(ts):
+    return F.date_add(F.lit("1970-01-01").cast("date"),
+                      F.floor(F.unix_micros(ts) / F.lit(86_400_000_000)).cast("int"))
+
+
 def stamp(ts):
-    return F.date_format(ts, "yyyy-MM-dd HH:mm 'UTC'")
+    return F.date_format(in_utc(ts), "yyyy-MM-dd HH:mm 'UTC'")
 
 
 def seconds_between(start, end):

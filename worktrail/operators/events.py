@@ -1,12 +1,13 @@
 """Event timeline: filters, counts, paging, reference checks."""
 
 from dataclasses import dataclass, replace
-from datetime import datetime
+from datetime import UTC, datetime
 from functools import reduce
 
 from pyspark.sql import functions as F
 
 from worktrail import schema as S
+from worktrail.functions import text
 from worktrail.operators.ranking import salted_lookup
 
 
@@ -41,16 +42,23 @@ class EventFilter:
             if wanted is not None:
                 out.append(F.col(name) == wanted)
         if self.since is not None:
-            out.append(F.col("timestamp") >= F.lit(self.since).cast("timestamp"))
+            since = utc(self.since)
+            out.append(F.col("timestamp") >= F.lit(since.isoformat()).cast("timestamp"))
             if partitioned:
-                out.append(F.col("event_date") >= F.lit(self.since).cast("date"))
+                out.append(F.col("event_date") >= F.lit(since.date()))
         if self.until is not None:
-            out.append(F.col("timestamp") <= F.lit(self.until).cast("timestamp"))
+            until = utc(self.until)
+            out.append(F.col("timestamp") <= F.lit(until.isoformat()).cast("timestamp"))
             if partitioned:
-                out.append(F.col("event_date") <= F.lit(self.until).cast("date"))
+                out.append(F.col("event_date") <= F.lit(until.date()))
         return out
 
 
+def utc(at):
+    """A bound in UTC; one without a zone is read as UTC."""
+    return at.replace(tzinfo=UTC) if at.tzinfo is None else at.astimezone(UTC)
+
+
 def newest_first(ts="timestamp", tie="id"):
     return [F.desc(ts), F.asc(tie)]
 
@@ -106,4 +114,8 @@ def detach_orphans(events, tasks):
 
 
 def to_json_rows(events):
-    return events.select("id", F.to_json(F.struct(*events.columns)).alias("json"))
+    """One JSON object per event: the source by name, metadata as JSON, nulls kept."""
+    named = events.withColumn("source", text.source_name(F.col("source"))).withColumn(
+        "metadata", F.try_parse_json("metadata"))
+    return named.select("id", F.to_json(
+        F.struct(*events.columns), {"ignoreNullFields": "false"}).alias("json"))

@@ -210,8 +210,10 @@ def load_index(spark, path, but_batch=None):
         for kind in ("base", "batches"):
             try:
                 df = spark.read.parquet(f"{path}/{kind}/{name}")
-            except AnalysisException:  # nothing written there yet
-                continue
+            except AnalysisException as e:
+                if e.getCondition() != "PATH_NOT_FOUND":
+                    raise
+                continue  # nothing written there yet
             if "batch_id" in df.columns:
                 df = (df if but_batch is None else df.filter(F.col("batch_id") != but_batch))
                 df = df.drop("batch_id")

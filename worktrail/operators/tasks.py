@@ -35,6 +35,26 @@ def task_state(actions):
     )
 
 
+def essential_actions(actions):
+    """The least part of a log that gives the same states, whatever is added later.
+
+    Of a task: its first start, the first terminal action from then on, and the
+    terminal actions before it, which count if an earlier start turns up.
+    """
+    at = F.struct("ts", "seq")
+    known = actions.filter(F.col("action").isin("start", *TERMINAL)).distinct()
+    opened = (known.filter(F.col("action") == "start").groupBy("task_id")
+              .agg(F.min(at).alias("opened")))
+    closing = salted_lookup(known.filter(F.col("action") != "start"), opened, ["task_id"],
+                            salt_on=["ts", "seq"], how="left")
+    late = closing.filter(at >= F.col("opened"))
+    first = late.groupBy("task_id").agg(F.min(F.struct("ts", "seq", "action")).alias("x"))
+    return (opened.select("task_id", F.lit("start").alias("action"), "opened.ts", "opened.seq")
+            .unionByName(first.select("task_id", "x.action", "x.ts", "x.seq"))
+            .unionByName(closing.filter(F.col("opened").isNull() | (at < F.col("opened")))
+                         .select("task_id", "action", "ts", "seq")))
+
+
 def start_tasks(tasks, new):
     """Append new active tasks."""
     rows = new.select(

@@ -127,11 +127,7 @@ def task_summary_update(s, d):
 
 @query
 def events_json(s, d):
-    e = I.events(s, d).withColumn("source", text.source_name(F.col("source")))
-    return e.select("id", F.to_json(
-        F.struct("id", "timestamp", "source", "label", "content",
-                 F.try_parse_json("metadata").alias("metadata"), "was_redacted", "cwd",
-                 "git_repo", "task_id"), {"ignoreNullFields": "false"}).alias("json"))
+    return E.to_json_rows(I.events(s, d))
 
 
 # --- filters -------------------------------------------------------------------
@@ -336,6 +332,23 @@ def recent(s, d):
         "id", "timestamp", "label", "content")
 
 
+@query
+def recent_clamped(s, d):
+    """A limit above the bound gives as many rows as the bound."""
+    return E.recent(I.events(s, d), E.EventFilter(limit=5000)).select("id", "timestamp", "source")
+
+
+@query
+def task_lookup(s, d):
+    return K.task_by_id(I.tasks(s, d), TASK).select("id", "name", "status", "started_at", "event_count")
+
+
+@query
+def notes_clamped(s, d):
+    """A limit below the bound gives one row."""
+    return E.notes(I.events(s, d), 0).select("id", "timestamp", "source")
+
+
 @query
 def recent_page2(s, d):
     return E.recent(I.events(s, d), E.EventFilter(limit=50, offset=50)).select("id", "timestamp")
@@ -588,6 +601,23 @@ def search_prefix(s, d):
     return _ranked(s, d, search.prefix("ther", stemmed=False))
 
 
+@query
+def search_blank(s, d):
+    """A query without words finds nothing."""
+    doc = I.documents(s, d)
+    i = search.build_index(doc, stemmed=False)
+    return search.search(doc, i, search.all_terms(" ,; ", stemmed=False)).select("id", "bm25_rank")
+
+
+@query
+def search_limited(s, d):
+    """The caller's limit is clamped: 0 asks for one event."""
+    doc = I.documents(s, d)
+    i = search.build_index(doc, stemmed=False)
+    return search.search(doc, i, search.all_terms("the with", stemmed=False), 0).select(
+        "id", F.round("bm25_rank", 6).alias("bm25_rank"))
+
+
 @query
 def search_ranked(s, d):
     """Best 20 events of a two-word query, stemming off."""
@@ -693,28 +723,39 @@ def stream_tail(s, d):
         F.get_json_object("value", "$.content").alias("content"))
 
 
+@query
+def stream_quarantine(s, d):
+    base = work_dir(s, "stream-quarantine")
+    requests = src.parse_requests(I.requests(s, d, stream=True))
+    ingest.start_ingest(requests, EventStore(f"{base}/store"), f"{base}/checkpoint",
+                        drain=True).awaitTermination()
+    return s.read.parquet(f"{base}/store/quarantine").select("id", "source", "reason")
+
+
 @query
 def stream_counts(s, d):
     base = work_dir(s, "stream-counts")
-    counts = state.running_counts(I.events(s, d, stream=True), "source")
-    state.start_upserts(counts, f"{base}/out", f"{base}/checkpoint", drain=True).awaitTermination()
-    return state.latest(s, f"{base}/out", "source")
+    e = I.events(s, d, stream=True)
+    state.start_counts(e, ["source"], f"{base}/out", f"{base}/checkpoint",
+                       drain=True).awaitTermination()
+    return state.read_version(s, f"{base}/out", state.running_counts(e, "source").schema)
 
 
 @query
 def stream_debounce(s, d):
-    """Closed bursts only: a burst is out once the watermark passes its end."""
+    """Closed bursts, and those still open when the input ends."""
     base = work_dir(s, "stream-debounce")
-    bursts = state.debounce(I.events(s, d, stream=True), ["source"], f"{BURST_MS} milliseconds")
-    (bursts.writeStream.format("parquet").outputMode("append").option("path", f"{base}/out")
-     .option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start()
-     .awaitTermination())
-    return s.read.schema(bursts.schema).parquet(f"{base}/out").select("id", "source", "timestamp")
+    e = I.events(s, d, stream=True)
+    state.start_debounce(e, ["source"], BURST_MS, 3_600_000, f"{base}/out", f"{base}/checkpoint",
+                         drain=True).awaitTermination()
+    closed = state.closed_bursts(s, f"{base}/out", e.schema)
+    rest = state.flush_debounce(s, f"{base}/out", e.schema, ["source"], BURST_MS)
+    return closed.unionByName(rest.select(closed.columns)).select("id", "source", "timestamp")
 
 
 @query
 def stream_task_state(s, d):
     base = work_dir(s, "stream-tasks")
-    changes = state.task_states(I.actions(s, d, stream=True))
-    state.start_upserts(changes, f"{base}/out", f"{base}/checkpoint", drain=True).awaitTermination()
-    return state.latest(s, f"{base}/out", "task_id")
+    state.start_lifecycle(I.actions(s, d, stream=True), f"{base}/out", f"{base}/checkpoint",
+                          drain=True).awaitTermination()
+    return state.lifecycle(s, f"{base}/out")

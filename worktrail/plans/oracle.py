@@ -85,7 +85,7 @@ def cut(expr):
     """Byte-exact truncation: drop trailing or leading continuation bytes."""
     return f"""(SELECT CASE WHEN octet_length(encode(x)) <= 8192 THEN x ELSE
       decode(encode(x)[1:h]) || chr(10) || chr(10) || '... [truncated '
-      || CAST(t - h AS VARCHAR) || ' bytes — middle of output omitted for token efficiency] ...'
+      || CAST(t - h AS VARCHAR) || ' bytes left out here] ...'
       || chr(10) || chr(10) || decode(encode(x)[t + 1:]) END
     FROM (SELECT x,
       3800 - CASE WHEN octet_length(encode(x)) <= 8192 THEN 0
@@ -140,15 +140,15 @@ NEWEST = """, newest AS (
   WHERE rn <= {k})"""
 
 
-def cards_sql(k=200, direction="ASC"):
-    src = "newest"
+def cards_sql(k=None, direction="ASC"):
+    src = "newest" if k else "ev"
     first = FIRST
     if direction == "DESC":
         first = """files AS (
   SELECT task_id, path, "timestamp" AS first_ts, id AS first_event, pos AS first_pos FROM (
     SELECT *, row_number() OVER (PARTITION BY task_id, path
       ORDER BY "timestamp" DESC, id, pos) AS r FROM seen) WHERE r = 1)"""
-    return (TK + NEWEST.format(k=k) + ", " + SEEN.format(src=src) + ", " + first + ", "
+    return (TK + (NEWEST.format(k=k) if k else "") + ", " + SEEN.format(src=src) + ", " + first + ", "
             + CMDS.format(src=src) + ", " + NOTES.format(src=src) + f""", card AS (
   SELECT tk.id AS task_id, name AS goal,
     date_diff('microsecond', started_at, coalesce(stopped_at, {NOW})) // 1000000 AS duration_secs,
@@ -427,7 +427,7 @@ ORACLE = {
     "files_touched": f"WITH {EV}, {SEEN.format(src='ev')}, {FIRST} SELECT * FROM files",
     "commands_verified": f"WITH {EV}, {CMDS.format(src='ev')} SELECT * FROM cmds",
     "decisions": f"WITH {EV}, {NOTES.format(src='ev')} SELECT * FROM notes",
-    "token_estimate": f"WITH {cards_sql(1000000)} SELECT task_id, token_estimate FROM card",
+    "token_estimate": f"WITH {cards_sql()} SELECT task_id, token_estimate FROM card",
     "session_cards": f"""WITH {cards_sql()} SELECT task_id, goal, duration_secs, result, token_estimate,
         CAST(to_json(files) AS VARCHAR) AS files_touched,
         CAST(to_json(cmds_list) AS VARCHAR) AS commands_verified,
@@ -476,15 +476,15 @@ ORACLE = {
         list(line ORDER BY pos) FILTER (tier = 3) AS a, list(line ORDER BY pos) FILTER
           (tier = 2 AND part = 0) AS b, list(line ORDER BY pos) FILTER (tier = 2 AND part = 1) AS c,
         list(line ORDER BY pos) FILTER (tier = 1) AS e FROM tiers GROUP BY git_repo)
-      SELECT git_repo, coalesce('## 📌 Permanent Notes & Decisions (Layer 3)' || chr(10)
+      SELECT git_repo, coalesce('## Lasting notes' || chr(10)
           || array_to_string(a, chr(10)) || chr(10) || chr(10), '')
-        || '## 🟢 Active Task (Layer 2)' || chr(10)
-        || coalesce(array_to_string(b, chr(10)), '_(no active task)_') || chr(10) || chr(10)
-        || coalesce('## ✅ Recent Sessions (Layer 2)' || chr(10) || array_to_string(c, chr(10))
+        || '## Task in progress' || chr(10)
+        || coalesce(array_to_string(b, chr(10)), '_(none)_') || chr(10) || chr(10)
+        || coalesce('## Finished sessions' || chr(10) || array_to_string(c, chr(10))
           || chr(10) || chr(10), '')
-        || '## ⚡ Recent Activity (Layer 1)' || chr(10) || coalesce(array_to_string(e,
+        || '## Latest events' || chr(10) || coalesce(array_to_string(e,
           chr(10) || chr(10) || '---' || chr(10) || chr(10)),
-          '_(No context events captured yet.)_') AS text FROM g""",
+          '_(nothing yet)_') AS text FROM g""",
     "strip_ansi": f"WITH {DOC} SELECT id, md5(content) AS text_md5 FROM doc",
     "redact": f"""WITH {DOC}, x AS (SELECT id, content || {SAMPLES} AS c FROM doc),
         m AS (SELECT id, c, {masked('c')} AS mk FROM x)
@@ -571,7 +571,7 @@ ORACLE = {
     "search_ranked": f"""WITH {ranked_sql(term_hits('the', 'with'), n=2)}
         SELECT id, label, "timestamp", md5(content) AS text_md5, round(r, 6) AS bm25_rank
         FROM ranked JOIN doc USING (id) ORDER BY r, id LIMIT 20""",
-    "search_batch": f"""WITH {IDX}, q AS (SELECT item_id AS query_id, unnest({TOKENS.format(c='text')}[1:2])
+    "search_batch": f"""WITH {IDX}, q AS (SELECT item_id AS query_id, unnest({TOKENS.format(c='text')})
         AS term FROM benchmark), w AS (SELECT query_id, term, count(*) AS weight FROM q GROUP BY ALL),
       tf AS (SELECT id, term, count(*) AS tf FROM place WHERE term IN (SELECT term FROM q) GROUP BY id, term),
       df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
@@ -584,31 +584,31 @@ ORACLE = {
     "diff_bounded": f"""WITH {DIFF}, joined AS (SELECT diff_id,
         string_agg(path, ',' ORDER BY pos) AS kept_files,
         string_agg(CASE WHEN big THEN substr(block, 1, 16384) || chr(10) || chr(10)
-          || '[... File diff truncated at 16384 bytes ...]' || chr(10) ELSE block END,
+          || '[... file cut at 16384 bytes ...]' || chr(10) ELSE block END,
           chr(10) || chr(10) ORDER BY pos) AS t,
-        list('File `' || path || '` was truncated exceeding 16384 bytes.' ORDER BY pos) FILTER (big) AS r
+        list('File `' || path || '` is cut at 16384 bytes.' ORDER BY pos) FILTER (big) AS r
         FROM kept GROUP BY diff_id),
       n AS (SELECT diff_id, count(*) AS files FROM every_file GROUP BY diff_id),
       w AS (SELECT *, list_concat(list_concat(coalesce(r, []), CASE WHEN files > 30 THEN
-        ['Reached maximum file limit (30 files). Remaining files omitted.'] ELSE [] END),
-        CASE WHEN octet_length(encode(t)) > 65536 THEN ['Total diff exceeded 65536 bytes limit.']
+        ['More files than the limit (30 files). The others are left out.'] ELSE [] END),
+        CASE WHEN octet_length(encode(t)) > 65536 THEN ['The diff is over 65536 bytes.']
         ELSE [] END) AS why FROM joined JOIN n USING (diff_id))
       SELECT diff_id, kept_files, md5(CASE WHEN octet_length(encode(t)) > 65536 THEN substr(t, 1, 65536)
-        || chr(10) || chr(10) || '[... Unified diff truncated at 65536 bytes ...]' || chr(10) ELSE t END)
+        || chr(10) || chr(10) || '[... diff cut at 65536 bytes ...]' || chr(10) ELSE t END)
         AS diff_md5, len(why) > 0 AS was_truncated, CASE WHEN len(why) > 0 THEN
-        '> ⚠️ **Review Scope Notice:** ' || array_to_string(why, ' ') END AS notice FROM w""",
+        '> **Not all was reviewed:** ' || array_to_string(why, ' ') END AS notice FROM w""",
     "review_status": f"WITH {SCORED} SELECT review_id, declared, status FROM sc",
     "review_comment": f"""WITH {SCORED} SELECT review_id, md5('<!-- automated-review -->' || chr(10)
-        || '## 🤖 Automated Code Review' || chr(10) || chr(10) || '**Review Outcome:** '
-        || CASE status WHEN 'PASS' THEN '🟢 **PASS** — No critical issues found' WHEN 'WARN' THEN
-          '🟡 **WARN** — Actionable observations detected' ELSE
-          '🔴 **FAIL** — Critical or high-risk issues require resolution' END || chr(10)
-        || '**Findings Summary:** ' || n_critical || ' Critical • ' || n_high || ' High • ' || n_medium
+        || '## Automatic review' || chr(10) || chr(10) || '**Verdict:** '
+        || CASE status WHEN 'PASS' THEN '🟢 **PASS** — nothing serious found' WHEN 'WARN' THEN
+          '🟡 **WARN** — worth a look before merging' ELSE
+          '🔴 **FAIL** — serious findings to settle first' END || chr(10)
+        || '**Counted findings:** ' || n_critical || ' Critical • ' || n_high || ' High • ' || n_medium
         || ' Medium • ' || n_low || ' Low' || chr(10) || chr(10) || t || chr(10) || chr(10) || '---'
-        || chr(10) || '*Evaluated automatically against repository safety rules • 2024-01-31 00:00:00 UTC*')
+        || chr(10) || '*Rated by rules at 2024-01-31 00:00:00 UTC*')
         AS comment_md5 FROM sc""",
     "review_prompt": f"""WITH {REVIEW_TEXT} SELECT review_id, md5('Repo demo PR #' || review_id || chr(10)
-        || CASE WHEN review_id % 2 = 0 THEN 'fix it' ELSE 'No description provided.' END || chr(10)
+        || CASE WHEN review_id % 2 = 0 THEN 'fix it' ELSE '(no description)' END || chr(10)
         || '<<<' || chr(10) || text || chr(10) || '>>>') AS prompt_md5 FROM rv""",
     "comment_upsert": """WITH c AS (SELECT conv_id AS pr_id, conv_id * 1000 + turn AS comment_id, turn,
         conv_id % 3 <> 0 AND role = 'assistant' AS marked FROM conversations),
@@ -641,7 +641,14 @@ ORACLE["stream_ingest"] = ORACLE["src_events"]
 ORACLE["stream_tail"] = f"WITH {REQ} SELECT id, source, content FROM rq WHERE n % 11 <> 0"
 ORACLE["stream_counts"] = ORACLE["source_counts"]
 ORACLE["stream_task_state"] = ORACLE["task_state"]
-ORACLE["stream_debounce"] = f"""WITH {EV} SELECT id, source, "timestamp" FROM (SELECT *,
-    lead("timestamp") OVER (PARTITION BY source ORDER BY "timestamp", id) AS nx,
-    max("timestamp") OVER () AS newest FROM ev)
-  WHERE coalesce(nx, newest) >= "timestamp" + INTERVAL 10 MINUTE"""
+ORACLE["stream_debounce"] = ORACLE["debounce"]
+ORACLE["stream_quarantine"] = ORACLE["src_quarantine"]
+ORACLE["recent_clamped"] = f"""WITH {EV} SELECT id, "timestamp", source FROM ev
+  ORDER BY "timestamp" DESC, id LIMIT 200"""
+ORACLE["task_lookup"] = f"""WITH {TK} SELECT id, name, status, started_at, event_count FROM tk
+  WHERE id = '8-2024-01-01'"""
+ORACLE["notes_clamped"] = f"""WITH {EV} SELECT id, "timestamp", source FROM ev
+  WHERE source IN ('NOTE', 'MCP') ORDER BY "timestamp" DESC, id LIMIT 1"""
+ORACLE["search_blank"] = "SELECT '' AS id, 0.0::DOUBLE AS bm25_rank FROM documents WHERE false"
+ORACLE["search_limited"] = f"""WITH {ranked_sql(term_hits('the', 'with'), n=2)}
+  SELECT id, round(r, 6) AS bm25_rank FROM ranked ORDER BY r, id LIMIT 1"""

@@ -24,10 +24,12 @@ def local_session(cpus="*", shuffle_partitions=8, memory="8g", app="worktrail"):
 def work_dir(spark, name):
     """A fresh folder under the cluster's shared checkpoint folder.
 
-    Only where ``spark.checkpoint.dir`` is unset (tests on one machine) is a
-    local folder used.
+    Only a session on one machine may leave ``spark.checkpoint.dir`` unset and
+    use a local folder; on a cluster that would lose each executor's files.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         return tempfile.mkdtemp(prefix=f"worktrail-{name}-")
     return os.path.join(base, f"{name}-{os.urandom(8).hex()}")

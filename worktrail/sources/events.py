@@ -25,16 +25,29 @@ def stream_requests(spark, path, fmt="json", max_files=None):
 
 
 def parse_requests(df, column="value"):
-    """Requests from a JSON text column, such as a message queue's value."""
-    return df.select(F.from_json(column, S.INGEST_SCHEMA).alias("r")).select("r.*")
+    """Requests from a JSON text column, such as a message queue's value.
+
+    ``malformed`` keeps the text of what is no JSON object, for the quarantine.
+    """
+    parsed = F.from_json(column, S.INGEST_SCHEMA)
+    readable = F.try_parse_json(F.col(column)).isNotNull() & F.ltrim(column).startswith("{")
+    return df.select(parsed.alias("r"), F.when(~readable, F.col(column)).alias("malformed")).select(
+        "r.*", "malformed")
 
 
 def split_requests(requests):
-    """(valid, rejected): a request is valid when its source alias is known."""
+    """(valid, rejected): a request is valid when its source alias is known.
+
+    Rejected rows keep their fields, the text of malformed JSON, and a reason.
+    """
+    if "malformed" not in requests.columns:
+        requests = requests.withColumn("malformed", F.lit(None).cast("string"))
     coded = requests.withColumn("code", text.source_code(F.col("source")))
-    valid = coded.filter(F.col("code").isNotNull()).withColumn("source", F.col("code")).drop("code")
+    valid = (coded.filter(F.col("code").isNotNull()).withColumn("source", F.col("code"))
+             .drop("code", "malformed"))
     rejected = coded.filter(F.col("code").isNull()).drop("code").withColumn(
-        "reason", F.concat(F.lit("unknown source: "), F.coalesce("source", F.lit("null"))))
+        "reason", F.when(F.col("malformed").isNotNull(), "malformed JSON").otherwise(
+            F.concat(F.lit("unknown source: "), F.coalesce("source", F.lit("null")))))
     return valid, rejected
 
 
@@ -58,13 +71,13 @@ def with_ids(requests, scope):
     return named.unionByName(numbered.withColumn("id", uid).drop("__k"))
 
 
-def to_events(valid, scope=None):
+def to_events(valid, scope="load"):
     """Cleaned events from valid requests; ``scope`` numbers those without id.
 
-    A request without a time gets the time of this read.
+    Two loads or streams that write to one store need different scopes. A
+    request without a time gets the time of this read.
     """
-    known = with_ids(valid, scope) if scope is not None else valid.filter(F.col("id").isNotNull())
-    filled = (known
+    filled = (with_ids(valid, scope)
               .withColumn("timestamp", F.coalesce("timestamp", F.current_timestamp()))
               .withColumn("label", F.coalesce("label", F.lit("")))
               .withColumn("content", F.coalesce("content", F.lit("")))

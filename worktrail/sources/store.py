@@ -7,6 +7,7 @@ from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
 
 from worktrail import schema as S
+from worktrail.functions import times
 from worktrail.operators import dedup, retention
 from worktrail.operators.tasks import update_summaries
 
@@ -28,8 +29,10 @@ class EventStore:
     def read(self, spark):
         try:
             return spark.read.schema(STORED_SCHEMA).parquet(self.events_path)
-        except AnalysisException:  # nothing written yet
-            return spark.createDataFrame([], STORED_SCHEMA)
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return spark.createDataFrame([], STORED_SCHEMA)  # nothing written yet
 
     def append(self, batch):
         """Insert-if-absent; the batch's own copies count once."""
@@ -44,7 +47,7 @@ class EventStore:
         """
         events = self.read(spark)
         gone = retention.expired(now, days)
-        old = F.col("event_date") <= retention.cutoff(now, days).cast("date")
+        old = F.col("event_date") <= times.utc_date(retention.cutoff(now, days))
         per_day = (events.filter(old).groupBy("event_date")
                    .agg(F.count_if(gone).alias("gone"), F.count_if(~gone).alias("kept"))
                    .filter(F.col("gone") > 0).collect())  # one row per day
@@ -68,9 +71,8 @@ class EventStore:
 def write_events(events, path):
     """Append by day, sorted by time inside the files for row-group pruning."""
     (events.select(*S.EVENT_COLUMNS)
-     .withColumn("event_date", F.to_date("timestamp"))
-     .withColumn("__part", F.pmod(F.xxhash64("id"), F.lit(16)))
-     .repartition("event_date", "__part").drop("__part")
+     .withColumn("event_date", times.utc_date(F.col("timestamp")))
+     .hint("rebalance", F.col("event_date"))
      .sortWithinPartitions("event_date", "timestamp")
      .write.mode("append").partitionBy("event_date").parquet(path))
 

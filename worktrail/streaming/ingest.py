@@ -20,17 +20,24 @@ def index_batch(spark, store, ids, path, batch_id):
     search.append_batch(search.build_index(stored.join(known, "id", "left_anti")), path, batch_id)
 
 
+def batch_scope(batch, batch_id):
+    """A name for this micro-batch of this stream: the query id is kept in the checkpoint."""
+    query = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+    return f"{query}-{batch_id}"
+
+
 def ingest_batch(store, index_path=None, quarantine=True):
     """The ``foreachBatch`` function for a stream of ingest requests."""
     def apply(batch, batch_id):
         valid, rejected = src.split_requests(batch)
-        events = src.to_events(valid, scope=f"batch-{batch_id}")
+        events = src.to_events(valid, scope=batch_scope(batch, batch_id)).persist()
         store.append(events)
         if quarantine:
             rejected.write.mode("overwrite").parquet(
                 f"{store.root}/quarantine/batch_id={batch_id}")
         if index_path:
             index_batch(batch.sparkSession, store, events, index_path, batch_id)
+        events.unpersist()
     return apply
 
 
@@ -42,15 +49,19 @@ def start_ingest(requests, store, checkpoint, index_path=None, drain=False):
     return writer.trigger(**trigger).start()
 
 
-def tail(requests):
+def tail(requests, scope="load"):
     """Live feed: each valid, cleaned event as one JSON line."""
     valid, _ = src.split_requests(requests)
-    events = src.to_events(valid)
+    events = src.to_events(valid, scope)
     return events.select(F.to_json(F.struct(*events.columns)).alias("value"))
 
 
 def start_tail(requests, path, checkpoint, drain=False):
+    """Write the feed of each micro-batch to its own folder; a replay replaces it."""
+    def write(batch, batch_id):
+        tail(batch, batch_scope(batch, batch_id)).write.mode("overwrite").text(
+            f"{path}/batch_id={batch_id}")
+
     trigger = {"availableNow": True} if drain else {"processingTime": FLUSH}
-    return (tail(requests).writeStream.format("text").outputMode("append")
-            .option("path", path).option("checkpointLocation", checkpoint)
+    return (requests.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
             .trigger(**trigger).start())

@@ -1,74 +1,155 @@
-"""Stateful streams: burst debounce, running counts, task lifecycle."""
+"""Stateful streams: burst debounce, running counts, task lifecycle.
 
-import sys
-from typing import Iterator
+Each keeps its state as a small table that a micro-batch reads, merges with its
+own rows by the batch operator, and writes anew as version ``batch_id``. A
+replayed micro-batch reads the version before it and replaces its own output,
+so nothing counts twice; readers take the newest version only.
+"""
+
+from functools import reduce
+from operator import and_
 
-import pandas as pd
-from pyspark import cloudpickle
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from worktrail.operators.tasks import TERMINAL
+from worktrail.operators import capture, tasks
+
+
+def _versions(spark, path):
+    """Batch numbers of the versions under ``path`` that were written whole."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(conf)
+    if not fs.exists(folder):
+        return []
+    found = []
+    for status in fs.listStatus(folder):
+        at = status.getPath()
+        if at.getName().startswith("batch_id=") and fs.exists(
+                jvm.org.apache.hadoop.fs.Path(at, "_SUCCESS")):
+            found.append(int(at.getName().split("=")[1]))
+    return sorted(found)
+
+
+def read_version(spark, path, schema, before=None):
+    """The newest version under ``path`` (before a batch); empty if there is none."""
+    known = [v for v in _versions(spark, path) if before is None or v < before]
+    if not known:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(f"{path}/batch_id={known[-1]}")
+
 
-# Executors receive the state function with the job and need no installed package.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
+def _write(df, path, batch_id):
+    df.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
-STATE_SCHEMA = "started_at timestamp, stopped_at timestamp, status string"
-OUTPUT_SCHEMA = f"task_id string, {STATE_SCHEMA}"
 
+def _drop_old(spark, path, batch_id):
+    """Remove versions that no replay of this batch can need."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for v in [v for v in _versions(spark, path) if v < batch_id][:-1]:
+        at = jvm.org.apache.hadoop.fs.Path(f"{path}/batch_id={v}")
+        at.getFileSystem(conf).delete(at, True)
 
-def debounce(events, keys, delay="2 seconds", lateness="0 seconds"):
-    """The last event of each burst, emitted once the watermark passes it."""
-    rest = [c for c in events.columns if c not in keys]
-    bursts = (events.withWatermark("timestamp", lateness)
-              .groupBy(*keys, F.session_window("timestamp", delay))
-              .agg(F.max_by(F.struct(*rest), F.struct("timestamp", "id")).alias("last")))
-    return bursts.select(*keys, "last.*").select(*events.columns)
 
+def _run(stream, write, checkpoint, drain):
+    trigger = {"availableNow": True} if drain else {"processingTime": "500 milliseconds"}
+    return (stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+            .trigger(**trigger).start())
+
+
+# --- debounce ----------------------------------------------------------------------
+
+def start_debounce(events, keys, delay_ms, lateness_ms, path, checkpoint, drain=False):
+    """Write the last event of each burst to ``path``/bursts once it can't change any more.
+
+    A burst is closed when its end lies more than ``lateness_ms`` behind the
+    newest event seen. Events that come later than that go to ``path``/late.
+    State is what lies in bursts still open. ``flush_debounce`` gives these at
+    the end of the input.
+    """
+    schema = events.schema
+
+    def write(batch, batch_id):
+        spark = batch.sparkSession
+        held = read_version(spark, f"{path}/open", schema, before=batch_id)
+        clock = read_version(spark, f"{path}/clock", "newest timestamp", before=batch_id)
+        before = clock.agg(F.max("newest")).first()[0]
+        newest = batch.agg(F.max("timestamp")).first()[0]
+        seen = max((t for t in (before, newest) if t is not None), default=None)
+        late = F.lit(False)
+        if before is not None:
+            late = (F.unix_micros("timestamp")
+                    < F.unix_micros(F.lit(before)) - F.lit(lateness_ms * 1000))
+        _write(batch.filter(late), f"{path}/late", batch_id)
+        rows = held.unionByName(batch.filter(~late)).dropDuplicates(["id"]).persist()
+        last = capture.debounce(rows, keys, delay_ms)
+        gone = (F.unix_micros("timestamp") + F.lit(delay_ms * 1000)
+                <= F.unix_micros(F.lit(seen)) - F.lit(lateness_ms * 1000))
+        closed = last.filter(gone).select(*rows.columns).persist()
+        _write(closed, f"{path}/bursts", batch_id)
+        ends = closed.groupBy(*[F.col(k).alias(f"__{k}") for k in keys]).agg(
+            F.max("timestamp").alias("__end"))
+        mine = reduce(and_, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys])
+        still = (rows.join(ends, mine, "left")
+                 .filter(F.col("__end").isNull() | (F.col("timestamp") > F.col("__end")))
+                 .select(*rows.columns))
+        _write(still, f"{path}/open", batch_id)
+        _write(spark.createDataFrame([(seen,)], "newest timestamp"), f"{path}/clock", batch_id)
+        closed.unpersist()
+        rows.unpersist()
+        _drop_old(spark, f"{path}/open", batch_id)
+        _drop_old(spark, f"{path}/clock", batch_id)
+
+    return _run(events, write, checkpoint, drain)
+
+
+def closed_bursts(spark, path, schema):
+    return spark.read.schema(schema).parquet(f"{path}/bursts/batch_id=*")
+
+
+def flush_debounce(spark, path, schema, keys, delay_ms):
+    """The last events of the bursts still open when the input ends."""
+    return capture.debounce(read_version(spark, f"{path}/open", schema), keys, delay_ms)
+
+
+# --- counts ------------------------------------------------------------------------
 
 def running_counts(events, *keys):
     """Counts kept with the stream; use the update or complete output mode."""
     return events.groupBy(*keys).agg(F.count("*").alias("n_events"))
 
 
-def _advance(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """First start opens a task; its first stop or abandon from then on closes it."""
-    started, stopped, status = state.get if state.exists else (None, None, None)
-    before = (started, stopped, status)
-    # One task's actions within one rate-limited micro-batch.
-    rows = sorted((ts, seq, action) for b in batches
-                  for ts, seq, action in zip(b["ts"], b["seq"], b["action"]))
-    for ts, _, action in rows:
-        if action == "start" and started is None:
-            started, status = ts, "active"
-        elif status == "active" and action in TERMINAL:
-            stopped, status = ts, TERMINAL[action]
-    if (started, stopped, status) != before:
-        state.update((started, stopped, status))
-        yield pd.DataFrame({"task_id": [key[0]], "started_at": [started],
-                            "stopped_at": pd.to_datetime([stopped]), "status": [status]})
-
-
-def task_states(actions):
-    """Changed task states per micro-batch (update mode)."""
-    known = actions.filter(F.col("action").isin("start", *TERMINAL))
-    return known.groupBy("task_id").applyInPandasWithState(
-        _advance, OUTPUT_SCHEMA, STATE_SCHEMA, "update", GroupStateTimeout.NoTimeout)
-
-
-def start_upserts(changes, path, checkpoint, drain=False):
-    """Write each micro-batch's changed rows; a replayed batch replaces itself."""
+def start_counts(events, keys, path, checkpoint, drain=False):
+    """Keep the counts per key as one table, rewritten per micro-batch."""
+    schema = running_counts(events, *keys).schema
+
     def write(batch, batch_id):
-        batch.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        held = read_version(batch.sparkSession, path, schema, before=batch_id)
+        merged = (held.unionByName(running_counts(batch, *keys)).groupBy(*keys)
+                  .agg(F.sum("n_events").alias("n_events")))
+        _write(merged, path, batch_id)
+        _drop_old(batch.sparkSession, path, batch_id)
 
-    trigger = {"availableNow": True} if drain else {"processingTime": "500 milliseconds"}
-    return (changes.writeStream.outputMode("update").foreachBatch(write)
-            .option("checkpointLocation", checkpoint).trigger(**trigger).start())
+    return _run(events, write, checkpoint, drain)
+
+
+# --- task lifecycle ----------------------------------------------------------------
+
+ACTIONS = "task_id string, action string, ts timestamp, seq bigint"
+
+
+def start_lifecycle(actions, path, checkpoint, drain=False):
+    """Keep each task's essential actions; ``lifecycle`` reads the states.
+
+    Actions may come in any order and in any micro-batch.
+    """
+    def write(batch, batch_id):
+        held = read_version(batch.sparkSession, path, ACTIONS, before=batch_id)
+        own = batch.select("task_id", "action", "ts", "seq")
+        _write(tasks.essential_actions(held.unionByName(own)), path, batch_id)
+        _drop_old(batch.sparkSession, path, batch_id)
+
+    return _run(actions, write, checkpoint, drain)
 
 
-def latest(spark, path, *keys):
-    """The newest version of each key from the written changes."""
-    rows = spark.read.parquet(path)
-    rest = [c for c in rows.columns if c not in (*keys, "batch_id")]
-    return (rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch_id").alias("v"))
-            .select(*keys, "v.*"))
+def lifecycle(spark, path):
+    return tasks.task_state(read_version(spark, path, ACTIONS))
