@@ -30,23 +30,28 @@ class Cache:
     """A dict of bounded size in two generations: full, the younger one becomes the elder.
 
     What is still asked for moves to the younger generation again, so frequent
-    entries stay and at most ``2 * most`` entries (plus one batch) are held.
+    entries stay and about ``2 * most`` entries (plus one batch) are held. A key
+    of more than 64 characters counts for as many entries as it has 64s.
     """
 
     def __init__(self, most):
-        self.most, self.young, self.old = most, {}, {}
+        self.most, self.young, self.old, self.extra = most, {}, {}, 0
 
     def rows(self, keys, make):
         """For each list of keys its list of values; ``make(set)`` gives those not known."""
-        if len(self.young) > self.most:
-            self.young, self.old = {}, self.young
-        young, old, new = self.young, self.old, set()
+        if len(self.young) + self.extra > self.most:
+            self.young, self.old, self.extra = {}, self.young, 0
+        young, old, new, holes, out = self.young, self.old, set(), [], []
         get = young.get
-        out = [list(map(get, own)) for own in keys]
-        open_rows = [i for i, values in enumerate(out) if None in values]
-        for i in open_rows:
-            for key, value in zip(keys[i], out[i], strict=True):
-                if value is None and key not in young:
+        for own in keys:
+            values = list(map(get, own))
+            out.append(values)
+            at = -1
+            for _ in range(values.count(None)):
+                at = values.index(None, at + 1)
+                key = own[at]
+                holes.append((values, at, key))
+                if key not in new and key not in young:
                     value = old.get(key)
                     if value is None:
                         new.add(key)
@@ -54,6 +59,7 @@ class Cache:
                         young[key] = value
         if new:
             young.update(make(new))
-        for i in open_rows:
-            out[i] = list(map(young.__getitem__, keys[i]))
+            self.extra += sum([len(k if type(k) is not tuple else k[0]) >> 6 for k in new])
+        for values, at, key in holes:
+            values[at] = young[key]
         return out

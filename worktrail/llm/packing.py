@@ -11,6 +11,8 @@ whatever ids they repeat; other columns pass through ``pieces`` untouched.
 
 import functools
 import os
+import re
+from array import array
 
 import public_tokenizers
 import pyarrow as pa
@@ -20,7 +22,22 @@ from worktrail.llm.common import Cache
 
 MOST = 4096
 END = 2
-CACHED = 200_000
+CACHED = 450_000  # words kept per worker and generation
+
+
+# Letters of Latin-1 (two bytes, C3 80 to C3 BF without the two signs), and one mark at most:
+# the vocabulary's steps leave such a word whole, in lower case.
+PLAIN = re.compile(rb"((?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([.,])?")
+
+
+def byte_letters():
+    """The letter by which a byte-level vocabulary writes each byte."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+
+_LETTERS = byte_letters()
 
 
 class Words:
@@ -33,11 +50,22 @@ class Words:
         self.cache = Cache(CACHED)
 
     def make(self, new):
-        words = list(new)
-        found = self.tokenizer.encode_batch_fast([w.decode() for w in words],
+        """word -> ids as bytes. Plain words go to the model at once, others through all steps."""
+        known, rest, model = {}, [], self.tokenizer.model
+        for w in new:
+            m = PLAIN.fullmatch(w)
+            if m:
+                word = m[1].decode().lower().encode().decode("latin-1").translate(_LETTERS)
+                ids = [t.id for t in model.tokenize(word)]
+                if m[2]:
+                    ids += [t.id for t in model.tokenize(m[2].decode())]
+                known[w] = array("I", ids).tobytes()
+            else:
+                rest.append(w)
+        found = self.tokenizer.encode_batch_fast([w.decode() for w in rest],
                                                  add_special_tokens=False)
-        return {w: b"".join([i.to_bytes(4, "little") for i in x.ids])
-                for w, x in zip(words, found, strict=True)}
+        known.update((w, array("I", x.ids).tobytes()) for w, x in zip(rest, found, strict=True))
+        return known
 
     def encode(self, texts):
         rows = self.cache.rows([(x or "").encode().split() for x in texts], self.make)
