@@ -26,7 +26,7 @@ from worktrail.llm.common import Cache
 NONE = np.int32(2**31 - 1)
 CELLS = 1 << 18  # matrix cells per block of rows
 LONG = 1024  # bytes; beyond it a pre-token is merged by a heap in n log n steps
-CACHED = 250_000  # text parts kept per worker and generation
+CACHED = 500_000  # text parts kept per worker and generation
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 

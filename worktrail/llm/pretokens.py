@@ -15,26 +15,28 @@ def pattern():
 
 
 def chunks(text):
-    """Parts of ``text``, in order, whose pre-tokens are those of the whole text.
+    """Keys of parts of ``text``, in order, whose pre-tokens are those of the whole text.
 
     A space goes with what follows it, so a text without two white-space
     characters in a row, at its start or at its end may be cut before each
-    space. Other texts are cut into the pre-tokens themselves.
+    space. Other texts are cut into the pre-tokens themselves. A plain string
+    stands for itself after a space, a tuple for its one string as it is.
     """
     if not text:
         return []
     if text[0].isspace() or text[-1].isspace() or _PAIR.search(text):
-        return pattern().findall(text)
-    first, *rest = text.split(" ")
-    return [first, *[" " + x for x in rest]]
+        return [(x,) for x in pattern().findall(text)]
+    keys = text.split(" ")
+    keys[0] = (keys[0],)
+    return keys
 
 
-def pieces(chunk):
+def pieces(key):
     """Pre-tokens of one part. A word of letters, alone or before one mark, needs no pattern."""
-    body = chunk[1:]
-    if body.isalpha() and (chunk[0] == " " or chunk[0].isalpha()):
-        return [chunk]
-    if chunk[-1:] in (".", ",") and chunk[1:-1].isalpha() and (
-            chunk[0] == " " or chunk[0].isalpha()):
-        return [chunk[:-1], chunk[-1]]
-    return pattern().findall(chunk)
+    if type(key) is tuple:
+        return pattern().findall(key[0])
+    if key.isalpha():
+        return [" " + key]
+    if key[-1] in ".," and key[:-1].isalpha():
+        return [" " + key[:-1], key[-1]]
+    return pattern().findall(" " + key)
