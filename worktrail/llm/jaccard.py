@@ -7,10 +7,14 @@ Texts with the same shingle set form a class. What follows works on classes.
    Those that link make up a group of similar documents, all others are groups
    of one.
 2. Token-group matrix. Tokens (shingles) have one global order, frequent ones
-   last. Two sets that link have at least LEAST tokens in common within the
-   first n - ceil(t n) + LEAST tokens of both. The matrix has a cell for each
-   such token and group: the union over the group's members, by size class.
-   Pairs of groups with fewer than LEAST common cells cannot hold a link.
+   last. For any count l, two sets that link have at least l tokens in common
+   within the first n - ceil(t n) + l tokens of the larger one and the first
+   m - ceil(2 t m / (1 + t)) + l tokens of the smaller one: otherwise too many
+   tokens would have come before the common ones. l is 2 and SHARE of the
+   smaller size, so that a passage which two texts share does not bring them
+   together. The matrix has a cell for each such token and group, the union over
+   the group's members by size class. Pairs of groups with fewer common cells
+   hold no link.
 3. Qualifying pairs of groups are opened in blocks of members. A document's
    overlap with a block's token union bounds its overlap with any member, so
    most are decided there; the rest are compared by their whole sets.
@@ -33,13 +37,14 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from worktrail.llm import urls
 from worktrail.llm.common import numbered, stored
 from worktrail.llm.components import components
 
-LEAST = 3
+SHARE = 0.02  # of the smaller set, to be found in common among the first tokens
 BANDS, ROWS = 3, 2
 HOT = 1 << 20
 FLUSH, REPEATS = 3_000_000, 4  # shingles counted at a time; repeats within them to be reported
@@ -139,12 +144,22 @@ def hot_tokens(rows):
     return tokens, level.astype(np.uint64) + np.uint64(1)
 
 
-def prefix_size(n, num, den):
-    return min(n, n - -(-num * n // den) + LEAST)
+def needed(n):
+    """Common first tokens that a pair must have whose smaller set has n tokens."""
+    return 2 + int(SHARE * n)
+
+
+def prefix_sizes(n, num, den):
+    """How many first tokens count when a set is the larger, and when it is the smaller one."""
+    return (min(n, n - -(-num * n // den) + needed(n)),
+            min(n, n - -(-2 * num * n // (den + num)) + needed(n)))
 
 
 def prefixes(docs, k, num, den, hot, text):
-    """(c, n, tokens): the first tokens of every set that can link with another set."""
+    """(c, n, tokens, short): the first tokens of every set that can link with another set.
+
+    The first ``short`` of them count when the set is the smaller one of a pair.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(hot)
     least = -(-num // (den - num))
 
@@ -165,19 +180,22 @@ def prefixes(docs, k, num, den, hot, text):
                 for s in sets:
                     own = order[end:end + len(s)]
                     end += len(s)
-                    m = prefix_size(len(s), num, den)
+                    m, short = prefix_sizes(len(s), num, den)
                     first = np.argpartition(own, m - 1)[:m]
-                    out.append((class_id(s), len(s), _signed(s[first])))
-                c, n, first = zip(*out, strict=True)
+                    first = first[np.argsort(own[first])]
+                    out.append((class_id(s), len(s), _signed(s[first]), short))
+                c, n, first, short = zip(*out, strict=True)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, pa.int64()), pa.array(n, pa.int64()),
-                     pa.array(first, pa.list_(pa.int64()))], ["c", "n", "tokens"])
+                     pa.array(first, pa.list_(pa.int64())), pa.array(short, pa.int32())],
+                    ["c", "n", "tokens", "short"])
 
-    return docs.select(text).mapInArrow(run, "c bigint, n bigint, tokens array<bigint>")
+    return docs.select(text).mapInArrow(
+        run, "c bigint, n bigint, tokens array<bigint>, short int")
 
 
 def whole_sets(docs, wanted, k, id_column, text):
-    """(c, tokens): the sets of the classes in ``wanted`` (c, id of a member).
+    """``wanted`` (c, id of a member, and more) with the classes' sets as ``tokens``.
 
     A filter of fixed size on the ids keeps other texts out of the join.
     """
@@ -190,15 +208,20 @@ def whole_sets(docs, wanted, k, id_column, text):
         return pa.array([{"c": class_id(s), "tokens": s.tobytes()} for s in found],
                         pa.struct([("c", pa.int64()), ("tokens", pa.binary())]))
 
-    wanted = wanted.select("c", key("id").alias("key")).distinct()
+    more = [c for c in wanted.columns if c not in ("c", "id")]
+    wanted = wanted.select("c", key("id").alias("key"), *more)
     rows = docs.select(key(id_column).alias("key"), F.col(text).alias("text"))
     block, words = urls.bits("key")
-    rows = rows.withColumn("block", block).join(F.broadcast(urls.bloom(wanted, "key")), "block")
+    rows = rows.withColumn("block", block).join(
+        F.broadcast(urls.bloom(wanted.select("key").distinct(), "key")), "block")
     for i, w in enumerate(words):
         rows = rows.filter(F.col(f"w{i}").bitwiseAND(w) == w)
+    # Rows that repeat an id and a text count once; the join has brought them together.
     return (rows.select("key", "text").join(wanted, "key")
-            .select(F.col("c").alias("expected"), sets(F.col("text")).alias("s"))
-            .filter(F.col("s.c") == F.col("expected")).select("s.*").dropDuplicates(["c"]))
+            .select("key", "c", *more, sets(F.col("text")).alias("s"))
+            .filter(F.col("s.c") == F.col("c"))
+            .select("key", "c", *more, F.col("s.tokens").alias("tokens"))
+            .dropDuplicates(["key", "c"]).drop("key"))
 
 
 def overlap(a, b):
@@ -206,8 +229,11 @@ def overlap(a, b):
                               assume_unique=True))
 
 
-def linked_pairs(pairs, sets, num, den):
-    """The pairs (u, v) of classes whose whole sets link."""
+def linked_to_leaders(docs, classes, pairs, num, den, k, id_column, text):
+    """The pairs (u, v) of ``pairs`` whose whole sets link.
+
+    A set travels once to each of its leaders, of which it has one per band.
+    """
     @F.arrow_udf("boolean")
     def linked(a: pa.Array, b: pa.Array) -> pa.Array:
         out = []
@@ -216,10 +242,15 @@ def linked_pairs(pairs, sets, num, den):
             out.append(den * both >= num * (total - both))
         return pa.array(out, pa.bool_())
 
-    left = sets.select(F.col("c").alias("u"), F.col("tokens").alias("a"))
-    right = sets.select(F.col("c").alias("v"), F.col("tokens").alias("b"))
-    return (pairs.join(left, "u").join(right, "v")
-            .filter(linked(F.col("a"), F.col("b"))).select("u", "v"))
+    to = (pairs.select(F.col("u").alias("c"), F.col("v").alias("t"))
+          .union(pairs.select(F.col("v").alias("c"), F.col("v").alias("t"))).distinct()
+          .groupBy("c").agg(F.collect_set("t").alias("to")))
+    wanted = classes.select("c", "id").join(to, "c")
+    sets = stored(whole_sets(docs, wanted, k, id_column, text), "sets")
+    rows = sets.select("c", F.explode("to").alias("v"), "tokens")
+    lead = rows.filter("c = v").select("v", F.col("tokens").alias("b"))
+    return (rows.filter("c <> v").select(F.col("c").alias("u"), "v", F.col("tokens").alias("a"))
+            .join(lead, "v").filter(linked(F.col("a"), F.col("b"))).select("u", "v"))
 
 
 def leaders(classes):
@@ -232,22 +263,38 @@ def leaders(classes):
             .select(F.col("c").alias("u"), "v").distinct())
 
 
+def size_step(num, den):
+    return float(np.log(den / num) * 1.000001)
+
+
 def size_class(n, num, den):
     """Sets that link are in the same class or in neighbouring ones."""
-    return F.floor(F.log(n.cast("double")) / float(np.log(den / num) * 1.000001)).cast("int")
+    return F.floor(F.log(n.cast("double")) / size_step(num, den)).cast("int")
 
 
-def qualifying(cells):
-    """(g, h): pairs of groups, g < h, with at least LEAST common cells of fitting size."""
-    several = (cells.groupBy("token").agg(F.min("g").alias("a"), F.max("g").alias("b"))
-               .filter("a <> b").select("token"))
-    common = cells.join(several, "token", "left_semi")
-    left = common.select("token", "g", F.explode(F.array(
-        F.col("size") - 1, F.col("size"), F.col("size") + 1)).alias("size"))
-    right = common.select("token", F.col("g").alias("h"), "size")
-    return (left.join(right, ["token", "size"]).filter("g < h")
-            .groupBy("g", "h").agg(F.count("*").alias("cells"))
-            .filter(F.col("cells") >= LEAST).select("g", "h"))
+def common_cells(cells):
+    """The cells of tokens that can bring two groups together, in one shuffle.
+
+    ``short`` tells whether the token counts for a smaller set of the group.
+    """
+    own = Window.partitionBy("token")
+    return (cells.repartition("token").groupBy("token", "g", "size")
+            .agg(F.max("short").alias("short"))
+            .withColumn("a", F.min("g").over(own)).withColumn("b", F.max("g").over(own))
+            .withColumn("any", F.max("short").over(own))
+            .filter("a <> b and any").select("token", "g", "size", "short"))
+
+
+def qualifying(common, num, den):
+    """(g, h): pairs of groups, g < h, with as many common cells of fitting size as a link needs."""
+    smaller = common.filter("short").select("token", "g", F.col("size").alias("own"), F.explode(
+        F.array(F.col("size"), F.col("size") + 1)).alias("size"))
+    larger = common.select("token", F.col("g").alias("h"), "size")
+    least = F.exp(F.col("own") * size_step(num, den)) * (1 - 1e-9)  # size of the class's sets
+    return (smaller.join(larger, ["token", "size"]).filter("g <> h")
+            .groupBy("g", "h", "own").agg(F.count("*").alias("cells"))
+            .filter(F.col("cells") >= 2 + F.floor(least * SHARE))
+            .select(F.least("g", "h").alias("g"), F.greatest("g", "h").alias("h")).distinct())
 
 
 def open_blocks(mine, theirs, num, den):
@@ -272,15 +319,17 @@ def open_blocks(mine, theirs, num, den):
     return None
 
 
-def opened(pairs, members, sets, num, den):
+def opened(docs, pairs, members, num, den, k, id_column, text):
     """Edges (u, v) between the groups of each pair: one per two blocks that hold a link.
 
-    ``members`` has (c, g, group_size).
+    ``members`` has (c, id, g). A group is dealt into blocks of about BLOCK sets,
+    and each two blocks of a pair of groups are compared on their own.
     """
-    blocks = F.ceil(F.col("group_size") / BLOCK)
-    held = (members.join(sets, "c")
-            .withColumn("block", F.pmod(F.xxhash64("c"), blocks))
-            .groupBy("g", "block").agg(F.collect_list(F.struct("c", "tokens")).alias("sets")))
+    blocks = members.groupBy("g").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    wanted = (members.join(blocks, "g")
+              .select("c", "id", "g", F.pmod(F.xxhash64("c"), "blocks").alias("block")))
+    held = (whole_sets(docs, wanted, k, id_column, text).groupBy("g", "block")
+            .agg(F.collect_list(F.struct("c", "tokens")).alias("sets")))
 
     @F.arrow_udf("struct<u:bigint,v:bigint>")
     def edge(a: pa.Array, b: pa.Array) -> pa.Array:
@@ -291,9 +340,17 @@ def opened(pairs, members, sets, num, den):
             out.append(found and {"u": found[0], "v": found[1]})
         return pa.array(out, pa.struct([("u", pa.int64()), ("v", pa.int64())]))
 
-    left = held.select("g", F.col("sets").alias("a"))
-    right = held.select(F.col("g").alias("h"), F.col("sets").alias("b"))
-    return (pairs.join(left, "g").join(right, "h")
+    def numbers(n):
+        return F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
+
+    other = blocks.withColumnRenamed("g", "h").withColumnRenamed("blocks", "others")
+    two = (pairs.join(blocks, "g").join(other, "h")
+           .select("g", "h", "others", numbers("blocks").alias("block"))
+           .select("g", "block", "h", numbers("others").alias("other")))
+    right = held.select(F.col("g").alias("h"), F.col("block").alias("other"),
+                        F.col("sets").alias("b"))
+    return (two.join(held.withColumnRenamed("sets", "a"), ["g", "block"])
+            .select("h", "other", "a").join(right, ["h", "other"])
             .select(edge(F.col("a"), F.col("b")).alias("e"))
             .filter("e is not null").select("e.*"))
 
@@ -312,29 +369,25 @@ def link(docs, k=3, num=90, den=100, id_column="doc_id", text="text"):
     # 1. Groups of similar documents around leaders.
     least = -(-num // (den - num))
     pairs = stored(leaders(classes.filter(F.col("n") >= least)), "pairs")
-    ends = pairs.select(F.col("u").alias("c")).union(pairs.select(F.col("v").alias("c"))).distinct()
-    wanted = classes.join(ends, "c", "left_semi").select("c", "id")
-    sets = stored(whole_sets(docs, wanted, k, id_column, text), "sets")
-    groups = stored(components(linked_pairs(pairs, sets, num, den)), "groups")
+    groups = stored(components(linked_to_leaders(
+        docs, classes, pairs, num, den, k, id_column, text)), "groups")
 
     # 2. The matrix of tokens and groups.
     first = prefixes(docs, k, num, den, hot_tokens(rows), text).dropDuplicates(["c"])
     grouped = first.join(groups.withColumnRenamed("u", "c"), "c", "left")
     cells = (grouped.select(F.coalesce("root", "c").alias("g"),
                             size_class(F.col("n"), num, den).alias("size"),
-                            F.explode("tokens").alias("token"))
-             .repartition("token").distinct())
-    near = stored(qualifying(cells), "near")
+                            "short", F.posexplode("tokens").alias("at", "token"))
+             .withColumn("short", F.col("at") < F.col("short")).drop("at"))
+    near = stored(qualifying(stored(common_cells(cells), "cells"), num, den), "near")
 
     # 3. Open what qualifies.
     open_ids = near.select("g").union(near.select(F.col("h").alias("g"))).distinct()
     members = (classes.select("c", "id").join(groups.withColumnRenamed("u", "c"), "c", "left")
                .select("c", "id", F.coalesce("root", "c").alias("g"))
                .join(open_ids, "g", "left_semi"))
-    sizes = members.groupBy("g").agg(F.count("*").alias("group_size"))
-    members = stored(members.join(sizes, "g"), "members")
-    more = whole_sets(docs, members.select("c", "id"), k, id_column, text)
-    edges = stored(opened(near, members.select("c", "g", "group_size"), more, num, den), "links")
+    members = stored(members, "members")
+    edges = stored(opened(docs, near, members, num, den, k, id_column, text), "links")
 
     # Components of all links, and the smallest id in each.
     every = (groups.select("u", F.col("root").alias("v")).filter("u <> v")
