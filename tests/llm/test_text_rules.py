@@ -70,7 +70,7 @@ def slow_rate(rows, most=quality.MAX_DOCS):
         n = len(words(text))
         failed = n < 20 or 100 * slow_repeats(words(text)) > 30 * n
         left = n - sum(k for x, k in lines[i].items() if (host, x) in gone)
-        out[i] = failed, left, not failed and 2 * left >= n
+        out[i] = failed, left, not failed and 100 * left >= quality.MIN_LEFT * n
     return out
 
 

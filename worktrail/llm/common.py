@@ -26,19 +26,38 @@ def numbered(df, name="__row"):
     return df.withColumn(name, F.monotonically_increasing_id())
 
 
+def runs(column, rows=256):
+    """Values of an Arrow column, a few rows at a time: no second copy of a whole batch."""
+    for i in range(0, len(column), rows):
+        yield column.slice(i, rows).to_pylist()
+
+
 class Cache:
     """A dict of bounded size in two generations: full, the younger one becomes the elder.
 
     What is still asked for moves to the younger generation again, so frequent
     entries stay and about ``2 * most`` entries (plus one batch) are held. A key
-    of more than 64 characters counts for as many entries as it has 64s.
+    of more than 64 characters counts for as many entries as it has 64s. A worker
+    process serves many operators in turn, so only the cache in use is kept.
     """
 
+    in_use = None
+
     def __init__(self, most):
         self.most, self.young, self.old, self.extra = most, {}, {}, 0
 
+    @staticmethod
+    def release():
+        """Empty the cache that an operator before has left in this worker."""
+        if Cache.in_use is not None:
+            Cache.in_use.young, Cache.in_use.old, Cache.in_use.extra = {}, {}, 0
+            Cache.in_use = None
+
     def rows(self, keys, make):
         """For each list of keys its list of values; ``make(set)`` gives those not known."""
+        if Cache.in_use is not self:
+            Cache.release()
+            Cache.in_use = self
         if len(self.young) + self.extra > self.most:
             self.young, self.old, self.extra = {}, self.young, 0
         young, old, new, holes, out = self.young, self.old, set(), [], []

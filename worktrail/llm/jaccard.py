@@ -41,13 +41,13 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from worktrail.llm import urls
-from worktrail.llm.common import numbered, stored
+from worktrail.llm.common import Cache, numbered, runs, stored
 from worktrail.llm.components import components
 
 SHARE = 0.02  # of the smaller set, to be found in common among the first tokens
 BANDS, ROWS = 3, 2
 HOT = 1 << 20
-FLUSH, REPEATS = 3_000_000, 4  # shingles counted at a time; repeats within them to be reported
+FLUSH, REPEATS = 2_000_000, 4  # shingles counted at a time; repeats within them to be reported
 BLOCK = 64
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _PERM = np.array([0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xFF51AFD7ED558CCD,
@@ -108,11 +108,12 @@ def outline(docs, k, id_column, text):
         return out(kinds, none, none, _signed(tokens), none, count)
 
     def run(batches):
+        Cache.release()
         held, size, kinds = [], 0, None
         for batch in batches:
             kinds = batch.column(0).type
             rows = []
-            for x in batch.column(1).to_pylist():
+            for x in (x for xs in runs(batch.column(1)) for x in xs):
                 tokens = shingles(x, k)
                 if len(tokens):
                     held.append(tokens)
@@ -166,9 +167,8 @@ def prefixes(docs, k, num, den, hot, text):
     def run(batches):
         tokens_, level = shared.value
         for batch in batches:
-            texts = batch.column(0).to_pylist()
-            for i in range(0, len(texts), 256):
-                sets = [s for x in texts[i:i + 256] if len(s := shingles(x, k)) >= least]
+            for texts in runs(batch.column(0)):
+                sets = [s for x in texts if len(s := shingles(x, k)) >= least]
                 if not sets:
                     continue
                 whole = np.concatenate(sets)
@@ -204,9 +204,10 @@ def whole_sets(docs, wanted, k, id_column, text):
 
     @F.arrow_udf("struct<c:bigint,tokens:binary>")
     def sets(texts: pa.Array) -> pa.Array:
-        found = [shingles(x, k) for x in texts.to_pylist()]
-        return pa.array([{"c": class_id(s), "tokens": s.tobytes()} for s in found],
-                        pa.struct([("c", pa.int64()), ("tokens", pa.binary())]))
+        kind = pa.struct([("c", pa.int64()), ("tokens", pa.binary())])
+        out = [pa.array([{"c": class_id(s), "tokens": s.tobytes()}
+                         for s in (shingles(x, k) for x in xs)], kind) for xs in runs(texts)]
+        return pa.concat_arrays(out or [pa.array([], kind)])
 
     more = [c for c in wanted.columns if c not in ("c", "id")]
     wanted = wanted.select("c", key("id").alias("key"), *more)
@@ -237,7 +238,8 @@ def linked_to_leaders(docs, classes, pairs, num, den, k, id_column, text):
     @F.arrow_udf("boolean")
     def linked(a: pa.Array, b: pa.Array) -> pa.Array:
         out = []
-        for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True):
+        for x, y in zip(a, b, strict=True):
+            x, y = x.as_py(), y.as_py()
             both, total = overlap(x, y), (len(x) + len(y)) // 8
             out.append(den * both >= num * (total - both))
         return pa.array(out, pa.bool_())

@@ -18,11 +18,11 @@ import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from worktrail.llm.common import Cache
+from worktrail.llm.common import Cache, runs
 
 MOST = 4096
 END = 2
-CACHED = 450_000  # words kept per worker and generation
+CACHED = 350_000  # words kept per worker and generation
 
 
 # Letters of Latin-1 (two bytes, C3 80 to C3 BF without the two signs), and one mark at most:
@@ -98,14 +98,16 @@ def cut(text, path, end=END, most=MOST):
     """The pieces of a text column, each with its ids as little-endian 32-bit integers."""
     @F.arrow_udf("array<struct<start:bigint,length:bigint,ids:binary,doc_tokens:bigint>>")
     def run(values: pa.Array) -> pa.Array:
-        tail, texts, out = end.to_bytes(4, "little"), values.to_pylist(), []
-        for i in range(0, len(texts), 256):
-            for ids in words(path).encode(texts[i:i + 256]):
+        tail, out = end.to_bytes(4, "little"), []
+        for texts in runs(values):
+            own = []
+            for ids in words(path).encode(texts):
                 ids += tail
                 n = len(ids) // 4
-                out.append([{"start": s, "length": k, "ids": ids[4 * s:4 * (s + k)],
+                own.append([{"start": s, "length": k, "ids": ids[4 * s:4 * (s + k)],
                              "doc_tokens": n} for s, k in cuts(n, most)])
-        return pa.array(out, pa.list_(PIECE))
+            out.append(pa.array(own, pa.list_(PIECE)))
+        return pa.concat_arrays(out or [pa.array([], pa.list_(PIECE))])
     return run(text)
 
 

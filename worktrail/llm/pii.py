@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from worktrail.llm.common import Cache, runs
 from worktrail.llm.tagger import PAD, Tagger, codes
 
 # Kinds, in the order in which they are listed, and their patterns.
@@ -307,10 +308,10 @@ def personal(text, model):
     """A column of all spans: array of (kind, start, end, base), by kind, then start."""
     @F.arrow_udf("array<struct<kind:string,start:bigint,end:bigint,base:boolean>>")
     def run(values: pa.Array) -> pa.Array:
-        texts = [x or "" for x in values.to_pylist()]
+        Cache.release()
         out = []
-        for i in range(0, len(texts), 256):
-            for own, added in find(model, texts[i:i + 256]):
+        for texts in runs(values):
+            for own, added in find(model, [x or "" for x in texts]):
                 rows = sorted([*((*s, True) for s in own), *((*s, False) for s in added)])
                 out.append([{"kind": KINDS[k], "start": s, "end": e, "base": b}
                             for k, s, e, b in rows])
@@ -322,9 +323,9 @@ def masked(text, model):
     """A text column with each span replaced by its kind in brackets; null stays null."""
     @F.arrow_udf("string")
     def run(values: pa.Array) -> pa.Array:
-        texts, out = values.to_pylist(), []
-        for i in range(0, len(texts), 256):
-            some = texts[i:i + 256]
+        Cache.release()
+        out = []
+        for some in runs(values):
             for text, (own, added) in zip(some, find(model, [x or "" for x in some]), strict=True):
                 if text is None:
                     out.append(None)

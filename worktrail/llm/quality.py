@@ -25,11 +25,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from worktrail.llm.common import numbered, stored
+from worktrail.llm.common import Cache, numbered, runs, stored
+from worktrail.operators.ranking import salted_lookup
 
 MIN_WORDS, WINDOW, MAX_REPEAT = 20, 8, 30
 MAX_DOCS = 20
-MIN_LEFT = 50  # percent of the words
+MIN_LEFT = 30  # percent of the words that must be left
+ALIKE = 50  # percent of the words in frequent lines, from which on documents are compared as copies
+SALTS = 16  # tasks over which the rows of one line of one host are spread
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\r\x0b\x0c"
 
@@ -93,11 +96,13 @@ def measured(text):
                  "n_repeat_words:bigint,text_hash:binary,"
                  "lines:array<struct<line:bigint,words:bigint>>>")
     def run(texts: pa.Array) -> pa.Array:
-        return pa.array([measure(x or "") for x in texts.to_pylist()], MEASURES)
+        Cache.release()
+        return pa.concat_arrays([pa.array([measure(x or "") for x in xs], MEASURES)
+                                 for xs in runs(texts)] or [pa.array([], MEASURES)])
     return run(text)
 
 
-def frequent_lines(docs, most=MAX_DOCS, least_left=MIN_LEFT):
+def frequent_lines(docs, most=MAX_DOCS):
     """(host, line) of the lines in more than ``most`` distinct documents of a host.
 
     ``docs`` has __row, __host, text_hash, n_words and lines.
@@ -111,11 +116,12 @@ def frequent_lines(docs, most=MAX_DOCS, least_left=MIN_LEFT):
     candidates = per_line.filter(F.col("docs") > most).select("__host", "line")
 
     # A document's own frequent lines, smallest first: no more than the document has lines.
-    held = (seen.join(candidates, ["__host", "line"], "left_semi")
+    # One line of one host may be in a large part of all documents: the lookup is salted.
+    held = (salted_lookup(seen, candidates, ["__host", "line"], ["text_hash"], "left_semi", SALTS)
             .groupBy("__host", "text_hash")
             .agg(F.max("n_words").alias("n_words"),
                  F.sum("words").alias("shared"), F.array_sort(F.collect_list("line")).alias("own")))
-    alike = (F.col("shared") * 100 > F.col("n_words") * (100 - least_left)) & (F.size("own") > 1)
+    alike = (F.col("shared") * 100 > F.col("n_words") * ALIKE) & (F.size("own") > 1)
     per = held.select("__host", "text_hash", "own", alike.alias("alike"),
                       F.explode("own").alias("line"))
     other = F.when(F.col("line") == F.col("own")[0], F.col("own")[F.when(
@@ -137,10 +143,10 @@ def rate(docs, text="text", host="source", most=MAX_DOCS, least_left=MIN_LEFT, k
         measured(F.col(text)).alias("m"),
         F.struct(*[F.col(f"`{c}`") for c in keep]).alias("__kept_columns")))
     rows = stored(rows.select("__row", "__host", "m.*", "__kept_columns"), "quality")
-    gone = frequent_lines(rows, most, least_left)
+    gone = frequent_lines(rows, most)
     lines = rows.select("__row", "__host", F.explode("lines").alias("x")).select(
         "__row", "__host", "x.line", "x.words")
-    lost = (lines.join(gone, ["__host", "line"], "left_semi")
+    lost = (salted_lookup(lines, gone, ["__host", "line"], ["__row"], "left_semi", SALTS)
             .groupBy("__row").agg(F.sum("words").alias("__lost")))
     failed = ((F.col("n_words") < MIN_WORDS)
               | (F.col("n_repeat_words") * 100 > F.col("n_words") * MAX_REPEAT))
@@ -220,6 +226,6 @@ with base as (
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
   n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_failed,
   words_left::bigint as words_left,
-  not (n_words < 20 or 100 * n_repeat_words > 30 * n_words) and words_left * 100 >= n_words * 50 as kept
+  not (n_words < 20 or 100 * n_repeat_words > 30 * n_words) and words_left * 100 >= n_words * 30 as kept
 from rated
 """
