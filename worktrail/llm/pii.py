@@ -11,8 +11,8 @@ one is a candidate, however many there are, and text far from any can hold no
 span. A candidate stretch is read in overlapping windows of ``LENGTH``
 characters; the emissions of a character are averaged over its windows with more
 weight to the middle of a window, and one best path is taken over the whole
-stretch. A span it yields must pass its kind's check and may not touch a base
-span; base spans always stay.
+stretch. A span it yields must pass its kind's check, end where a word ends, and
+may not touch a base span; base spans always stay.
 
 Null is the empty text. Each row is judged by its own text; a corpus without
 labelled spans is trained on the generated forms alone. Other columns, ties and
@@ -182,7 +182,8 @@ def find(model, texts):
                 a += 1
             while b > a and (text[b - 1].isspace() or text[b - 1] in ".,;:"):
                 b -= 1
-            if all(b <= s or a >= e for _, s, e in own) and plausible(kind, text[a:b]):
+            whole = not text[max(0, a - 1):a].isalnum() and not text[b:b + 1].isalnum()
+            if whole and all(b <= s or a >= e for _, s, e in own) and plausible(kind, text[a:b]):
                 added.append((kind, a, b))
         out.append((own, added))
     return out
