@@ -41,7 +41,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from worktrail.llm import urls
-from worktrail.llm.common import Cache, numbered, runs, stored
+from worktrail.llm.common import Cache, runs, stored
 from worktrail.llm.components import components
 
 SHARE = 0.02  # of the smaller set, to be found in common among the first tokens
@@ -408,16 +408,28 @@ def link(docs, k=3, num=90, den=100, id_column="doc_id", text="text"):
 def one_of_each(docs, k=5, num=80, den=100, id_column="doc_id", text="text"):
     """The documents without those that link, also by others, with one of a smaller id.
 
-    Rows are told apart by id and row, so that one row stays of a group even if
-    ids are null or repeated. Documents without words all stay.
+    Rows are told apart by id and text; of rows that repeat both, one stays.
+    Documents without words all stay. Only rows that may go are shuffled.
     """
-    rows = stored(numbered(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-                                       .alias("own")), "row"), "rows")
-    named = rows.select("own", F.struct(F.col(f"own.`{id_column}`").alias("id"), "row").alias("key"),
-                        F.col(f"own.`{text}`").alias("text"))
-    gone = (link(named.select("key", "text"), k, num, den, "key", "text")
-            .filter("key <> component_id").select("key.row"))
-    return rows.join(gone, "row", "left_anti").select("own.*")
+    mark = F.xxhash64(text)
+
+    def key(value, hashed):
+        return F.concat(F.coalesce(value.cast("string"), F.lit("null")), F.lit(":"),
+                        hashed.cast("string"))
+
+    named = docs.select(F.struct(F.col(id_column).alias("id"), mark.alias("mark")).alias("key"),
+                        F.col(text).alias("text"))
+    found = stored(link(named, k, num, den, "key", "text").filter("c is not null"), "linked")
+    gone = found.filter("key <> component_id").select("key").distinct()
+    again = (found.filter("key = component_id").groupBy("key").agg(F.count("*").alias("n"))
+             .filter("n > 1").select("key"))
+    of = key(F.col("key.id"), F.col("key.mark")).alias("key")
+    gone, again = gone.select(of), stored(again.select(of), "again")
+    own = key(F.col(id_column), mark)
+    once = docs.withColumn("__key", own).join(
+        again.withColumnRenamed("key", "__key"), "__key", "left_semi")
+    once = once.dropDuplicates(["__key"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return urls.without(docs, own, gone.union(again)).unionByName(once)
 
 
 def digest(docs):

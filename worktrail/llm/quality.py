@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from worktrail.llm import urls
 from worktrail.llm.common import Cache, numbered, runs, stored
 from worktrail.operators.ranking import salted_lookup
 
@@ -80,7 +81,7 @@ def measure(text):
         "n_symbols": sum(text.count(c) for c in SYMBOLS),
         "n_dup_lines": len(lines) - len(set(lines)),
         "n_repeat_words": repeated_words(words),
-        "text_hash": hashlib.blake2b(raw, digest_size=16).digest(),
+        "text_hash": hashlib.sha256(raw).digest(),
         "lines": [{"line": line_hash(k), "words": n} for k, n in shared.items()]}
 
 
@@ -132,6 +133,11 @@ def frequent_lines(docs, most=MAX_DOCS):
             .filter(F.col("docs") > most).select("__host", "line"))
 
 
+def host_key(host):
+    """A host as a string that is never null."""
+    return F.coalesce(F.concat(F.lit("="), F.col(host).cast("string")), F.lit(""))
+
+
 def rate(docs, text="text", host="source", most=MAX_DOCS, least_left=MIN_LEFT, keep=None):
     """The columns in ``keep`` (all) and __n_words, ..., __base_failed, __words_left, __kept.
 
@@ -139,7 +145,7 @@ def rate(docs, text="text", host="source", most=MAX_DOCS, least_left=MIN_LEFT, k
     """
     keep = docs.columns if keep is None else keep
     rows = numbered(docs.select(
-        F.coalesce(F.concat(F.lit("="), F.col(host).cast("string")), F.lit("")).alias("__host"),
+        host_key(host).alias("__host"),
         measured(F.col(text)).alias("m"),
         F.struct(*[F.col(f"`{c}`") for c in keep]).alias("__kept_columns")))
     rows = stored(rows.select("__row", "__host", "m.*", "__kept_columns"), "quality")
@@ -153,7 +159,7 @@ def rate(docs, text="text", host="source", most=MAX_DOCS, least_left=MIN_LEFT, k
     left = F.col("n_words") - F.coalesce("__lost", F.lit(0))
     counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     return (rows.join(lost, "__row", "left")
-            .select("__kept_columns.*", *[F.col(c).alias(f"__{c}") for c in counts],
+            .select("__kept_columns.*", F.col("__host"), F.col("text_hash").alias("__text_hash"), *[F.col(c).alias(f"__{c}") for c in counts],
                     failed.alias("__base_failed"), left.alias("__words_left"),
                     (~failed & (left * 100 >= F.col("n_words") * least_left)).alias("__kept")))
 
@@ -166,8 +172,16 @@ def digest(docs, id_column="doc_id"):
 
 
 def kept(docs, text="text", host="source"):
-    """The documents that pass, with their own columns."""
-    return rate(docs, text, host).filter("__kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The documents that pass, with their own columns.
+
+    A verdict hangs on host and text alone, so the texts themselves are neither
+    stored nor, but for those that may have failed, shuffled.
+    """
+    rated = rate(docs, text, host, keep=[host])
+    failed = rated.filter("not __kept").select(
+        F.concat("__host", F.lit(":"), F.lower(F.hex("__text_hash"))).alias("key"))
+    own = F.concat(host_key(host), F.lit(":"), F.sha2(F.coalesce(F.col(text), F.lit("")), 256))
+    return urls.without(docs, own, stored(failed.distinct(), "failed"))
 
 
 SQL = r"""

@@ -76,6 +76,28 @@ def bloom(listed, key="canonical"):
             .groupBy("block").agg(*[F.bit_or(f"w{i}").alias(f"w{i}") for i in range(4)]))
 
 
+def passes(words):
+    """Whether a row joined to the filter by block has all bits of its key set."""
+    hit = F.col("block").isNotNull()
+    for i, w in enumerate(words):
+        hit = hit & F.coalesce(F.col(f"w{i}").bitwiseAND(w) == w, F.lit(False))
+    return hit
+
+
+def without(docs, key, gone):
+    """The rows of ``docs`` whose ``key`` (a string column) isn't in ``gone`` (column key).
+
+    Only rows that the filter lets through are shuffled, so most texts stay where they are.
+    """
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("own"), key.alias("key"))
+    block, words = bits("key")
+    rows = (rows.withColumn("__block", block)
+            .join(F.broadcast(bloom(gone, "key")), F.col("__block") == F.col("block"), "left")
+            .select("own", "key", passes(words).alias("hit")))
+    kept = rows.filter("hit").join(gone.select("key").distinct(), "key", "left_anti")
+    return rows.filter("not hit").select("own.*").unionByName(kept.select("own.*"))
+
+
 def judge(pages, listed, rules, url="url", keep=("page_id",)):
     """Columns in ``keep`` and host, path, rule, verdict and listed (is the URL on the list).
 
@@ -89,10 +111,8 @@ def judge(pages, listed, rules, url="url", keep=("page_id",)):
     block, words = bits("__key")
     rows = (rows.withColumn("__block", F.when(F.col("__key").isNotNull(), block))
             .join(F.broadcast(bloom(listed)), F.col("__block") == F.col("block"), "left"))
-    hit = F.col("block").isNotNull()
-    for i, w in enumerate(words):
-        hit = hit & F.coalesce(F.col(f"w{i}").bitwiseAND(w) == w, F.lit(False))
-    rows = rows.select(*keep, "host", "path", "rule", "__verdict", "__key", hit.alias("__hit"))
+    rows = rows.select(*keep, "host", "path", "rule", "__verdict", "__key",
+                       passes(words).alias("__hit"))
     exact = listed.hint("shuffle_hash").withColumn("listed", F.lit(True))
     possible = rows.filter("__hit").join(
         exact, F.col("__key") == F.col("canonical"), "left").withColumn(
