@@ -82,8 +82,8 @@ def test_card_orders_and_bounds(spark, session, task_rows):
     newest = card_of(cards.session_cards(task_rows, session, now(), max_events=3, order="desc"), "t1")
     assert [c["cmd"] for c in newest["commands_verified"]] == ["cargo check", "cargo test"]
     assert newest["decisions"] == []
-    with pytest.raises(ValueError):
-        cards.session_cards(task_rows, session, now(), max_events=10**6)
+    whole = card_of(cards.session_cards(task_rows, session, now(), max_events=10**6), "t1")
+    assert whole == card_of(cards.session_cards(task_rows, session, now()), "t1")
 
 
 def test_rows_agree_with_cards(spark, session, task_rows):
@@ -99,6 +99,18 @@ def test_rows_agree_with_cards(spark, session, task_rows):
     assert est == {"t1": 50, "t2": 50, "t3": 50}
 
 
+def test_card_of_a_long_task_is_whole(spark):
+    rows = [(f"{i:04d}", i, "TERM", f"make step{i}", f"in src/m{i % 7}.rs exit code 0", None, "long")
+            for i in range(1500)]
+    e = make_events(spark, rows)
+    t = make_tasks(spark, [("long", "Long", 0, 2000, "completed", None)])
+    card = cards.session_cards(t, e, now()).first()
+    assert [c["cmd"] for c in card["commands_verified"]] == [r[3] for r in rows]
+    assert card["token_estimate"] == cards.token_estimates(t, e).first()["token_estimate"]
+    newest = cards.session_cards(t, e, now(), max_events=1200, order="desc").first()
+    assert [c["cmd"] for c in newest["commands_verified"]] == [r[3] for r in rows[:-1201:-1]]
+
+
 def test_card_json_and_markdown(spark, session, task_rows):
     c = cards.session_cards(task_rows, session, now())
     stored = cards.cards_json(c)
