@@ -9,27 +9,31 @@ rules or is left depleted by them, or when a document with a smaller id stays
 for its group of near duplicates (five-word shingles, Jaccard 0.8 or more).
 Null texts fail the quality rules. Repeated and null ids are told apart by row.
 SQL cannot express the tagger or the tokenizer, so there is no oracle SQL; the
-stages are tested against brute force.
+stages are tested against brute force. Stages bound the rows of an Arrow batch in
+the session, as a worker runs one stage's code after another's.
 """
 
 from pyspark.sql import functions as F
 
 from worktrail.llm import jaccard, packing, pii, quality
-from worktrail.llm.common import stored, table
+from worktrail.llm.common import small_batches, stored, table
 
 
 def quality_rules(spark, docs, sf_dir):
     """Documents that pass the base rules and aren't depleted."""
+    small_batches(spark)
     return quality.kept(docs)
 
 
 def near_duplicates(spark, docs, sf_dir):
     """One document of each group."""
+    small_batches(spark)
     return jaccard.one_of_each(docs, k=5, num=80, den=100)
 
 
 def personal_data(spark, docs, sf_dir):
     """All documents, with personal data masked and ``n_chars`` of the new text."""
+    small_batches(spark)
     model = pii.train(docs)
     return (docs.withColumn("text", pii.masked(F.col("text"), model))
             .withColumn("n_chars", F.length("text").cast("bigint")).select(docs.columns))
@@ -37,6 +41,7 @@ def personal_data(spark, docs, sf_dir):
 
 def pack(spark, docs, sf_dir):
     """Power-of-two sequences with their ids."""
+    small_batches(spark)
     return packing.pieces(docs, keep=("doc_id", "lang", "source"))
 
 

@@ -1,5 +1,6 @@
 """What the operators of this subpackage share."""
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from worktrail.session import work_dir
@@ -9,6 +10,11 @@ def table(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(spark, rows=1000):
+    """Bound what a Python worker holds of a table at once, for this session from now on."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+
+
 def stored(df, name):
     """``df`` written once to the shared folder and read back.
 
@@ -52,6 +58,7 @@ class Cache:
         if Cache.in_use is not None:
             Cache.in_use.young, Cache.in_use.old, Cache.in_use.extra = {}, {}, 0
             Cache.in_use = None
+            pa.default_memory_pool().release_unused()
 
     def rows(self, keys, make):
         """For each list of keys its list of values; ``make(set)`` gives those not known."""
