@@ -185,6 +185,26 @@ def test_neighbours_edges(spark):
     assert ann.digest(df.filter("vec_id = 0")).count() == 0
 
 
+@pytest.mark.parametrize("crowd", [40, 400, 1400])
+def test_neighbours_recall_beside_a_crowd(spark, crowd):
+    """Near copies of one row must not narrow the search of the other rows' queries."""
+    rng = np.random.default_rng(2)
+    v = rng.standard_normal((4200, 64))
+    v[:crowd] = v[0] + 0.002 * rng.standard_normal((crowd, 64))
+    v = v[rng.permutation(len(v))]
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    ids = list(range(len(v)))
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in zip(ids, v, strict=True)],
+                               "vec_id bigint, embedding array<double>")
+    out = {}
+    for r in ann.digest(df).collect():
+        out.setdefault(r.query_id, set()).add(r.vec_id)
+    truth = brute(ids, v, [i for i in ids if i % 20 == 0], 20)
+    assert out.keys() == truth.keys()
+    recall = [len(out[q] & set(truth[q])) / 20 for q in truth]
+    assert np.mean(recall) >= 0.95 and min(recall) >= 0.7
+
+
 # --- pipeline ----------------------------------------------------------------------
 
 def corpus():

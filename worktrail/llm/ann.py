@@ -12,8 +12,11 @@ is spread over all shards, and a shard holds a bounded number of rows. Queries
 go to every shard in blocks. A task handles one shard and one block of queries;
 what it hands on is each query's best rows of that shard.
 
-How near a neighbour is (``similarity``) is estimated on a bounded sample:
-``SAMPLE`` rows and as many queries at most. Every row is indexed.
+How near a query's k-th neighbour is (``similarity``) is estimated for each query
+from its own inner products with a bounded sample of ``SAMPLE`` rows, and rather
+too far than too near: a crowd elsewhere does not narrow its search. Cells are
+also taken for nearer neighbours (``nearer``), up to near copies. Every row is
+indexed.
 
 Vectors that are null, zero, of another length than most, or hold null, NaN or
 infinite components take no part, neither do rows without an id. Ids should be
@@ -30,6 +33,7 @@ from worktrail.operators.ranking import newest_per_key
 TABLES, HASHES, WIDTH, TARGET = 2, 4, 1.5, 0.78
 SHARD, BLOCK = 4096, 512
 SAMPLE = 1024
+NEAREST = 0.999
 SEED = 7
 
 
@@ -55,13 +59,13 @@ def phi(x):
 class Hashes:
     """The hash functions of all tables, the same in every task."""
 
-    def __init__(self, dim, length, similarity):
+    def __init__(self, dim, length):
         rng = np.random.default_rng(SEED)
         self.scale = length / np.sqrt(dim)
         self.width = WIDTH * self.scale
         self.a = rng.standard_normal((TABLES, dim, HASHES)) / np.sqrt(dim)
         self.b = rng.random((TABLES, HASHES)) * self.width
-        self.length, self.similarity = length, similarity
+        self.length = length
 
     def rows(self, x):
         """Vectors on one sphere: the added coordinate leaves the order of distances to q."""
@@ -77,32 +81,56 @@ class Hashes:
         keys = np.floor((rows @ self.a[t] + self.b[t]) / self.width).astype(np.int64)
         return np.unique(keys, axis=0, return_inverse=True)
 
-    def visits(self, t, cells, queries):
+    def visits(self, t, cells, queries, similarity):
         """Which cells each query visits: the likeliest until their estimates reach TARGET."""
-        centre = self.similarity * (queries @ self.a[t])
-        sd = np.sqrt(max(1 - self.similarity ** 2, 1e-4)) * self.scale
         low = cells * self.width - self.b[t]
-        chance = np.ones((len(queries), len(cells)))
-        for j in range(HASHES):
-            edge, which = np.unique(low[:, j], return_inverse=True)
-            p = (phi((edge + self.width - centre[:, j, None]) / sd)
-                 - phi((edge - centre[:, j, None]) / sd))
-            chance *= p[:, which]
-        order = np.argsort(-chance, axis=1, kind="stable")
-        ranked = np.take_along_axis(chance, order, 1)
-        going = np.cumsum(ranked, 1) - ranked < TARGET
-        seen = np.zeros(chance.shape, bool)
-        np.put_along_axis(seen, order, going, 1)
+        seen = np.zeros((len(queries), len(cells)), bool)
+        for near in nearer(similarity):
+            centre = near[:, None] * (queries @ self.a[t])
+            sd = np.sqrt(np.maximum(1 - near ** 2, 1e-4))[:, None] * self.scale
+            chance = np.ones(seen.shape)
+            for j in range(HASHES):
+                edge, which = np.unique(low[:, j], return_inverse=True)
+                p = (phi((edge + self.width - centre[:, j, None]) / sd)
+                     - phi((edge - centre[:, j, None]) / sd))
+                chance *= p[:, which]
+            order = np.argsort(-chance, axis=1, kind="stable")
+            ranked = np.take_along_axis(chance, order, 1)
+            going = np.cumsum(ranked, 1) - ranked < TARGET
+            own = np.zeros(chance.shape, bool)
+            np.put_along_axis(own, order, going, 1)
+            seen |= own
         return seen
 
 
-def search_shard(ids, rows, query_ids, queries, hashes, k):
+def nearer(similarity):
+    """Similarities to search at: the k-th neighbour's, half as far, and a near copy's."""
+    return [similarity, (similarity + NEAREST) / 2, np.full(len(similarity), NEAREST)]
+
+
+def similarities(query_ids, queries, sample_ids, sample, longest, n, k):
+    """Of each query, how near its k-th of n neighbours is at least (cosine on the sphere).
+
+    Of a sample that holds ``mean`` of the k nearest on average, a place a few
+    standard deviations further is taken; the k-th place is never too near.
+    """
+    near = queries @ (sample / longest).T / np.linalg.norm(queries, axis=1)[:, None]
+    own = query_ids[:, None] == sample_ids[None, :]
+    near = -np.sort(np.where(own, np.inf, -near), axis=1)
+    others = (~own).sum(1)
+    mean = k * others / max(n - 1, 1)
+    place = np.minimum(np.minimum(np.ceil(mean + 2 * np.sqrt(mean)) + 1, k), others).astype(int)
+    found = np.where(place > 0, near[np.arange(len(near)), np.maximum(place, 1) - 1], -NEAREST)
+    return np.clip(found, -NEAREST, NEAREST)
+
+
+def search_shard(ids, rows, query_ids, queries, similarity, hashes, k):
     """(query row, id, score) of the best ``k`` candidates of each query in one shard."""
     scores = np.full((len(queries), len(rows)), -np.inf)
     on_sphere, asked = hashes.rows(rows), hashes.queries(queries)
     for t in range(TABLES):
         cells, where = hashes.cells(t, on_sphere)
-        seen = hashes.visits(t, cells, asked)
+        seen = hashes.visits(t, cells, asked, similarity)
         order = np.argsort(where, kind="stable")
         for cell, own in enumerate(np.split(order, np.cumsum(np.bincount(where))[:-1])):
             who = np.flatnonzero(seen[:, cell])
@@ -122,21 +150,17 @@ def search_shard(ids, rows, query_ids, queries, hashes, k):
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
-def measure(rows, k):
-    """Vector length to reach, number of rows and dimension; similarity of a k-th neighbour."""
+def measure(rows):
+    """Rows of the usual dimension, their number, dimension and longest length; ids and rows of a sample."""
     dim = rows.groupBy("dim").count().orderBy(F.desc("count"), "dim").first()
     if dim is None:
         return None
     own = rows.filter(F.col("dim") == dim["dim"])
     norm = F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)
     longest = own.agg(F.max(norm)).first()[0] ** 0.5
-    sample = np.array([r[0] for r in own.orderBy(F.xxhash64("vec_id")).limit(SAMPLE)
-                       .select("v").collect()])
-    unit = sample / np.linalg.norm(sample, axis=1)[:, None]
-    level = 1 - min(1.0, k / max(dim["count"], 1))
-    near = (unit @ (sample / longest).T)[~np.eye(len(sample), dtype=bool)]
-    similarity = float(np.quantile(near, level)) if len(near) else 0.0
-    return own, dim["count"], dim["dim"], longest, min(max(similarity, 0.0), 0.999)
+    sample = own.orderBy(F.xxhash64("vec_id")).limit(SAMPLE).select("vec_id", "v").collect()
+    return (own, dim["count"], dim["dim"], longest, np.array([r[0] for r in sample]),
+            np.array([r[1] for r in sample]))
 
 
 def search(vectors, queries, k=20, id_column="vec_id", vector="embedding"):
@@ -146,24 +170,33 @@ def search(vectors, queries, k=20, id_column="vec_id", vector="embedding"):
     """
     rows = stored(usable(vectors, id_column, vector), "vectors")
     spark = rows.sparkSession
-    known = measure(rows, k)
+    known = measure(rows)
     empty = "query_id bigint, rank int, vec_id bigint, score double"
     if known is None:
         return spark.createDataFrame([], empty)
-    own, n, dim, longest, similarity = known
+    own, n, dim, longest, sample_ids, sample = known
     shards = -(-n // SHARD) * 5 // 4 + 1
     asked = usable(queries, id_column, vector).filter(F.col("dim") == dim)
     blocks = max(1, -(-asked.count() // BLOCK) * 5 // 4)
     mixed = F.xxhash64("vec_id", "v")
+
+    def matrix(column):
+        return np.asarray(column.flatten()).reshape(-1, dim)
+
+    def estimated(batches):
+        for batch in batches:
+            near = similarities(batch["vec_id"].to_numpy(), matrix(batch["v"]), sample_ids, sample,
+                                longest, n, k)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(near)], ["vec_id", "v", "near"])
+
+    asked = asked.select("vec_id", "v").mapInArrow(
+        estimated, "vec_id bigint, v array<double>, near double")
     left = own.select((F.pmod(mixed, F.lit(shards))).alias("shard"), F.explode(
         F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "vec_id", "v")
     right = asked.select(
         F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(shards - 1).cast("bigint"))).alias("shard"),
         F.pmod(mixed, F.lit(blocks)).cast("int").alias("block"),
-        F.col("vec_id").alias("query_id"), "v")
-
-    def matrix(column):
-        return np.asarray(column.combine_chunks().flatten()).reshape(-1, dim)
+        F.col("vec_id").alias("query_id"), "v", "near")
 
     def run(mine, asking):
         if not mine.num_rows or not asking.num_rows:
@@ -171,8 +204,9 @@ def search(vectors, queries, k=20, id_column="vec_id", vector="embedding"):
             return pa.table({"query_id": ids, "vec_id": ids, "score": np.zeros(0)})
         asked_ids = asking["query_id"].to_numpy()
         i, ids, score = search_shard(
-            mine["vec_id"].to_numpy(), matrix(mine["v"]), asked_ids, matrix(asking["v"]),
-            Hashes(dim + 1, longest, similarity), k)
+            mine["vec_id"].to_numpy(), matrix(mine["v"].combine_chunks()), asked_ids,
+            matrix(asking["v"].combine_chunks()), asking["near"].to_numpy(),
+            Hashes(dim + 1, longest), k)
         return pa.table({"query_id": asked_ids[i], "vec_id": ids, "score": score})
 
     found = left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInArrow(
