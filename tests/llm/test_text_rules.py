@@ -258,6 +258,17 @@ def test_added_spans_and_windows(model):
     assert pii.stretches("a" * 500) == []
 
 
+@pytest.mark.parametrize("said", ["jane.roe (at) mailer (dot) org", "jane[at]mailer[dot]org",
+                                  "jane.roe(at)mailer.com", "jane [AT] mailer [DOT] net"])
+def test_addresses_of_letters_only(model, said):
+    for left, right in (("", ""), ("lorem " * 40, " lorem" * 40), ("write to ", ". thanks")):
+        text = left + said + right
+        own, added = pii.find(model, [text])[0]
+        assert own == [] and added == [(0, len(left), len(left) + len(said))]
+    assert pii.candidates("flat matter dotted atlas " * 40) == []
+    assert pii.find(model, ["meet at the corner. we dot the lines. they look at it. " * 9])[0] == ([], [])
+
+
 def test_personal_query_edges(spark):
     x = "mail a@b.co, 1.2.3.4"
     df = spark.createDataFrame([(1, None, None, "c"), (1, "", "s", "c"), (None, x, "s", "c"),

@@ -6,9 +6,10 @@ the base rules find in a bounded sample of the documents (``SAMPLE_DOCS``
 documents, ``SAMPLE_WINDOWS`` windows at most), the same spans rewritten in forms
 the rules don't know, and numbers that are no personal data. The seed is fixed.
 
-Every labelled form holds a digit or an at sign, so each stretch of text near
-one is a candidate, however many there are, and text far from any can hold no
-span. A candidate stretch is read in overlapping windows of ``LENGTH``
+Every form holds a digit, an at sign or the word "at", in any case and between
+characters that are no letters, so each stretch of text near one of these or the
+word "dot" is a candidate, however many there are, and text far from any can hold
+no span. A stretch ends where a word ends. It is read in overlapping windows of ``LENGTH``
 characters; the emissions of a character are averaged over its windows with more
 weight to the middle of a window, and one best path is taken over the whole
 stretch. A span it yields must pass its kind's check, end where a word ends, and
@@ -37,6 +38,15 @@ IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 SIGN = re.compile(r"[0-9@]")
+# A digit, an at sign, or the words "at" and "dot"; begins with a set, which is searched fast.
+NEAR = re.compile(r"[0-9@aAdD](?:(?<=[0-9@])|(?<=[aA])(?<!\w.)[tT](?!\w)"
+                  r"|(?<=[dD])(?<!\w.)[oO][tT](?!\w))", re.S)
+
+# An address with its at sign and dots as they are, spaced, in brackets or as words.
+FORM = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++"
+                  r"(?:\s*@\s*|\s*[(\[{<]\s*(?:at|@)\s*[)\]}>]\s*|\s+at\s+)[A-Za-z0-9-]++"
+                  r"(?:(?:\.|\s\.\s|\s*[(\[{<]\s*(?:dot|\.)\s*[)\]}>]\s*|\s+dot\s+)[A-Za-z0-9-]++)+",
+                  re.I | re.A)
 
 SAMPLE_DOCS, SAMPLE_WINDOWS = 4000, 1500
 LENGTH, STEP, REACH = 64, 32, 24
@@ -93,10 +103,10 @@ def scan(text):
     return out
 
 
-def stretches(text):
-    """(start, end) of the text near a digit or an at sign."""
+def stretches(text, sign=SIGN):
+    """(start, end) of the text near a sign."""
     out = []
-    for m in SIGN.finditer(text):
+    for m in sign.finditer(text):
         a, b = max(0, m.start() - REACH), min(len(text), m.end() + REACH)
         if out and a <= out[-1][1]:
             out[-1][1] = b
@@ -105,6 +115,25 @@ def stretches(text):
     return out
 
 
+def candidates(text):
+    """(start, end) of the stretches in which a span can lie: whole words near any sign."""
+    out = []
+    for a, b in stretches(text, NEAR):
+        if out and b <= out[-1][1]:
+            continue
+        while a > 0 and not text[a - 1].isspace():
+            a -= 1
+            if out and a <= out[-1][1]:
+                break
+        while b < len(text) and not text[b].isspace():
+            b += 1
+        if out and a <= out[-1][1]:
+            out[-1][1] = b
+        else:
+            out.append([a, b])
+    return out
+
+
 def windows(length):
     """Starts of the windows over a stretch: overlapping by half, the last one at its end."""
     if length <= LENGTH:
@@ -119,7 +148,7 @@ def tag(model, texts, block=512):
     """Spans that the tagger sees in each text."""
     where, rows = [], []
     for i, text in enumerate(texts):
-        for a, b in stretches(text):
+        for a, b in candidates(text):
             own = codes(text[a:b])
             starts = windows(len(own))
             where.append((i, a, len(own), starts))
@@ -171,6 +200,22 @@ def plausible(kind, text):
     return 9 <= found <= 15 and found * 2 >= len(text.strip())
 
 
+def addresses(text, a, b):
+    """What a tagged address [a, b) stands for: the whole forms it touches, else itself.
+
+    Words alone are no address without such a form.
+    """
+    low, high = a, min(len(text), b + LENGTH)
+    while low > 0 and text[low - 1] in LOCAL:
+        low -= 1
+    while high < len(text) and text[high] in LOCAL:
+        high += 1
+    found = [m.span() for m in FORM.finditer(text, low, high) if m.start() < b and m.end() > a]
+    if found:
+        return found
+    return [(a, b)] if re.search(r"[0-9@()\[\]]", text[a:b]) else []
+
+
 def find(model, texts):
     """For each text: base spans and added spans."""
     base = [scan(x) for x in texts]
@@ -182,9 +227,11 @@ def find(model, texts):
                 a += 1
             while b > a and (text[b - 1].isspace() or text[b - 1] in ".,;:"):
                 b -= 1
-            whole = not text[max(0, a - 1):a].isalnum() and not text[b:b + 1].isalnum()
-            if whole and all(b <= s or a >= e for _, s, e in own) and plausible(kind, text[a:b]):
-                added.append((kind, a, b))
+            for a, b in addresses(text, a, b) if kind == 0 else [(a, b)]:
+                whole = not text[max(0, a - 1):a].isalnum() and not text[b:b + 1].isalnum()
+                if (whole and all(b <= s or a >= e for _, s, e in own) and plausible(kind, text[a:b])
+                        and (kind, a, b) not in added):
+                    added.append((kind, a, b))
         out.append((own, added))
     return out
 
@@ -260,7 +307,10 @@ class Forms:
             f"{self.number(1)}.{self.number(1)}.{self.number(2)}", f"${self.number(2)}.{self.number(2)}",
             f'token = "{hexed}"', hexed[:20], f"{self.number(2)}:{self.number(2)}", "@" + self.word(),
             f"{self.number(2)}%", f"{self.number(16)}x", "version " + self.number(1) + ".0",
-            f"{self.number(3)} - {self.number(3)}"])
+            f"{self.number(3)} - {self.number(3)}",
+            f"{self.word()} at {self.word()}. {self.word()}", f"at {self.word()} {self.word()}.",
+            f"({self.word()} at {self.word()})", f"{self.word()} dot {self.word()}",
+            f"{self.word()} at {self.word()}.{self.word()}()"])
 
     def window(self, around):
         """A text of LENGTH characters at most, with its spans."""
