@@ -1,9 +1,11 @@
 """Quality rules, secrets, personal data, URLs and chat against plain reference versions."""
 
 import base64
+import bz2
 import gzip
 import hashlib
 import json
+import lzma
 import random
 import re
 import zlib
@@ -164,6 +166,37 @@ def test_one_and_two_layers(wrap):
     assert ("access", three) in found("a " + three + " b")
 
 
+def wrapped(raw, width, cut="\n"):
+    x = base64.b64encode(raw).decode()
+    return cut.join(x[i:i + width] for i in range(0, len(x), width))
+
+
+@pytest.mark.parametrize("wide", [64, 76])
+@pytest.mark.parametrize("cut", ["\n", "\r\n", "\n  ", "\\n"])
+@pytest.mark.parametrize("pack", [lambda x: x, gzip.compress, zlib.compress])
+def test_wrapped_base64(wide, cut, pack):
+    for lead in range(30, 60):
+        text = " ".join(hashlib.md5(b"%d" % i).hexdigest()[:9] for i in range(lead))
+        inner = (text[:lead] + f" password={KEY} é " + text).encode()
+        x = wrapped(pack(inner), wide, cut)
+        assert ("assign", x) in found("a: " + x + " b") and ("access", x) in found(x)
+
+
+def test_base64_glued_cut_escaped_and_in_members():
+    secret = f"see password={KEY} there".encode()
+    x = base64.b64encode(secret).decode().rstrip("=")
+    for glue in ("", "/", "_a", "key", "a/b_c"):
+        for more in ("", "x", "xy", "xyz"):
+            assert any(k == "access" for k, _ in found(f"q {glue}{x}{more} z"))
+    for pack in (gzip.compress, zlib.compress):
+        for y in (quote(pack(secret)), "".join(f"\\x{b:02x}" for b in pack(secret)),
+                  "".join(f"%{b:02X}" for b in pack(secret)), repr(pack(secret))):
+            assert any(k == "access" for k, _ in found("q " + y + " z"))
+    for pack in (gzip.compress, bz2.compress, lzma.compress):
+        y = base64.b64encode(pack(b"first member " * 9) + pack(secret[:12]) + pack(secret[12:])).decode()
+        assert ("access", y) in found("q " + y + " z")
+
+
 def test_spans_map_to_characters():
     x = "é token=abc%64efgh%69 end"
     assert ("assign", "token=abc%64efgh%69") in found(x)

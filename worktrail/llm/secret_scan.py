@@ -9,7 +9,10 @@ for the same span is not opened again, which ends cycles.
 
 Percent and Unicode escapes are opened over the whole layer and mapped by
 character, so a secret that is only partly escaped is found as a whole; base64
-runs map to the run. Data that unpacks to more than ``MOST`` bytes is scanned in
+runs map to the run. Wrapped base64 is opened line by line and as one run; a run
+that does not decode is read at all four alignments, as text or data may begin
+anywhere in it. Compressed data is also looked for in the bytes of percent and
+\\x escapes, and all its members are read. Data that unpacks to more than ``MOST`` bytes is scanned in
 overlapping parts, so no layer is cut short and memory stays bounded.
 
 Null is the empty text. Each row is judged by its own text; other columns, ties
@@ -43,6 +46,16 @@ UNICODE = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\u\{[0-9A-Fa-f]{1,6}\}|\\U[0-9A-Fa-
 ONE = re.compile(r"\\u([0-9A-Fa-f]{4})|\\u\{([0-9A-Fa-f]{1,6})\}|\\U([0-9A-Fa-f]{8})"
                  r"|\\x([0-9A-Fa-f]{2})|&#([0-9]{1,7});|&#[xX]([0-9A-Fa-f]{1,6});")
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+"
+                     r"(?:(?:\r?\n[\x20\t]*|(?:\\r)?\\n)[A-Za-z0-9+/_-]++)++={0,2}")
+BREAKS = re.compile(r"\r?\n[\x20\t]*|(?:\\r)?\\n")
+# Text inside undecodable bytes; the shortest secret has 14 characters.
+PLAIN = re.compile(r"[^\x00-\x08\x0b\x0c\x0e-\x1f\x7f\ufffd]{14,}")
+MAGIC = re.compile(rb"\x1f\x8b\x08|x[\x01\x5e\x9c\xda]|BZh[1-9]|\xfd7zXZ\x00")
+BYTE = re.compile(r"(?:%|\\x)[89A-Fa-f][0-9A-Fa-f]")
+BYTES = re.compile(r"(?:%[0-9A-Fa-f]{2}|\\x[0-9A-Fa-f]{2}|\\[nrt0\\'\"]|[\x20-\[\]-~])+")
+ONE_BYTE = re.compile(r"(?:%|\\x)([0-9A-Fa-f]{2})|\\([nrt0\\'\"])")
+NAMED = {"n": "\n", "r": "\r", "t": "\t", "0": "\0"}
 MOST, OVERLAP = 8 << 20, 1 << 16
 
 
@@ -110,56 +123,85 @@ def readable(raw):
     return said if said and all(c >= " " or c in "\t\r\n" for c in said) else None
 
 
-def unpacked(raw):
-    """Parts of compressed data as bytes, each of bounded size; none if it isn't compressed."""
+def opener_of(raw):
+    """A decompressor for data that begins like this, None if it isn't compressed."""
     if raw[:2] == b"\x1f\x8b":
-        opener = zlib.decompressobj(31)
-    elif raw[:1] == b"\x78" and len(raw) > 2 and (raw[0] << 8 | raw[1]) % 31 == 0:
-        opener = zlib.decompressobj()
-    elif raw[:3] == b"BZh":
-        opener = bz2.BZ2Decompressor()
-    elif raw[:6] == b"\xfd7zXZ\x00":
-        opener = lzma.LZMADecompressor()
-    else:
-        return ()
-    return _parts(opener, raw)
-
-
-def _parts(opener, raw):
-    """Overlapping parts, so that a secret across two of them is whole in one."""
-    held, feed = b"", raw
-    try:
-        while True:
-            got = opener.decompress(feed, MOST)
-            feed = opener.unconsumed_tail if hasattr(opener, "unconsumed_tail") else b""
-            more = bool(feed) if hasattr(opener, "unconsumed_tail") else not (
-                opener.eof or opener.needs_input)
-            held += got
-            if not got or not more:
-                break
+        return zlib.decompressobj(31)
+    if raw[:1] == b"\x78" and len(raw) > 2 and (raw[0] << 8 | raw[1]) % 31 == 0:
+        return zlib.decompressobj()
+    if raw[:3] == b"BZh":
+        return bz2.BZ2Decompressor()
+    if raw[:6] == b"\xfd7zXZ\x00":
+        return lzma.LZMADecompressor()
+    return None
+
+
+def unpacked(raw):
+    """Parts of compressed data as bytes, each of bounded size; none if it isn't compressed.
+
+    Parts overlap, so that a secret across two of them is whole in one. Members
+    that follow each other are read as one text.
+    """
+    held = b""
+    while (opener := opener_of(raw)) is not None:
+        feed, raw = raw, b""
+        try:
+            while True:
+                got = opener.decompress(feed, MOST)
+                feed = opener.unconsumed_tail if hasattr(opener, "unconsumed_tail") else b""
+                more = bool(feed) if hasattr(opener, "unconsumed_tail") else not (
+                    opener.eof or opener.needs_input)
+                held += got
+                if opener.eof:
+                    raw = opener.unused_data.lstrip(b"\0")
+                if not got or not more:
+                    break
+                yield held
+                held = held[-OVERLAP:]
+        except (zlib.error, OSError, lzma.LZMAError, EOFError):
+            pass
+        if raw and len(held) > MOST:
             yield held
             held = held[-OVERLAP:]
-    except (zlib.error, OSError, lzma.LZMAError, EOFError):
-        pass
     if held:
         yield held
 
 
+def inside(raw):
+    """Compressed data anywhere in the bytes, unpacked to texts."""
+    for m in MAGIC.finditer(raw):
+        for part in unpacked(memoryview(raw)[m.start():]):
+            yield part.decode("utf-8", "replace")
+
+
 def opened(run):
     """Texts inside a base64 run."""
-    body = run.rstrip("=")
-    if len(body) % 4 == 1:
-        return
-    try:
-        raw = base64.b64decode(body.replace("-", "+").replace("_", "/") + "=" * (-len(body) % 4))
-    except (binascii.Error, ValueError):
-        return
-    said = readable(raw)
-    if said:
-        yield said
+    body = run.rstrip("=").replace("-", "+").replace("_", "/")
+    for skip in range(4):
+        own = body[skip:]
+        own = own[:len(own) - (len(own) % 4 == 1)]
+        try:
+            raw = base64.b64decode(own + "=" * (-len(own) % 4))
+        except (binascii.Error, ValueError):
+            continue
+        if skip == 0 and len(own) == len(body):
+            said = readable(raw)
+            if said:
+                yield said
+                return
+        yield from PLAIN.findall(raw.decode("utf-8", "replace"))
+        yield from inside(raw)
+
+
+def packed_escapes(layer):
+    """(start, end, text) of compressed data written with percent or \\x escapes."""
+    if not BYTE.search(layer):
         return
-    for part in unpacked(raw):
-        yield part.decode("utf-8", "replace")
+    for m in BYTES.finditer(layer):
+        if BYTE.search(m[0]):
+            raw = ONE_BYTE.sub(lambda x: chr(int(x[1], 16)) if x[1] else NAMED.get(x[2], x[2]), m[0])
+            for said in inside(raw.encode("latin-1")):
+                yield m.start(), m.end(), said
 
 
 def find(text):
@@ -177,11 +219,18 @@ def find(text):
                     if starts is not None:
                         a, b = starts[a], ends[b - 1]
                     todo.append((said, a, b))
+        def put(said, a, b):
+            a, b = (a, b) if starts is None else (int(starts[a:b].min()), int(ends[a:b].max()))
+            todo.append((said, np.broadcast_to(a, len(said)), np.broadcast_to(b, len(said))))
+
         for m in BASE64.finditer(layer):
             for said in opened(m[0]):
-                a = m.start() if starts is None else int(starts[m.start():m.end()].min())
-                b = m.end() if ends is None else int(ends[m.start():m.end()].max())
-                todo.append((said, np.broadcast_to(a, len(said)), np.broadcast_to(b, len(said))))
+                put(said, *m.span())
+        for m in WRAPPED.finditer(layer):
+            for said in opened(BREAKS.sub("", m[0])):
+                put(said, *m.span())
+        for a, b, said in packed_escapes(layer):
+            put(said, a, b)
 
     spread(text, None, None)
     while todo:
