@@ -1,7 +1,7 @@
 """One query per operator, over its whole table with production parameters."""
 
-from worktrail.llm import (ann, bpe, chat, jaccard, packing, pii, quality, secret_scan, tokencount,
-                           urls)
+from worktrail.llm import (ann, bpe, chat, cuckoo, jaccard, packing, pii, quality, secret_scan,
+                           tokencount, urls)
 from worktrail.llm.common import table
 
 QUERIES, ORACLE = {}, {}
@@ -70,3 +70,11 @@ def op5_personal_data(s, d):
 @query
 def op7_jaccard_join(s, d):
     return jaccard.digest(table(s, d, "documents"))
+
+
+@query
+def op11_exact_dedup(s, d):
+    return cuckoo.digest(table(s, d, "documents"))
+
+
+ORACLE["op11_exact_dedup"] = cuckoo.SQL
