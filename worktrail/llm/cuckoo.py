@@ -4,8 +4,8 @@ A document's address is the SHA-256 of its text. The index is dealt by address
 into shards; a shard keeps a cuckoo filter (four 16-bit marks per bucket, two
 buckets per address) and the hashes of its live addresses. What the filter does
 not know is new and needs no lookup. What it seems to know is looked up in the
-content, which is bucketed by shard: an equal text makes a copy, anything else is
-a false alarm and becomes live itself. An address leaves the filter when its last
+content, which is dealt into buckets by shard and address and sorted by them: an
+equal text makes a copy, anything else is a false alarm and becomes live itself. An address leaves the filter when its last
 document is deleted. A filter that overflows is built again, twice as large, from
 the stored hashes.
 
@@ -249,7 +249,7 @@ def insert(index, docs, address=digest_of):
         known = stored(live.select("address").join(hits, "address", "left_semi").distinct(), "known")
     else:
         known = index.tombs.select("address")
-    content = stored(distinct.repartition("shard").sortWithinPartitions("shard", "address"), "content")
+    content = stored(distinct.sortWithinPartitions("shard", "address"), "content")
     twice = content.groupBy(*KEY).agg(F.count("*").alias("texts")).filter("texts > 1")
     if not twice.isEmpty():
         raise ValueError("two texts of one digest, hash and length")
