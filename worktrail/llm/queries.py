@@ -1,7 +1,7 @@
 """One query per operator, over its whole table with production parameters."""
 
-from worktrail.llm import (ann, bpe, chat, cuckoo, jaccard, packing, pii, quality, secret_scan,
-                           tokencount, urls)
+from worktrail.llm import (ann, bpe, chat, cuckoo, hardneg, jaccard, packing, pii, quality,
+                           repair, secret_scan, tokencount, urls)
 from worktrail.llm.common import table
 
 QUERIES, ORACLE = {}, {}
@@ -78,3 +78,16 @@ def op11_exact_dedup(s, d):
 
 
 ORACLE["op11_exact_dedup"] = cuckoo.SQL
+
+
+@query
+def op12_hard_negatives(s, d):
+    return hardneg.digest(table(s, d, "embeddings"))
+
+
+ORACLE["op12_hard_negatives"] = hardneg.SQL
+
+
+@query
+def op13_structure_repair(s, d):
+    return repair.digest(table(s, d, "conversations"))
