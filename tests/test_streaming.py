@@ -9,6 +9,8 @@ from worktrail.operators import capture, search
 from worktrail.operators import tasks as K
 from worktrail.plans import inputs as I
 from worktrail.sources import events as src
+from worktrail.sources import store as stores
+from worktrail.sources import textstore
 from worktrail.sources.store import EventStore
 from worktrail.streaming import ingest, state
 
@@ -48,8 +50,8 @@ def test_ingest_is_idempotent(spark, request_files, tmp_path):
     assert got() == want
 
     whole = search.build_index(store.read(spark))
-    grown = search.load_index(spark, idx)
-    assert sorted(search.term_stats(grown).collect()) == sorted(search.term_stats(whole).collect())
+    grown = textstore.TextStore(idx).load(spark)
+    assert sorted(textstore.term_stats(grown).collect()) == sorted(search.term_stats(whole).collect())
 
 
 def test_repeats_without_ids_stay_apart(spark):
@@ -141,7 +143,7 @@ def test_debounce_over_shuffled_batches(spark, tmp_path):
                                  str(tmp_path / checkpoint), drain=True))
     want = capture.debounce(e, ["source"], 600_000)
     got = state.closed_bursts(spark, out, e.schema).unionByName(
-        state.flush_debounce(spark, out, e.schema, ["source"], 600_000))
+        state.flush_debounce(spark, out, str(tmp_path / "cp"), e, ["source"], 600_000))
     got = got.select(want.columns)
     assert got.count() == want.count() and got.exceptAll(want).count() == 0
 
@@ -159,7 +161,8 @@ def test_debounce_closes_bursts_and_keeps_late_rows(spark, tmp_path):
     assert seen == [[], ["1"], ["1"], ["1"], ["1", "30", "40"]]
     late = spark.read.parquet(f"{out}/late")
     assert [r["id"] for r in late.collect()] == ["10"]
-    rest = state.flush_debounce(spark, out, schema, ["source"], 300_000)
+    empty = spark.createDataFrame([], schema)
+    rest = state.flush_debounce(spark, out, str(tmp_path / "cp"), empty, ["source"], 300_000)
     assert [r["id"] for r in rest.collect()] == ["59"]
 
 
@@ -176,7 +179,7 @@ def test_counts_over_batches(spark, tmp_path):
     e = I.events(spark, D)
     stream = shuffled_stream(spark, e.collect(), e.schema, str(tmp_path / "in"), 3)
     run(state.start_counts(stream, ["source"], str(tmp_path / "out"), str(tmp_path / "cp"), drain=True))
-    got = state.read_version(spark, str(tmp_path / "out"), "source string, n_events bigint")
+    got = state.counts(spark, str(tmp_path / "out"), "source string, n_events bigint", ["source"])
     assert {tuple(r) for r in got.collect()} == {
         tuple(r) for r in e.groupBy("source").count().collect()}
 
@@ -205,6 +208,71 @@ def test_lifecycle_keeps_state_between_runs(spark, tmp_path):
                    "c": ("active", at(2), None), "d": ("completed", at(4), at(5))}
 
 
+def plain_events(spark, rows):
+    """(id, minutes, label) as stored events."""
+    e = spark.createDataFrame(rows, "id string, minutes int, label string").select(
+        "id", F.timestamp_seconds(F.lit(1704067200) + F.col("minutes") * 60).alias("timestamp"),
+        F.lit("TERM").alias("source"), "label", F.lit("").alias("content"))
+    for c in ("metadata", "cwd", "git_repo", "task_id"):
+        e = e.withColumn(c, F.lit(None).cast("string"))
+    return e.withColumn("was_redacted", F.lit(False))
+
+
+def test_ledger_reads_own_buckets_and_merges(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(stores, "FANOUT", 4)
+    store = EventStore(str(tmp_path / "s"))
+    seen = []
+    for k in range(20):
+        rows = [(f"e{i}", i * 50, f"batch {k}") for i in range(k * 10, k * 10 + 20)]  # half known
+        store.append(plain_events(spark, rows), part=f"b{k}")
+        store.compact(spark, 4)
+        parts = store.manifest.live(spark, "ids")
+        seen.append((len(parts), len(store.manifest.live(spark, "events"))))
+    got = {r["id"]: r["label"] for r in store.read(spark).collect()}
+    assert len(got) == store.read(spark).count() == 210
+    assert all(got[f"e{i}"] == f"batch {max(0, (i - 10) // 10)}" for i in range(210))
+    assert max(n for n, _ in seen) <= 8 and store.read(spark).select("id").distinct().count() == 210
+    ids = spark.createDataFrame([("e5",)], "id string")
+    probe = store.known_ids(spark, ids)
+    assert [r[0] for r in probe.collect()] == ["e5"]
+    plan = probe._jdf.queryExecution().executedPlan().toString()
+    assert "id_bucket" in plan.split("PartitionFilters: [")[1][:80]
+
+
+def test_append_is_repeatable_and_first_arrival_counts(spark, tmp_path):
+    store = EventStore(str(tmp_path / "s"))
+    rows = plain_events(spark, [("a", 5, "later"), ("a", 1, "earlier"), ("b", 1, "x")]).coalesce(1)
+    first = rows.withColumn("arrival", F.monotonically_increasing_id())
+    for _ in range(2):
+        store.append(first, part="p", order=("arrival",))
+    assert {r["id"]: r["label"] for r in store.read(spark).collect()} == {"a": "later", "b": "x"}
+    # A write that died before its commit leaves nothing that counts.
+    stores.write_events(plain_events(spark, [("c", 1, "lost")]), f"{store.events_path}/part=dead")
+    assert store.read(spark).count() == 2
+    store.append(plain_events(spark, [("c", 1, "kept"), ("a", 9, "again")]), part="q")
+    assert {r["id"]: r["label"] for r in store.read(spark).collect()} == {"a": "later", "b": "x", "c": "kept"}
+
+
+def test_prune_beside_ingest(spark, tmp_path, monkeypatch):
+    """Events appended while retention runs stay; pruned ids may come back."""
+    store, now = EventStore(str(tmp_path / "s")), F.lit(datetime(2024, 3, 1))
+    store.append(plain_events(spark, [("a", 1, "x"), ("b", 2, "x")]), part="p")
+    write = EventStore._write_events
+
+    def slow(self, session, events, part, level=0):
+        if part.startswith("pruned"):
+            EventStore(self.root).append(plain_events(spark, [("c", 3, "meanwhile")]), part="q")
+        return write(self, session, events, part, level)
+
+    monkeypatch.setattr(EventStore, "_write_events", slow)
+    assert store.prune(spark, now, 30) == 2
+    assert [r["id"] for r in store.read(spark).collect()] == ["c"]
+    monkeypatch.setattr(EventStore, "_write_events", write)
+    store.append(plain_events(spark, [("a", 4, "back"), ("c", 9, "no")]), part="r")
+    assert {r["id"]: r["label"] for r in store.read(spark).collect()} == {"a": "back", "c": "meanwhile"}
+    assert store.prune(spark, now, 30) == 2 and store.read(spark).count() == 0
+
+
 def test_prune_rewrites_only_affected_days(spark, tmp_path):
     store = EventStore(str(tmp_path / "s"))
     now = datetime(2024, 2, 1)

@@ -5,13 +5,13 @@ places and the document's length, so that scoring a query reads only the
 postings of its own terms. Ranks are negative: smaller is better.
 """
 
+import math
 import re
 from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
 from worktrail import schema as S
 from worktrail.functions import porter, times
@@ -25,12 +25,13 @@ ANYCASE = r"0-9A-Za-z\x{80}-\x{10FFFF}"
 COLUMNS = ("label", "content")
 K1, B = 1.2, 0.75
 MIN_IDF = 1e-6
+# Stored postings are partitioned by so many hash buckets of terms.
+BUCKETS = 64
 SNIPPET_TOKENS = 15
 MARK_OPEN, MARK_CLOSE, ELLIPSIS = "«", "»", "..."
 NEW_PHRASE, REPEAT_PHRASE, SENTENCE_BONUS, TEXT_START_BONUS = 1000, 1, 100, 120
 
 
-
 def tokens(c):
     return F.regexp_extract_all(F.translate(c, UPPER, LOWER), F.lit(TOKEN_RE), F.lit(0))
 
@@ -85,13 +86,19 @@ def prefix(text, stemmed=True):
 
 @dataclass(frozen=True)
 class TextIndex:
-    """postings(term, id, n_tokens, tf, places) and lengths(id, n_tokens)."""
+    """postings(term, id, n_tokens, tf, places) and lengths(id, n_tokens).
+
+    ``known`` is (n_docs, avg_tokens) where these are stored.
+    """
 
     postings: DataFrame
     lengths: DataFrame
+    known: tuple | None = None
 
     def totals(self):
-        """Struct column (n_docs, avg_tokens) from one scalar subquery."""
+        """(n_docs, avg_tokens) by name: as stored, or from one scalar subquery."""
+        if self.known:
+            return {"n_docs": F.lit(self.known[0]), "avg_tokens": F.lit(self.known[1])}
         return self.lengths.agg(F.struct(
             F.count("*").alias("n_docs"), F.avg("n_tokens").alias("avg_tokens"))).scalar()
 
@@ -168,63 +175,13 @@ def replace_documents(index, docs, stemmed=True):
     return add_documents(remove_documents(index, docs), docs, stemmed)
 
 
-def _bucket(term, buckets):
-    return F.pmod(F.xxhash64(term), F.lit(buckets) if isinstance(buckets, int) else buckets
-                  ).cast("int")
+def term_bucket(c):
+    return F.pmod(F.xxhash64(c), F.lit(BUCKETS)).cast("int")
 
 
-def save_index(index, path, buckets=None, spread=4):
-    """Write a compacted index: postings partitioned by term bucket.
-
-    Rows are sorted by term within files. ``spread`` writers share a bucket, so
-    a term found in every document does not land in one task. The bucket count
-    is part of the layout, so a reader needs no other record of it.
-    """
-    spark = index.postings.sparkSession
-    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    (index.postings.select("term", "id", "n_tokens", "tf", "places")
-     .withColumn("buckets", F.lit(buckets))
-     .withColumn("term_bucket", _bucket("term", buckets))
-     .withColumn("__part", F.pmod(F.xxhash64("id"), F.lit(spread)))
-     .repartition("term_bucket", "__part").drop("__part")
-     .sortWithinPartitions("term_bucket", "term", "id")
-     .write.mode("overwrite").partitionBy("buckets", "term_bucket")
-     .parquet(f"{path}/base/postings"))
-    index.lengths.write.mode("overwrite").parquet(f"{path}/base/lengths")
-
-
-def append_batch(index, path, batch_id):
-    """Write one batch's postings; repeating a batch replaces its own files."""
-    (index.postings.select("term", "id", "n_tokens", "tf", "places",
-                           F.lit(1).alias("buckets"), F.lit(0).alias("term_bucket"))
-     .sortWithinPartitions("term", "id").write.mode("overwrite")
-     .parquet(f"{path}/batches/postings/batch_id={batch_id}"))
-    index.lengths.write.mode("overwrite").parquet(
-        f"{path}/batches/lengths/batch_id={batch_id}")
-
-
-def load_index(spark, path, but_batch=None):
-    """The compacted index with the batches written since."""
-    def read(name, schema):
-        parts = []
-        for kind in ("base", "batches"):
-            try:
-                df = spark.read.parquet(f"{path}/{kind}/{name}")
-            except AnalysisException as e:
-                if e.getCondition() != "PATH_NOT_FOUND":
-                    raise
-                continue  # nothing written there yet
-            if "batch_id" in df.columns:
-                df = (df if but_batch is None else df.filter(F.col("batch_id") != but_batch))
-                df = df.drop("batch_id")
-            parts.append(df)
-        empty = spark.createDataFrame([], schema)
-        return reduce(lambda a, b: a.unionByName(b), parts) if parts else empty
-
-    return TextIndex(
-        read("postings", "term string, id string, n_tokens int, tf int, "
-                         "places array<struct<col:int,pos:int>>, buckets int, term_bucket int"),
-        read("lengths", "id string, n_tokens int"))
+def in_buckets(terms):
+    """Whether a stored row's bucket may hold one of the terms: prunes partitions."""
+    return reduce(lambda a, b: a | b, [F.col("term_bucket") == term_bucket(F.lit(t)) for t in terms])
 
 
 # --- one query ---------------------------------------------------------------
@@ -245,8 +202,7 @@ def _relevant(index, query):
     rows = index.postings.filter(reduce(lambda a, b: a | b, [s[2] for s in slots]))
     exact = [s[3] for s in slots]
     if "term_bucket" in rows.columns and None not in exact:
-        rows = rows.filter(reduce(lambda a, b: a | b, [
-            F.col("term_bucket") == _bucket(F.lit(t), F.col("buckets")) for t in exact]))
+        rows = rows.filter(in_buckets(exact))
     return rows, slots
 
 
@@ -285,6 +241,11 @@ def phrase_hits(index, query):
     return shifted.select("id", "n_tokens", *hits).filter(some)
 
 
+def idf(n_docs, df):
+    """Of two numbers, as ``_idf`` of two columns."""
+    return max(math.log((n_docs - df + 0.5) / (df + 0.5)), 0) or MIN_IDF
+
+
 def _idf(n_docs, df):
     raw = F.ln((n_docs - df + 0.5) / (df + 0.5))
     return F.when(raw <= 0, F.lit(MIN_IDF)).otherwise(raw)
@@ -416,6 +377,12 @@ def with_snippet(df, n_phrases, name="snippet_text"):
     return df.select(*kept, text.alias(name))
 
 
+def content_hits(query):
+    """Hits within the content, in order, from the columns of ``phrase_hits``."""
+    return F.array_sort(F.concat(*[
+        _content_hits(i, len(ph.terms)) for i, ph in enumerate(query.phrases)]))
+
+
 def _content_hits(number, size):
     in_content = F.filter(f"h{number}", lambda p: p["col"] == COLUMNS.index("content"))
     return F.transform(in_content, lambda p: F.struct(
@@ -429,9 +396,7 @@ def search_snippets(events, index, query, limit=None):
         return events.limit(0).select(*fields, F.lit("").alias("snippet_text"),
                                       F.lit(0.0).alias("bm25_rank"))
     top = _top(index, query, S.clamp(limit, S.SNIPPET_LIMIT))
-    hits = F.array_sort(F.concat(*[
-        _content_hits(i, len(ph.terms)) for i, ph in enumerate(query.phrases)]))
-    marked = top.select("id", "bm25_rank", hits.alias("hits"))
+    marked = top.select("id", "bm25_rank", content_hits(query).alias("hits"))
     found = events.select(*fields, "content").join(marked, "id")
     return with_snippet(found, len(query.phrases)).select(*fields, "snippet_text", "bm25_rank")
 

@@ -13,7 +13,9 @@ from worktrail.plans import context
 from worktrail.plans import inputs as I
 from worktrail.session import work_dir
 from worktrail.sources import events as src
+from worktrail.sources import textstore
 from worktrail.sources.store import EventStore
+from worktrail.sources.textstore import TextStore
 from worktrail.streaming import ingest, state
 
 QUERIES = {}
@@ -96,8 +98,8 @@ def ingest_counts(s, d):
 @query
 def remember_notes(s, d):
     t = I.turns(s, d)
-    made = src.note_events(t.filter(F.col("role") == "user"), "NOTE").unionByName(
-        src.note_events(t.filter(F.col("role") == "assistant"), "MCP"))
+    made = src.note_events(t.filter("role <> 'assistant'"), "NOTE").unionByName(
+        src.note_events(t.filter("role = 'assistant'"), "MCP"))
     return made.select("id", "timestamp", "source", "label", "content", "was_redacted")
 
 
@@ -500,6 +502,15 @@ def strip_refs(s, d):
     return I.reviews(s, d).select("review_id", F.md5(text.strip_refs(F.col("text"))).alias("text_md5"))
 
 
+@query
+def strip_refs_all(s, d):
+    """All patterns, those of a named product, its hosts, vendor and quoted line included."""
+    patterns = text.reference_patterns(("AcmeWiki",), ("acmewiki.example", "helper.example"),
+                                       ("Vendorix",), ("ask the deep index",))
+    return I.referenced_reviews(s, d).select(
+        "review_id", F.md5(text.strip_refs(F.col("text"), patterns)).alias("text_md5"))
+
+
 # --- time and JSON -------------------------------------------------------------
 
 def _durations(s, d):
@@ -738,7 +749,7 @@ def stream_counts(s, d):
     e = I.events(s, d, stream=True)
     state.start_counts(e, ["source"], f"{base}/out", f"{base}/checkpoint",
                        drain=True).awaitTermination()
-    return state.read_version(s, f"{base}/out", state.running_counts(e, "source").schema)
+    return state.counts(s, f"{base}/out", state.running_counts(e, "source").schema, ["source"])
 
 
 @query
@@ -749,7 +760,7 @@ def stream_debounce(s, d):
     state.start_debounce(e, ["source"], BURST_MS, 3_600_000, f"{base}/out", f"{base}/checkpoint",
                          drain=True).awaitTermination()
     closed = state.closed_bursts(s, f"{base}/out", e.schema)
-    rest = state.flush_debounce(s, f"{base}/out", e.schema, ["source"], BURST_MS)
+    rest = state.flush_debounce(s, f"{base}/out", f"{base}/checkpoint", e, ["source"], BURST_MS)
     return closed.unionByName(rest.select(closed.columns)).select("id", "source", "timestamp")
 
 
@@ -759,3 +770,57 @@ def stream_task_state(s, d):
     state.start_lifecycle(I.actions(s, d, stream=True), f"{base}/out", f"{base}/checkpoint",
                           drain=True).awaitTermination()
     return state.lifecycle(s, f"{base}/out")
+
+
+# --- the stores: written, kept up and read back ------------------------------------
+
+@query
+def store_ingest(s, d):
+    """History and then every event, some offered twice, into a store; parts merged."""
+    store = EventStore(work_dir(s, "store-ingest"))
+    store.append(I.stored_history(s, d), "history")
+    offered = I.offered_batch(s, d)
+    for part in ("offered", "offered again"):
+        store.append(offered, part, order=("copy",))
+    store.compact(s, 2)
+    return store.read(s).select("id", "timestamp", "source", "label")
+
+
+@query
+def store_prune(s, d):
+    """Retention on the store, then the expired events offered again with the kept ones."""
+    store = EventStore(work_dir(s, "store-prune"))
+    store.append(I.events(s, d), "all")
+    store.prune(s, I.now(), PRUNE_DAYS)
+    return store.read(s).select("id", "timestamp", "source")
+
+
+def _stored_documents(s, d):
+    """(events by day, their index) of all documents, words unstemmed."""
+    base = work_dir(s, "stored-documents")
+    store, index = EventStore(f"{base}/events"), TextStore(f"{base}/index")
+    store.append(I.document_events(s, d), "documents")
+    index.add(store.read(s), "documents", stemmed=False)
+    return store.read(s), index.load(s)
+
+
+@query
+def search_saved(s, d):
+    """As ``search_ranked``, from a stored index and a store by day."""
+    doc, index = _stored_documents(s, d)
+    return textstore.search(doc, index, search.all_terms("the with", stemmed=False)).select(
+        "id", "label", "timestamp", F.md5("content").alias("text_md5"),
+        F.round("bm25_rank", 6).alias("bm25_rank"))
+
+
+@query
+def fts_saved(s, d):
+    """As ``fts_incremental``, on a stored index: added, removed and merged."""
+    doc, store = I.documents(s, d), TextStore(work_dir(s, "fts-saved"))
+    store.add(doc.filter(F.col("lang") == "en"), "english", stemmed=False)
+    store.add(doc, "all", stemmed=False)
+    toxic = I.table(s, d, "labels").filter(F.col("toxic") == 1).select(
+        F.col("doc_id").cast("string").alias("id"))
+    store.remove(doc.join(toxic, "id", "left_semi"), "toxic", stemmed=False)
+    store.merge(s, 3)
+    return textstore.term_stats(store.load(s)).select("term", "df", "n_docs")

@@ -115,6 +115,14 @@ def documents(spark, sf_dir):
         F.col("text").alias("content"), F.lit(False).alias("was_redacted"), "doc_id", "lang")
 
 
+def document_events(spark, sf_dir):
+    """Documents with all columns of events."""
+    d = documents(spark, sf_dir)
+    for c in ("metadata", "cwd", "git_repo", "task_id"):
+        d = d.withColumn(c, F.lit(None).cast("string"))
+    return d
+
+
 # One synthetic secret per pattern, picked by doc_id % 11.
 SECRET_SAMPLES = (
     " ghp_" + "x" * 36, " gho_" + "x" * 36, " ghs_" + "x" * 36, " github_pat_" + "x" * 82,
@@ -272,6 +280,21 @@ def reviews(spark, sf_dir):
     return d.select(n.alias("review_id"), F.concat("text", finding, verdict).alias("text"))
 
 
+# Lines that name a search product, its hosts, a vendor or a quoted line.
+REFERENCE_TAILS = (
+    "", "\nView this search on AcmeWiki: https://acmewiki.example/s/1\nkept",
+    "\nsee [AcmeWiki](https://acmewiki.example/a b) now", "\nat https://www.acmewiki.example/x?y=1 and here",
+    "\nasked api.helper.example/q, then HELPER.example too", "\nacmewiki-bot said; Vendorix's model, vendorix",
+    "\n> Ask the deep index first\nkept line", "\nhttp://helper.example/z\nWiki pages you might want to explore:\n- a",
+)
+
+
+def referenced_reviews(spark, sf_dir):
+    tails = F.array(*[F.lit(x) for x in REFERENCE_TAILS])
+    return reviews(spark, sf_dir).withColumn("text", F.concat(
+        "text", F.get(tails, (F.col("review_id") % len(REFERENCE_TAILS)).cast("int"))))
+
+
 def comments(spark, sf_dir, marker):
     """Dialogue turns as comments: some carry the marker."""
     c = table(spark, sf_dir, "conversations")

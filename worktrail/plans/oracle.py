@@ -280,8 +280,17 @@ REFS = (
 )
 
 
-def without_refs(expr):
-    for pattern in REFS:
+# A search product, its two hosts, a vendor and a quoted line stand for the caller's.
+NAMED_REFS = [
+    r"(?i)View this search on AcmeWiki:?[^\n]*", r"(?i)\[AcmeWiki\]\(.*?\)",
+    r"(?i)https?://(?:www\.)?acmewiki\.example\S*", r"(?i)https?://(?:www\.)?helper\.example\S*",
+    r"(?i)(?:api\.)?acmewiki\.example\S*", r"(?i)(?:api\.)?helper\.example\S*", r"(?i)AcmeWiki\S*",
+    r"(?i)Vendorix(?:''s)?", r"(?im)^.*?ask the deep index.*$",
+]
+
+
+def without_refs(expr, named=()):
+    for pattern in [REFS[0], *named, *REFS[1:]]:
         expr = f"regexp_replace({expr}, '{pattern}', '', 'g')"
     return rf"regexp_replace(regexp_replace({expr}, '^\s+', ''), '\s+$', '')"
 
@@ -373,10 +382,10 @@ ORACLE = {
         CASE WHEN turn % 3 = 0 THEN ' ' || chr(9) ELSE text END AS note,
         CASE WHEN turn % 2 = 0 THEN role END AS label FROM conversations),
       m AS (SELECT *, {masked('note')} AS mk FROM t)
-      SELECT id, "timestamp", CASE role WHEN 'user' THEN 'NOTE' ELSE 'MCP' END AS source,
-        coalesce(label, CASE role WHEN 'user' THEN 'note' ELSE 'AI note' END) AS label,
+      SELECT id, "timestamp", CASE role WHEN 'assistant' THEN 'MCP' ELSE 'NOTE' END AS source,
+        coalesce(label, CASE role WHEN 'assistant' THEN 'AI note' ELSE 'note' END) AS label,
         {cut('mk')} AS content, mk <> note AS was_redacted FROM m
-      WHERE role = 'user' OR (role = 'assistant' AND regexp_replace(note, '\\s+', '', 'g') <> '')""",
+      WHERE role <> 'assistant' OR regexp_replace(note, '\\s+', '', 'g') <> ''""",
     "task_state": f"""WITH {EV}, act AS (SELECT task_id, n, "timestamp" AS ts, CASE source
         WHEN 'TERM' THEN 'start' WHEN 'GIT' THEN 'stop' WHEN 'NOTE' THEN 'abandon' ELSE 'look' END AS a
         FROM ev WHERE task_id IS NOT NULL),
@@ -652,3 +661,17 @@ ORACLE["notes_clamped"] = f"""WITH {EV} SELECT id, "timestamp", source FROM ev
 ORACLE["search_blank"] = "SELECT '' AS id, 0.0::DOUBLE AS bm25_rank FROM documents WHERE false"
 ORACLE["search_limited"] = f"""WITH {ranked_sql(term_hits('the', 'with'), n=2)}
   SELECT id, round(r, 6) AS bm25_rank FROM ranked ORDER BY r, id LIMIT 1"""
+
+ORACLE["store_ingest"] = f'WITH {EV} SELECT id, "timestamp", source, label FROM ev'
+ORACLE["store_prune"] = ORACLE["prune"]
+ORACLE["search_saved"] = ORACLE["search_ranked"]
+ORACLE["fts_saved"] = ORACLE["fts_incremental"]
+
+_TAILS = ", ".join("'" + x + "'" for x in (
+    "", "\nView this search on AcmeWiki: https://acmewiki.example/s/1\nkept",
+    "\nsee [AcmeWiki](https://acmewiki.example/a b) now", "\nat https://www.acmewiki.example/x?y=1 and here",
+    "\nasked api.helper.example/q, then HELPER.example too", "\nacmewiki-bot said; Vendorix''s model, vendorix",
+    "\n> Ask the deep index first\nkept line", "\nhttp://helper.example/z\nWiki pages you might want to explore:\n- a"))
+ORACLE["strip_refs_all"] = f"""WITH {REVIEW_TEXT}, tl AS (SELECT review_id, text || list_extract([{_TAILS}],
+  (review_id % 8 + 1)::BIGINT) AS text FROM rv)
+  SELECT review_id, md5({without_refs('text', NAMED_REFS)}) AS text_md5 FROM tl"""

@@ -51,15 +51,16 @@ def split_requests(requests):
     return valid, rejected
 
 
-def with_ids(requests, scope):
+def with_ids(requests, scope, keep=()):
     """Give an id to each request that brings none.
 
     Equal requests are counted and numbered within ``scope`` (a load or
     micro-batch), so a replay of the same rows yields the same ids while real
     repeats stay apart. Counting first keeps many equal requests from meeting
-    in one task.
+    in one task. Columns to ``keep`` tell no requests apart and are null where an
+    id is given.
     """
-    fields = [c for c in requests.columns if c != "id"]
+    fields = [c for c in requests.columns if c != "id" and c not in keep]
     named = requests.filter(F.col("id").isNotNull())
     counted = (requests.filter(F.col("id").isNull())
                .groupBy(*fields).agg(F.count("*").cast("int").alias("__n")))
@@ -68,21 +69,21 @@ def with_ids(requests, scope):
     hashed = F.md5(text)
     uid = F.concat_ws("-", *[F.substring(hashed, at, size) for at, size in
                              ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))])
-    return named.unionByName(numbered.withColumn("id", uid).drop("__k"))
+    return named.unionByName(numbered.withColumn("id", uid).drop("__k"), allowMissingColumns=bool(keep))
 
 
-def to_events(valid, scope="load"):
+def to_events(valid, scope="load", keep=()):
     """Cleaned events from valid requests; ``scope`` numbers those without id.
 
     Two loads or streams that write to one store need different scopes. A
     request without a time gets the time of this read.
     """
-    filled = (with_ids(valid, scope)
+    filled = (with_ids(valid, scope, keep)
               .withColumn("timestamp", F.coalesce("timestamp", F.current_timestamp()))
               .withColumn("label", F.coalesce("label", F.lit("")))
               .withColumn("content", F.coalesce("content", F.lit("")))
               .withColumn("was_redacted", F.coalesce("was_redacted", F.lit(False))))
-    return clean_events(filled).select(*S.EVENT_COLUMNS)
+    return clean_events(filled).select(*S.EVENT_COLUMNS, *keep)
 
 
 def decode_events(rows, strict_ids=True):

@@ -1,49 +1,51 @@
 """Streaming ingest: clean, validate, store and index each micro-batch.
 
-Delivery is at-least-once from the checkpoint and every sink is idempotent, so
-a replayed micro-batch changes nothing and no event is lost.
+Delivery is at-least-once from the checkpoint. What a micro-batch inserts is one
+part of the store and one segment of the index, named after the stream and the
+batch, so a replayed micro-batch changes nothing and no event is lost. The cost of
+a batch follows the batch: ids are looked up in the ledger, the index gets only the
+rows just inserted, and parts are merged by levels.
 """
 
 from pyspark.sql import functions as F
 
-from worktrail.operators import search
 from worktrail.sources import events as src
+from worktrail.sources.textstore import TextStore
 
 # Flush interval of the micro-batches.
 FLUSH = "500 milliseconds"
 
 
-def index_batch(spark, store, ids, path, batch_id):
-    """Index the stored form of this batch's events that no other batch indexed."""
-    stored = store.read(spark).join(ids.select("id").distinct(), "id", "left_semi")
-    known = search.load_index(spark, path, but_batch=batch_id).lengths.select("id")
-    search.append_batch(search.build_index(stored.join(known, "id", "left_anti")), path, batch_id)
-
-
 def batch_scope(batch, batch_id):
     """A name for this micro-batch of this stream: the query id is kept in the checkpoint."""
     query = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
     return f"{query}-{batch_id}"
 
 
-def ingest_batch(store, index_path=None, quarantine=True):
+def ingest_batch(store, index=None, quarantine=True):
     """The ``foreachBatch`` function for a stream of ingest requests."""
     def apply(batch, batch_id):
-        valid, rejected = src.split_requests(batch)
-        events = src.to_events(valid, scope=batch_scope(batch, batch_id)).persist()
-        store.append(events)
+        spark, part = batch.sparkSession, batch_scope(batch, batch_id)
+        arrived = batch.withColumn("arrival", F.monotonically_increasing_id())
+        valid, rejected = src.split_requests(arrived)
+        events = src.to_events(valid, scope=part, keep=("arrival",)).persist()
+        # Of offers of one id the first to arrive counts.
+        store.append(events, part, order=("arrival",))
+        events.unpersist()
         if quarantine:
-            rejected.write.mode("overwrite").parquet(
+            rejected.drop("arrival").write.mode("overwrite").parquet(
                 f"{store.root}/quarantine/batch_id={batch_id}")
-        if index_path:
-            index_batch(batch.sparkSession, store, events, index_path, batch_id)
-        events.unpersist()
+        if index is not None:
+            index.add(store.read_part(spark, part), part, fresh=True)
+            index.merge(spark)
+        store.compact(spark)
     return apply
 
 
 def start_ingest(requests, store, checkpoint, index_path=None, drain=False):
     """Run until stopped, or until the present input is stored when draining."""
-    writer = (requests.writeStream.foreachBatch(ingest_batch(store, index_path))
+    index = TextStore(index_path) if index_path else None
+    writer = (requests.writeStream.foreachBatch(ingest_batch(store, index))
               .option("checkpointLocation", checkpoint))
     trigger = {"availableNow": True} if drain else {"processingTime": FLUSH}
     return writer.trigger(**trigger).start()

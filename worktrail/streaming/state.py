@@ -1,114 +1,100 @@
 """Stateful streams: burst debounce, running counts, task lifecycle.
 
-Each keeps its state as a small table that a micro-batch reads, merges with its
-own rows by the batch operator, and writes anew as version ``batch_id``. A
-replayed micro-batch reads the version before it and replaces its own output,
-so nothing counts twice; readers take the newest version only.
+State lies in Spark's own state store. A micro-batch writes the groups that it has
+changed or closed to its own folder, so its cost follows the batch; a replayed
+micro-batch replaces that folder. Of a group changed many times the newest row counts.
 """
 
-from functools import reduce
-from operator import and_
-
 from pyspark.sql import functions as F
+from pyspark.sql.utils import AnalysisException
 
 from worktrail.operators import capture, tasks
 
 
-def _versions(spark, path):
-    """Batch numbers of the versions under ``path`` that were written whole."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    folder = jvm.org.apache.hadoop.fs.Path(path)
-    fs = folder.getFileSystem(conf)
-    if not fs.exists(folder):
-        return []
-    found = []
-    for status in fs.listStatus(folder):
-        at = status.getPath()
-        if at.getName().startswith("batch_id=") and fs.exists(
-                jvm.org.apache.hadoop.fs.Path(at, "_SUCCESS")):
-            found.append(int(at.getName().split("=")[1]))
-    return sorted(found)
-
-
-def read_version(spark, path, schema, before=None):
-    """The newest version under ``path`` (before a batch); empty if there is none."""
-    known = [v for v in _versions(spark, path) if before is None or v < before]
-    if not known:
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(f"{path}/batch_id={known[-1]}")
-
-
 def _write(df, path, batch_id):
     df.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
 
-def _drop_old(spark, path, batch_id):
-    """Remove versions that no replay of this batch can need."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    for v in [v for v in _versions(spark, path) if v < batch_id][:-1]:
-        at = jvm.org.apache.hadoop.fs.Path(f"{path}/batch_id={v}")
-        at.getFileSystem(conf).delete(at, True)
+def _read(spark, path, schema):
+    """All rows written, with ``batch_id``; none where nothing is written yet."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema).withColumn("batch_id", F.lit(0))
 
 
-def _run(stream, write, checkpoint, drain):
+def _run(stream, write, mode, checkpoint, drain):
     trigger = {"availableNow": True} if drain else {"processingTime": "500 milliseconds"}
-    return (stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
-            .trigger(**trigger).start())
+    return (stream.writeStream.outputMode(mode).foreachBatch(write)
+            .option("checkpointLocation", checkpoint).trigger(**trigger).start())
+
+
+def newest(spark, path, schema, keys):
+    """The newest row of each group, from what all micro-batches wrote."""
+    rows = _read(spark, path, schema)
+    rest = [c for c in rows.columns if c not in (*keys, "batch_id")]
+    return (rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch_id").alias("__last"))
+            .select(*keys, *[F.col(f"__last.{c}").alias(c) for c in rest]))
 
 
 # --- debounce ----------------------------------------------------------------------
 
+def _bursts(events, keys, delay_ms):
+    """The last event of each burst, as a session that ``delay_ms`` without events ends."""
+    order = ["timestamp", "id"]
+    rest = [c for c in events.columns if c not in order]
+    last = F.max(F.struct(*order, *rest)).alias("last")
+    window = F.session_window("timestamp", f"{delay_ms} milliseconds").alias("burst")
+    return events.groupBy(window, *keys).agg(last).select(
+        *[F.col(f"last.{c}").alias(c) for c in events.columns])
+
+
+def watermark_of(spark, checkpoint, batch_id):
+    """The watermark that the engine has recorded for a micro-batch, in milliseconds."""
+    plan = spark.read.text(f"{checkpoint}/offsets/{batch_id}")
+    at = F.get_json_object("value", "$.batchWatermarkMs").cast("bigint")
+    return plan.agg(F.max(at)).first()[0] or 0
+
+
 def start_debounce(events, keys, delay_ms, lateness_ms, path, checkpoint, drain=False):
-    """Write the last event of each burst to ``path``/bursts once it can't change any more.
+    """Write the last event of each burst to ``path``/bursts once the watermark has passed it.
 
-    A burst is closed when its end lies more than ``lateness_ms`` behind the
-    newest event seen. Events that come later than that go to ``path``/late.
-    State is what lies in bursts still open. ``flush_debounce`` gives these at
-    the end of the input.
+    Bursts are session windows in Spark's state. Events whose own window ends before
+    the watermark can join none any more and go to ``path``/late. ``flush_debounce``
+    gives the bursts that are still open at the end of the input.
     """
-    schema = events.schema
+    marked = events.withWatermark("timestamp", f"{lateness_ms} milliseconds")
+    closed = _bursts(marked, keys, delay_ms).withColumn("__read", F.lit(False))
+    both = closed.unionByName(marked.withColumn("__read", F.lit(True)))
 
     def write(batch, batch_id):
-        spark = batch.sparkSession
-        held = read_version(spark, f"{path}/open", schema, before=batch_id)
-        clock = read_version(spark, f"{path}/clock", "newest timestamp", before=batch_id)
-        before = clock.agg(F.max("newest")).first()[0]
-        newest = batch.agg(F.max("timestamp")).first()[0]
-        seen = max((t for t in (before, newest) if t is not None), default=None)
-        late = F.lit(False)
-        if before is not None:
-            late = (F.unix_micros("timestamp")
-                    < F.unix_micros(F.lit(before)) - F.lit(lateness_ms * 1000))
-        _write(batch.filter(late), f"{path}/late", batch_id)
-        rows = held.unionByName(batch.filter(~late)).dropDuplicates(["id"]).persist()
-        last = capture.debounce(rows, keys, delay_ms)
-        gone = (F.unix_micros("timestamp") + F.lit(delay_ms * 1000)
-                <= F.unix_micros(F.lit(seen)) - F.lit(lateness_ms * 1000))
-        closed = last.filter(gone).select(*rows.columns).persist()
-        _write(closed, f"{path}/bursts", batch_id)
-        ends = closed.groupBy(*[F.col(k).alias(f"__{k}") for k in keys]).agg(
-            F.max("timestamp").alias("__end"))
-        mine = reduce(and_, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys])
-        still = (rows.join(ends, mine, "left")
-                 .filter(F.col("__end").isNull() | (F.col("timestamp") > F.col("__end")))
-                 .select(*rows.columns))
-        _write(still, f"{path}/open", batch_id)
-        _write(spark.createDataFrame([(seen,)], "newest timestamp"), f"{path}/clock", batch_id)
-        closed.unpersist()
-        rows.unpersist()
-        _drop_old(spark, f"{path}/open", batch_id)
-        _drop_old(spark, f"{path}/clock", batch_id)
-
-    return _run(events, write, checkpoint, drain)
+        batch.persist()
+        ends = F.unix_millis("timestamp") + F.lit(delay_ms)
+        late = F.col("__read") & (ends <= F.lit(watermark_of(batch.sparkSession, checkpoint, batch_id)))
+        _write(batch.filter(~F.col("__read")).select(events.columns), f"{path}/bursts", batch_id)
+        _write(batch.filter(late).select(events.columns), f"{path}/late", batch_id)
+        batch.unpersist()
+
+    return _run(both, write, "append", checkpoint, drain)
 
 
 def closed_bursts(spark, path, schema):
-    return spark.read.schema(schema).parquet(f"{path}/bursts/batch_id=*")
+    return _read(spark, f"{path}/bursts", schema).drop("batch_id")
+
 
+def flush_debounce(spark, path, checkpoint, events, keys, delay_ms):
+    """The last events of the bursts still open when the input ends, from Spark's state.
 
-def flush_debounce(spark, path, schema, keys, delay_ms):
-    """The last events of the bursts still open when the input ends."""
-    return capture.debounce(read_version(spark, f"{path}/open", schema), keys, delay_ms)
+    ``events`` gives the columns; it is not read.
+    """
+    state = spark.read.format("statestore").load(checkpoint)
+    order = ["timestamp", "id"]
+    rest = [c for c in events.columns if c not in order]
+    value = state.schema["value"].dataType.names
+    held = state.select(F.col(f"value.`{value[-1]}`").alias("last"))
+    return held.select(*[F.col("last").getField(c).alias(c) for c in events.columns])
 
 
 # --- counts ------------------------------------------------------------------------
@@ -119,37 +105,40 @@ def running_counts(events, *keys):
 
 
 def start_counts(events, keys, path, checkpoint, drain=False):
-    """Keep the counts per key as one table, rewritten per micro-batch."""
-    schema = running_counts(events, *keys).schema
+    """Write the counts that a micro-batch has changed; ``counts`` reads them all."""
+    return _run(running_counts(events, *keys), lambda batch, n: _write(batch, path, n), "update",
+                checkpoint, drain)
 
-    def write(batch, batch_id):
-        held = read_version(batch.sparkSession, path, schema, before=batch_id)
-        merged = (held.unionByName(running_counts(batch, *keys)).groupBy(*keys)
-                  .agg(F.sum("n_events").alias("n_events")))
-        _write(merged, path, batch_id)
-        _drop_old(batch.sparkSession, path, batch_id)
 
-    return _run(events, write, checkpoint, drain)
+def counts(spark, path, schema, keys):
+    return newest(spark, path, schema, keys)
 
 
 # --- task lifecycle ----------------------------------------------------------------
 
 ACTIONS = "task_id string, action string, ts timestamp, seq bigint"
+HOURS = ("task_id string, hour timestamp, opened struct<ts:timestamp,seq:bigint>, "
+         "closings array<struct<ts:timestamp,seq:bigint,action:string>>")
 
 
 def start_lifecycle(actions, path, checkpoint, drain=False):
-    """Keep each task's essential actions; ``lifecycle`` reads the states.
+    """Keep each task's first start and closing actions per hour; ``lifecycle`` reads the states.
 
-    Actions may come in any order and in any micro-batch.
+    Actions may come in any order and in any micro-batch, and repeated. A task's
+    hours are separate groups, so a task with very many actions is spread.
     """
-    def write(batch, batch_id):
-        held = read_version(batch.sparkSession, path, ACTIONS, before=batch_id)
-        own = batch.select("task_id", "action", "ts", "seq")
-        _write(tasks.essential_actions(held.unionByName(own)), path, batch_id)
-        _drop_old(batch.sparkSession, path, batch_id)
-
-    return _run(actions, write, checkpoint, drain)
+    at = F.struct("ts", "seq")
+    closing = F.col("action").isin(*tasks.TERMINAL)
+    hours = (actions.filter(closing | (F.col("action") == "start"))
+             .groupBy("task_id", F.date_trunc("hour", F.col("ts")).alias("hour"))
+             .agg(F.min(F.when(F.col("action") == "start", at)).alias("opened"),
+                  F.collect_set(F.when(closing, F.struct("ts", "seq", "action"))).alias("closings")))
+    return _run(hours, lambda batch, n: _write(batch, path, n), "update", checkpoint, drain)
 
 
 def lifecycle(spark, path):
-    return tasks.task_state(read_version(spark, path, ACTIONS))
+    hours = newest(spark, path, HOURS, ["task_id", "hour"])
+    starts = hours.filter("opened is not null").select(
+        "task_id", F.lit("start").alias("action"), "opened.ts", "opened.seq")
+    ends = hours.select("task_id", F.inline("closings")).select("task_id", "action", "ts", "seq")
+    return tasks.task_state(starts.unionByName(ends))
