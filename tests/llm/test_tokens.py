@@ -104,6 +104,14 @@ def test_op6_counts(docs):
     assert tokencount.count_tokens(docs.limit(0)).count() == 0
 
 
+def test_op6_tells_many_rows_without_id_apart(spark):
+    """150,000 texts that 31 bits of a hash would have mixed up."""
+    rows = spark.range(150_000).select(F.lit(None).cast("bigint").alias("doc_id"),
+                                       F.concat(F.lit("text number "), F.col("id").cast("string")).alias("text"))
+    got = tokencount.count_tokens(rows).agg(F.count("*"), F.sum("n_bytes")).first()
+    assert tuple(got) == tuple(rows.agg(F.count("*"), F.sum(F.octet_length("text"))).first())
+
+
 def test_op6_without_hot_pieces(docs, monkeypatch):
     monkeypatch.setattr(tokencount, "hot_pieces", lambda pieces: {})
     got = sorted((r.doc_id or -1, r.n_tokens) for r in tokencount.count_tokens(docs).collect())

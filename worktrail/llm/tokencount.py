@@ -139,26 +139,26 @@ def frequencies(docs, path, hot, id_column="doc_id", text="text"):
             return (tokens, other) if other else tokens
 
         for batch in batches:
-            ids, hashes, texts = (batch.column(i).to_pylist() for i in range(3))
+            ids, hashes, checks, texts = (batch.column(i).to_pylist() for i in range(4))
             for i in range(0, len(texts), 256):
                 keys, marks = zip(*[keys_of(x, path) for x in texts[i:i + 256]], strict=True)
                 found = cache.rows(keys, lambda new: {k: split(k) for k in new})
                 rows = []
-                for key, h, x, n, own in zip(ids[i:i + 256], hashes[i:i + 256], texts[i:i + 256],
-                                             marks, found, strict=True):
+                for key, h, check, x, n, own in zip(
+                        *(c[i:i + 256] for c in (ids, hashes, checks, texts)), marks, found, strict=True):
                     cold = [v for v in own if type(v) is tuple]
                     n += sum([v for v in own if type(v) is int]) + sum(t for t, _ in cold)
-                    rows += [(key, h, piece, f, None, None) for piece, f in Counter(
+                    rows += [(key, h, check, piece, f, None, None) for piece, f in Counter(
                         [p for _, other in cold for p in other]).items()]
-                    rows.append((key, h, MARK.format(h % 9973), None, len((x or "").encode()), n))
-                yield from _batches(rows, ["id", "hash", "piece", "freq", "n_bytes", "hot"],
-                                    [batch.column(0).type, pa.int32(), pa.string(), pa.int32(),
+                    rows.append((key, h, check, MARK.format(h % 9973), None, len((x or "").encode()), n))
+                yield from _batches(rows, ["id", "hash", "check", "piece", "freq", "n_bytes", "hot"],
+                                    [batch.column(0).type, pa.int64(), pa.int32(), pa.string(), pa.int32(),
                                      pa.int64(), pa.int64()])
 
-    return docs.select(F.col(id_column).alias("id"),
-                       F.xxhash64(text).bitwiseAND(0x7FFFFFFF).cast("int").alias("hash"),
-                       F.col(text).alias("text")).mapInArrow(
-        run, f"id {kind}, hash int, piece string, freq int, n_bytes bigint, hot bigint")
+    # Two hashes of 96 bits in all tell rows without or with the same id apart.
+    return docs.select(F.col(id_column).alias("id"), F.xxhash64(text).alias("hash"),
+                       F.hash(text).alias("check"), F.col(text).alias("text")).mapInArrow(
+        run, f"id {kind}, hash bigint, check int, piece string, freq int, n_bytes bigint, hot bigint")
 
 
 def count_tokens(docs, path=None, id_column="doc_id", text="text", limit=512):
@@ -167,7 +167,7 @@ def count_tokens(docs, path=None, id_column="doc_id", text="text", limit=512):
     pieces = dictionary(docs, path, text)
     rows = frequencies(docs, path, hot_pieces(pieces), id_column, text)
     joined = rows.join(pieces.select("piece", "n_tokens"), "piece", "left")
-    per = (joined.groupBy("id", "hash")
+    per = (joined.groupBy("id", "hash", "check")
            .agg(F.count("n_bytes").alias("copies"), F.max("n_bytes").alias("n_bytes"),
                 F.max("hot").alias("hot"),
                 F.coalesce(F.sum(F.col("freq") * F.col("n_tokens")), F.lit(0)).alias("cold")))
