@@ -10,9 +10,13 @@ def table(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(spark, rows=1000):
-    """Bound what a Python worker holds of a table at once, for this session from now on."""
+def small_batches(spark, rows=1000, size=4 << 20):
+    """Bound what a Python worker holds of a table at once, for this session from now on.
+
+    A batch holds at most ``rows`` rows and, but for a single larger row, ``size`` bytes.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
 
 def stored(df, name):

@@ -41,7 +41,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from worktrail.llm import urls
-from worktrail.llm.common import Cache, runs, stored
+from worktrail.llm.common import Cache, runs, small_batches, stored
 from worktrail.llm.components import components
 
 SHARE = 0.02  # of the smaller set, to be found in common among the first tokens
@@ -102,33 +102,37 @@ def outline(docs, k, id_column, text):
             pa.array(b, pa.list_(pa.int64())), pa.array(count, pa.int64())], names)
 
     def repeats(kinds, held):
-        tokens, count = np.unique(np.concatenate(held), return_counts=True)
-        tokens, count = tokens[count >= REPEATS], count[count >= REPEATS]
+        held.sort()
+        first = np.flatnonzero(np.r_[True, held[1:] != held[:-1]])
+        count = np.diff(np.r_[first, len(held)])
+        tokens, count = held[first[count >= REPEATS]], count[count >= REPEATS]
         none = [None] * len(tokens)
         return out(kinds, none, none, _signed(tokens), none, count)
 
     def run(batches):
         Cache.release()
-        held, size, kinds = [], 0, None
+        held, size, kinds = np.empty(FLUSH, np.uint64), 0, None
         for batch in batches:
             kinds = batch.column(0).type
             rows = []
             for x in (x for xs in runs(batch.column(1)) for x in xs):
                 tokens = shingles(x, k)
                 if len(tokens):
-                    held.append(tokens)
-                    size += len(tokens)
                     rows.append((len(tokens), class_id(tokens), bands(tokens)))
                 else:
                     rows.append((0, None, None))
-                if size > FLUSH:
-                    yield repeats(kinds, held)
-                    held, size = [], 0
+                while len(tokens):
+                    part, tokens = tokens[:FLUSH - size], tokens[FLUSH - size:]
+                    held[size:size + len(part)] = part
+                    size += len(part)
+                    if size == FLUSH:
+                        yield repeats(kinds, held)
+                        size = 0
             if rows:
                 n, c, b = zip(*rows, strict=True)
                 yield out(kinds, batch.column(0), n, c, b, [None] * len(n))
-        if held:
-            yield repeats(kinds, held)
+        if size:
+            yield repeats(kinds, held[:size])
 
     return stored(docs.select(id_column, text).mapInArrow(
         run, f"id {id_type}, n bigint, c bigint, bands array<bigint>, count bigint"), "outline")
@@ -165,6 +169,7 @@ def prefixes(docs, k, num, den, hot, text):
     least = -(-num // (den - num))
 
     def run(batches):
+        Cache.release()
         tokens_, level = shared.value
         for batch in batches:
             for texts in runs(batch.column(0)):
@@ -204,6 +209,7 @@ def whole_sets(docs, wanted, k, id_column, text):
 
     @F.arrow_udf("struct<c:bigint,tokens:binary>")
     def sets(texts: pa.Array) -> pa.Array:
+        Cache.release()
         kind = pa.struct([("c", pa.int64()), ("tokens", pa.binary())])
         out = [pa.array([{"c": class_id(s), "tokens": s.tobytes()}
                          for s in (shingles(x, k) for x in xs)], kind) for xs in runs(texts)]
@@ -361,7 +367,9 @@ def link(docs, k=3, num=90, den=100, id_column="doc_id", text="text"):
     """Per document: id, n_shingles, c (class), component_id.
 
     Documents link when den * intersection >= num * union of their shingle sets.
+    Arrow batches are bounded in the session from here on.
     """
+    small_batches(docs.sparkSession)
     rows = outline(docs, k, id_column, text)
     own = rows.filter("n is not null")
     classes = stored(own.filter("n > 0").groupBy("c").agg(
