@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from worktrail import schema as S
 from worktrail.functions import clean, jsonio, text, times
+from worktrail.plans.inputs import SECRET_SAMPLES
 
 
 def apply(spark, fn, values, kind="string"):
@@ -212,3 +213,17 @@ def test_clamps():
 @pytest.mark.parametrize("bad", ["{}", "not json", '{"task_id":"x"}', "null", ""])
 def test_broken_cards_read_as_none(spark, bad):
     assert apply(spark, jsonio.card_from_json, [bad]) == [None]
+
+
+def test_masking_by_literal_equals_masking_by_all(spark):
+    """Each sample alone, all together, repeated, and near misses of every pattern."""
+    samples = [x.strip() for x in SECRET_SAMPLES]
+    texts = [None, "", "plain", *samples, " ".join(samples), "\n".join(samples * 2),
+             *[x[:-1] for x in samples], *[x.upper() for x in samples], *[x.lower() for x in samples],
+             "TOKEN=ghp_" + "x" * 36, "MY_PASSWORD : 'ghs_" + "y" * 40 + "'", "aws secret_access key=Bearer " + "b" * 30,
+             "sk-ant-api03-" + "z" * 93 + " api_key=" + "q" * 9, "AKIA" + "A" * 16 + "=abcdefgh1"]
+    df = spark.createDataFrame([(x,) for x in texts], "content string")
+    both = clean.with_scrubbed(df, "content", "staged").withColumn("whole", clean.scrub(
+        F.col("content"), tuple(clean.SECRET_PATTERNS), guard=False))
+    for r in both.collect():
+        assert r["staged"] == r["whole"], r["content"]

@@ -172,6 +172,26 @@ def test_debounce_on_hot_keys(spark):
         assert sorted(r["id"] for r in got) == sorted(want)
 
 
+def test_neighbours_read_and_deal_the_input_once(spark):
+    from worktrail.plans import inputs as I
+    for df in (cards.commands_verified(I.events(spark, "/root/testdata/sf0.001")),
+               capture.debounce(I.events(spark, "/root/testdata/sf0.001"), ["source"], 60_000)):
+        df.collect()
+        plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+        assert plan.count("FileScan parquet") == 1 and "ReusedExchange" in plan
+
+
+def test_neighbours_of_one_crowded_hour(spark):
+    """All rows of one key in one hour lie in many buckets; equal times are in order of id."""
+    rows = [(f"{i:05d}", i // 3, "TERM", "abc"[i * i % 3], "", None, "hot") for i in range(6000)]
+    e = make_events(spark, rows)
+    got = ranking.with_neighbour(e, ["task_id"], "timestamp", ["timestamp", "id"], F.col("id"), "prev")
+    assert sorted((r["id"], r["prev"], r["has_prev"]) for r in got.collect()) == [
+        (r[0], rows[i - 1][0] if i else None, i > 0) for i, r in enumerate(rows)]
+    spread = e.groupBy(F.date_trunc("minute", "timestamp")).count().agg(F.max("count")).first()[0]
+    assert spread <= 180
+
+
 def test_newest_per_key_on_hot_keys(spark):
     rows = random_rows()
     want = [(k, r[0], n + 1) for k, rs in ordered(rows).items()

@@ -49,7 +49,7 @@ def workspace_context(files, workspaces, key="id"):
             .drop("root"))
 
 
-def debounce(events, keys, delay_ms=DEBOUNCE_MS, bucket="hour"):
+def debounce(events, keys, delay_ms=DEBOUNCE_MS, bucket="minute"):
     """The last event of each burst: none of its key follows within the delay.
 
     ``bucket`` is the time unit by which a key's rows spread over tasks.

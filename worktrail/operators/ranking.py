@@ -1,8 +1,8 @@
 """Skew-safe per-key ranking and neighbour lookups.
 
 A key may hold a large share of all rows, so no operator here sends a key's
-rows to one task: per-key top-k is cut per salt first, and neighbour values
-are found per time bucket, with only bucket edges compared across buckets.
+rows to one task: per-key top-k is cut per salt first, and neighbour values are
+found per time bucket, with only bucket edges compared across buckets.
 """
 
 from pyspark.sql import Window
@@ -33,32 +33,29 @@ def keep_first(df, keys, order):
             .filter(F.col("__rank") == 1).drop("__rank"))
 
 
-def with_neighbour(df, keys, ts, order, value, name, ahead=False, bucket="hour"):
+def with_neighbour(df, keys, ts, order, value, name, ahead=False, bucket="minute"):
     """Add the previous (or next) row's ``value`` per key, as column ``name``.
 
-    Rows are ordered within (key, time bucket); a bucket's first (last) row
-    takes its value from the edge of the nearest other bucket of the key. Only
-    one edge row per bucket is compared across buckets.
+    Rows are ordered within (key, time bucket). A bucket's first and last rows then
+    meet those of the key's other buckets: at most two rows per bucket, so neither a
+    key's rows nor all rows of one hour end in one task. Both steps read the same
+    shuffle, so the input is read and dealt once.
     """
-    rows = df.withColumn("__bucket", F.date_trunc(bucket, F.col(ts))).withColumn("__value", value)
+    rows = df.withColumn("__bucket", F.date_trunc(bucket, F.col(ts))).withColumn(
+        "__value", F.struct(value.alias("v")))
     inner = Window.partitionBy(*keys, "__bucket").orderBy(*order)
     step = F.lead if ahead else F.lag
-    rows = rows.withColumn("__near", step(F.struct("__value")).over(inner))
-
-    pick = F.min_by if ahead else F.max_by
-    edges = (rows.select(*keys, "__bucket", "__value", *order)
-             .groupBy(*keys, "__bucket")
-             .agg(pick("__value", F.struct(*order)).alias("__edge_value")))
-    outer = Window.partitionBy(*keys).orderBy("__bucket")
-    edges = edges.withColumn("__edge", step(F.struct("__edge_value")).over(outer)).drop("__edge_value")
-
-    near = F.when(F.col("__near").isNotNull(), F.col("__near")["__value"]).otherwise(
-        F.col("__edge")["__edge_value"])
-    known = F.col("__near").isNotNull() | F.col("__edge").isNotNull()
-    return (rows.join(edges, [*keys, "__bucket"], "left")
-            .withColumn(name, near)
-            .withColumn(f"has_{name}", known)
-            .drop("__bucket", "__value", "__near", "__edge"))
+    rows = rows.select("*", step("__value").over(inner).alias("__near"),
+                       F.row_number().over(inner).alias("__place"),
+                       F.lead("__value").over(inner).isNull().alias("__ends"))
+    edge = (F.col("__place") == 1) | F.col("__ends")
+    outer = Window.partitionBy(*keys).orderBy(*order)
+    edges = rows.filter(edge).withColumn("__far", step("__value").over(outer))
+    edges = edges.withColumn("__near", F.coalesce("__near", "__far")).drop("__far")
+    return (rows.filter(~edge).unionByName(edges)
+            .withColumn(name, F.col("__near.v"))
+            .withColumn(f"has_{name}", F.col("__near").isNotNull())
+            .drop("__bucket", "__value", "__near", "__place", "__ends"))
 
 
 def salted_lookup(big, small, on, salt_on, how="inner", salts=8):

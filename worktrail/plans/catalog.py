@@ -413,7 +413,7 @@ def strip_ansi(s, d):
 
 @query
 def redact(s, d):
-    doc = I.secret_documents(s, d).withColumn("masked", clean.scrub(F.col("content")))
+    doc = clean.with_scrubbed(I.secret_documents(s, d), "content", "masked")
     return doc.select("id", (F.col("masked") != F.col("content")).alias("was_redacted"),
                       F.md5("masked").alias("text_md5"))
 
@@ -643,7 +643,16 @@ def search_ranked(s, d):
 def search_stemmed(s, d):
     doc = I.documents(s, d)
     return search.search(doc, search.build_index(doc), search.all_terms("thering with")).select(
-        "id", "label", "bm25_rank")
+        "id", "label", F.round("bm25_rank", 6).alias("bm25_rank"))
+
+
+@query
+def fts_vocabulary(s, d):
+    """Each distinct word with its stem: Python sees the vocabulary once."""
+    doc = I.documents(s, d).withColumn("doc", F.col("doc_id"))
+    words = textstore.document_words(doc).select("word").distinct()
+    return words.join(textstore.changed_words(words), "word", "left").select(
+        "word", F.coalesce("stem", "word").alias("stem"))
 
 
 def _snippets(s, d):
