@@ -4,13 +4,15 @@ import base64
 import bz2
 import gzip
 import hashlib
+import html
 import json
 import lzma
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
-from urllib.parse import quote
+from urllib.parse import quote, unquote
 
 import duckdb
 import numpy as np
@@ -214,6 +216,60 @@ def test_cycles_broken_escapes_and_bombs():
     assert {k for k, _ in found(base64.b64encode(gzip.compress(big)).decode())} == {"assign"}
 
 
+def test_percent_spans_are_exact_beside_other_characters():
+    """One é, a stray byte and a broken sequence in a run: each secret keeps its own escapes."""
+    run = "".join(f"%{b:02X}" for b in (f"é a {KEY} \u6f22 token=abcdefgh1 ".encode() + b"\xff\xc3 " + b"z"))
+    x = "q " + run + " z"
+    at = run.index("".join(f"%{b:02X}" for b in KEY.encode()))
+    word = "".join(f"%{b:02X}" for b in b"token=abcdefgh1")
+    assert found(x) == {("access", run[at:at + 3 * len(KEY)]), ("assign", word)}
+
+
+def test_memory_of_what_unpacks_to_much():
+    """A text of some kilobytes that unpacks to 200 MB is read in bounded memory, twice nested too."""
+    big = gzip.compress(b" " * (100 << 20) + b"token=12345678abc" + b" " * (100 << 20))
+    for x in (base64.b64encode(big), base64.b64encode(gzip.compress(base64.b64encode(big)))):
+        tracemalloc.start()
+        try:
+            assert {k for k, _ in found(x.decode())} == {"assign"}
+            assert tracemalloc.get_traced_memory()[1] < 60 << 20
+        finally:
+            tracemalloc.stop()
+
+
+def unwrapped(text, depth=9):
+    """All texts inside a text by plain recursion: whole words that decode, no spans."""
+    out = {text}
+    if depth:
+        for word in re.split(r"[^A-Za-z0-9+/=%\\&#;]+", text):
+            for decode in (lambda w: unquote(w, errors="strict"), html.unescape,
+                           lambda w: re.sub(r"\\u([0-9a-f]{4})", lambda m: chr(int(m[1], 16)), w),
+                           lambda w: base64.b64decode(w, validate=True).decode(),
+                           lambda w: gzip.decompress(base64.b64decode(w, validate=True)).decode()):
+                try:
+                    said = decode(word)
+                except (ValueError, OSError, EOFError, zlib.error):
+                    continue
+                if len(word) >= 16 and said != word:
+                    out |= unwrapped(said, depth - 1)
+    return out
+
+
+def test_nested_layers_against_plain_recursion():
+    rnd = random.Random(8)
+    wraps = [lambda b: base64.b64encode(b).decode(), lambda b: base64.b64encode(gzip.compress(b)).decode(),
+             lambda b: "".join(f"%{x:02X}" for x in b), lambda b: "".join(f"\\u{x:04x}" for x in b),
+             lambda b: "".join(f"&#{x};" for x in b)]
+    for _ in range(150):
+        secret = rnd.choice([KEY, "token=abcdefgh1", HEX, "nothing here at all"])
+        x = f"see {secret} there"
+        for _ in range(rnd.randint(1, 4)):
+            x = "a " + rnd.choice(wraps)(x.encode()) + " b"
+        want = {k for t in unwrapped(x) for k, *_ in secret_scan.scan(t)}
+        assert {secret_scan.KINDS.index(k) for k, _ in found(x)} >= want
+        assert (secret == "nothing here at all") == (not want)
+
+
 def test_secret_query_edges(spark):
     x = f"{KEY} token=abcdefgh"
     df = spark.createDataFrame([(1, None, None, "c"), (1, "", "s", "c"), (None, x, "s", "c"),

@@ -56,7 +56,7 @@ BYTE = re.compile(r"(?:%|\\x)[89A-Fa-f][0-9A-Fa-f]")
 BYTES = re.compile(r"(?:%[0-9A-Fa-f]{2}|\\x[0-9A-Fa-f]{2}|\\[nrt0\\'\"]|[\x20-\[\]-~])+")
 ONE_BYTE = re.compile(r"(?:%|\\x)([0-9A-Fa-f]{2})|\\([nrt0\\'\"])")
 NAMED = {"n": "\n", "r": "\r", "t": "\t", "0": "\0"}
-MOST, OVERLAP = 8 << 20, 1 << 16
+MOST, OVERLAP = 1 << 20, 1 << 16
 
 
 def scan(text):
@@ -91,11 +91,22 @@ def replaced(text, pattern, decode):
 
 
 def percent(run, at):
+    """Each character with the escapes of its own bytes; a stray byte is a character of its own."""
     raw = bytes.fromhex(run.replace("%", ""))
-    said = raw.decode("utf-8", "replace")
-    if len(said) == len(raw):
-        return said, [(at + 3 * i, at + 3 * i + 3) for i in range(len(raw))]
-    return said, [(at, at + len(run))] * len(said)
+    if raw.isascii():
+        return raw.decode(), [(at + 3 * i, at + 3 * i + 3) for i in range(len(raw))]
+    said, own, i = [], [], 0
+    while i < len(raw):
+        first = raw[i]
+        n = 1 if first < 0xC2 else 2 if first < 0xE0 else 3 if first < 0xF0 else 4
+        try:
+            char = raw[i:i + n].decode()
+        except UnicodeDecodeError:
+            char, n = "\ufffd", 1
+        said.append(char)
+        own.append((at + 3 * i, at + 3 * (i + n)))
+        i += n
+    return "".join(said), own
 
 
 def escapes(run, at):
@@ -204,37 +215,42 @@ def packed_escapes(layer):
                 yield m.start(), m.end(), said
 
 
+def layers(layer, starts, ends):
+    """The layers inside ``layer``, one at a time, with the origin of each character."""
+    for pattern, decode, sign in ((PERCENT, percent, ("%",)), (UNICODE, escapes, ("\\", "&#"))):
+        if any(s in layer for s in sign):
+            got = replaced(layer, pattern, decode)
+            if got:
+                said, a, b = got
+                yield (said, a, b) if starts is None else (said, starts[a], ends[b - 1])
+
+    def placed(said, a, b):
+        a, b = (a, b) if starts is None else (int(starts[a:b].min()), int(ends[a:b].max()))
+        return said, np.broadcast_to(a, len(said)), np.broadcast_to(b, len(said))
+
+    for m in BASE64.finditer(layer):
+        for said in opened(m[0]):
+            yield placed(said, *m.span())
+    for m in WRAPPED.finditer(layer):
+        for said in opened(BREAKS.sub("", m[0])):
+            yield placed(said, *m.span())
+    for a, b, said in packed_escapes(layer):
+        yield placed(said, a, b)
+
+
 def find(text):
-    """Base spans of a text, and all spans with those of its encoded layers, as sets."""
+    """Base spans of a text, and all spans with those of its encoded layers, as sets.
+
+    The worklist holds openers, not layers: the next layer is made when the one
+    before it has been read with all that lies inside it.
+    """
     base = set(scan(text))
-    found, seen, todo = set(base), set(), []
-
-    def spread(layer, starts, ends):
-        """Put the layers inside ``layer`` on the worklist, with the origin of each character."""
-        for pattern, decode, sign in ((PERCENT, percent, ("%",)), (UNICODE, escapes, ("\\", "&#"))):
-            if any(s in layer for s in sign):
-                got = replaced(layer, pattern, decode)
-                if got:
-                    said, a, b = got
-                    if starts is not None:
-                        a, b = starts[a], ends[b - 1]
-                    todo.append((said, a, b))
-        def put(said, a, b):
-            a, b = (a, b) if starts is None else (int(starts[a:b].min()), int(ends[a:b].max()))
-            todo.append((said, np.broadcast_to(a, len(said)), np.broadcast_to(b, len(said))))
-
-        for m in BASE64.finditer(layer):
-            for said in opened(m[0]):
-                put(said, *m.span())
-        for m in WRAPPED.finditer(layer):
-            for said in opened(BREAKS.sub("", m[0])):
-                put(said, *m.span())
-        for a, b, said in packed_escapes(layer):
-            put(said, a, b)
-
-    spread(text, None, None)
+    found, seen, todo = set(base), set(), [layers(text, None, None)]
     while todo:
-        layer, starts, ends = todo.pop()
+        layer, starts, ends = next(todo[-1], (None, None, None))
+        if layer is None:
+            todo.pop()
+            continue
         if not layer:
             continue
         key = (hashlib.blake2b(layer.encode(), digest_size=16).digest(),
@@ -244,7 +260,7 @@ def find(text):
         seen.add(key)
         for kind, s, e in scan(layer):
             found.add((kind, int(starts[s:e].min()), int(ends[s:e].max())))
-        spread(layer, starts, ends)
+        todo.append(layers(layer, starts, ends))
     return base, found
 
 
