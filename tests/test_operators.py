@@ -266,7 +266,7 @@ def test_context_text(spark, session, task_rows):
     tiers = context.context_tiers(session, task_rows, flt=E.EventFilter(source="IDE"))
     out = context.context_text(tiers).first()["text"]
     assert out.startswith("## Lasting notes\n- **AI note** _2024-03-01 09:00 UTC_\n")
-    assert "**Other** | Started: 2024-03-01 09:00 UTC | 3 events captured\n" in out
+    assert "**Other** | since 2024-03-01 09:00 UTC | 3 events\n" in out
     assert "- **Fix it** (3 events)" in out
     assert out.endswith("**[IDE] Opened: b.py** _2024-03-01 09:00 UTC_\n```\nx\n```")
     empty = context.context_tiers(session.limit(0), task_rows.limit(0))

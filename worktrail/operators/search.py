@@ -409,11 +409,10 @@ def search_text(snippets, text):
         (i + 1).cast("string"), F.lit(". **["), h["source"], F.lit("] "), h["label"],
         F.lit("** _"), times.stamp(h["timestamp"]), F.lit("_\n   "), h["snippet_text"],
         F.lit("\n\n")))
-    found = F.concat(F.lit(f"**Search results for '{text}'** ("),
-                     F.size("hits").cast("string"), F.lit(" found)\n\n"),
+    found = F.concat(F.lit(f"Hits for '{text}': "), F.size("hits").cast("string"), F.lit("\n\n"),
                      F.array_join(lines, ""))
     return snippets.agg(ranked.alias("hits")).select(
-        F.when(F.size("hits") == 0, F.lit(f"No results found for query: '{text}'"))
+        F.when(F.size("hits") == 0, F.lit(f"Nothing matches '{text}'"))
         .otherwise(found).alias("text"))
 
 

@@ -214,12 +214,12 @@ def tiers_sql(by=None, summaries=False, recent="TRUE"):
 
     note = ("'- **' || label || '** _' || " + STAMP.format(c='"timestamp"')
             + " || '_' || chr(10) || '  ' || content")
-    active = ("'**' || name || '** | Started: ' || " + STAMP.format(c="started_at")
-              + " || ' | ' || CAST(event_count AS VARCHAR) || ' events captured'"
+    active = ("'**' || name || '** | since ' || " + STAMP.format(c="started_at")
+              + " || ' | ' || CAST(event_count AS VARCHAR) || ' events'"
               " || coalesce(chr(10) || '_' || description || '_', '')")
     session = (f"CASE WHEN {summary} IS NULL THEN '- **' || name || '** (' ||"
                f" CAST(event_count AS VARCHAR) || ' events)' WHEN {summary} = 'not a card'"
-               f" THEN '- **' || name || '** (no card)' ELSE {STORED_MD} END")
+               f" THEN '- **' || name || '** (unreadable card)' ELSE {STORED_MD} END")
     return TK + ", tiers AS (" + "\nUNION ALL\n".join([
         tier("ev", "source IN ('NOTE', 'MCP')", '"timestamp"', 3, 0, 20, note),
         tier("tk", "status = 'active'", "started_at", 2, 0, 1, active),
