@@ -20,7 +20,8 @@ indexed.
 
 Vectors that are null, zero, of another length than most, or hold null, NaN or
 infinite components take no part, neither do rows without an id. Ids should be
-unique; rows that repeat an id are ranked each. Ties go to the smaller id.
+unique; rows that repeat an id are ranked each. Ties go to the smaller id. Other columns
+are not read. An empty table, or one without usable vectors, gives no rows.
 """
 
 import numpy as np

@@ -8,7 +8,8 @@ and the matrix gets one column narrower per round.
 ``encode`` and ``decode`` are column functions: ids are the little-endian
 unsigned 32-bit integers of a text in one binary value (``ids_to_array`` turns
 them into an array). Null encodes as the empty text; repeated rows, ties and
-other columns play no part, as each value depends on its own text alone.
+other columns play no part, as each value depends on its own text alone. Texts of
+any length are encoded whole; an empty table gives no rows.
 """
 
 import base64

@@ -14,8 +14,9 @@ vocabulary's pattern never joins to the line break before it, so the ids of the
 segments together are those of the whole conversation.
 
 Null texts and roles are empty. Turns are ordered by turn (null first), ties by
-role and text. Rows without a conversation id make up one conversation. Other
-columns are not read.
+role and text. Rows without a conversation id make up one conversation. Repeated rows are
+turns of their own, texts of any length are rendered whole. Other columns are not read.
+An empty table gives no rows.
 """
 
 import functools

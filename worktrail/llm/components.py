@@ -1,4 +1,8 @@
-"""Connected components of an edge table, by alternating large and small stars."""
+"""Connected components of an edge table, by alternating large and small stars.
+
+Repeated edges and edges from a node to itself change nothing; an edge with a null end
+links nothing. An empty table gives no rows. Other columns are not read.
+"""
 
 from pyspark.sql import functions as F
 

@@ -28,8 +28,10 @@ Sets and classes are told apart by 64-bit hashes; for ten million documents
 the chance that any two classes clash is about 3 in a million.
 
 Null or empty texts have an empty set and link with nothing. Repeated or null
-ids keep their rows; a component's id is the smallest id in it. Other columns
-are not read.
+ids keep their rows; a component's id is the smallest id in it, null where all its
+ids are null. Other columns are not read. Texts of any length are read whole. Of texts
+that could lead a group the one with most copies, then the smallest id, does. An empty
+table gives no rows.
 """
 
 import hashlib

@@ -6,7 +6,8 @@ no sequence crosses documents, none is padded, and sequences of one length are
 trained together (``write_buckets`` lays them out by length).
 
 Null is the empty text (one id, the end mark). Rows keep their own pieces
-whatever ids they repeat; other columns pass through ``pieces`` untouched.
+whatever ids they repeat; other columns pass through ``pieces`` untouched. Texts of any
+length are packed whole; ties play no part. An empty table gives no rows.
 """
 
 import functools

@@ -17,7 +17,7 @@ may not touch a base span; base spans always stay.
 
 Null is the empty text. Each row is judged by its own text; a corpus without
 labelled spans is trained on the generated forms alone. Other columns, ties and
-repeated rows play no part.
+repeated rows play no part. An empty table gives no rows.
 """
 
 import random

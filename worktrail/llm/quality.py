@@ -16,7 +16,9 @@ frequent lines. A page that is nothing but boilerplate is still depleted,
 because that boilerplate is counted on all the other pages.
 
 Null text has no words (and fails); a null source is a host of its own. Equal
-rows, null or repeated ids keep their rows. Other columns are passed through.
+rows, null or repeated ids keep their rows. Other columns are passed through. Texts of any
+length are counted whole; ties play no part, as every line over the limit goes. An empty
+table gives no rows.
 """
 
 import hashlib

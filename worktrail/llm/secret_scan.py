@@ -16,7 +16,7 @@ anywhere in it. Compressed data is also looked for in the bytes of percent and
 overlapping parts, so no layer is cut short and memory stays bounded.
 
 Null is the empty text. Each row is judged by its own text; other columns, ties
-and repeated rows play no part.
+and repeated rows play no part. An empty table gives no rows.
 """
 
 import base64

@@ -1,4 +1,8 @@
-"""A character tagger in numpy: bidirectional LSTM with CRF transitions."""
+"""A character tagger in numpy: bidirectional LSTM with CRF transitions.
+
+It knows arrays of characters only; ``pii`` cuts texts of any length into windows and
+deals with nulls. Of paths with equal scores the one of the smaller label stays.
+"""
 
 import numpy as np
 

@@ -12,7 +12,8 @@ through the join, where no key can hold more than ``1/HOT`` of the rows.
 
 Null counts as the empty text (0 tokens). Rows are told apart by id and text,
 and equal rows are counted and given back as often as they came, so repeated
-ids, null ids and exact copies keep their rows. Other columns are not read.
+ids, null ids and exact copies keep their rows. Other columns are not read. Texts of any
+length are counted whole; ties play no part. An empty table gives no rows.
 """
 
 import functools

@@ -8,7 +8,8 @@ URLs that pass are joined to the list by hash, which removes false hits; one
 frequent URL's rows are split by Spark's skewed-join handling.
 
 A null URL, or one without ``://``, has an empty host and path, fits no rule and
-is on no list. An empty list blocks nothing. Repeated rows keep their rows.
+is on no list. An empty list blocks nothing. Repeated rows keep their rows. URLs of any
+length are read whole. An empty table gives no rows.
 """
 
 from pyspark.sql import functions as F
