@@ -7,7 +7,9 @@ but the last return the columns of their input.
 A document is dropped only by the first two stages: when it fails the quality
 rules or is left depleted by them, or when a document with a smaller id stays
 for its group of near duplicates (five-word shingles, Jaccard 0.8 or more).
-Null texts fail the quality rules. Repeated and null ids are told apart by row.
+Null texts fail the quality rules. Repeated and null ids are told apart by row. Texts
+of any length are read whole; columns of any name pass through. An empty table gives no
+rows.
 SQL cannot express the tagger or the tokenizer, so there is no oracle SQL; the
 stages are tested against brute force. Stages bound the rows of an Arrow batch in
 the session, as a worker runs one stage's code after another's.
