@@ -105,14 +105,51 @@ def test_matrix_finds_what_groups_miss(spark, monkeypatch):
     assert got == sorted(slow_link(rows, 3, 90, 100))
 
 
-def test_open_blocks():
+def test_open_blocks(monkeypatch):
+    """Edges connect just what all pairs connect; members of one core aren't compared."""
     r = random.Random(4)
-    sets = [(i, np.array(sorted(r.sample(range(60), 40)), np.uint64).tobytes()) for i in range(30)]
+    sets = [(i // 2, np.array(sorted(r.sample(range(60), r.choice([3, 40]))), np.uint64).tobytes())
+            for i in range(40)]
     for num in (50, 60, 70, 80):
-        pairs = {(a, b) for a, x in sets[:15] for b, y in sets[15:]
-                 if 100 * (o := jaccard.overlap(x, y)) >= num * (80 - o)}
-        found = jaccard.open_blocks(sets[:15], sets[15:], num, 100)
-        assert (found in pairs) if pairs else found is None
+        for mine, theirs in ((sets[:15], sets[15:]), (sets, sets)):
+            pairs = [(a, b) for a, x in mine for b, y in theirs if a != b and
+                     100 * (o := jaccard.overlap(x, y)) >= num * ((len(x) + len(y)) // 8 - o)]
+            for chunk in (7, 4096):
+                monkeypatch.setattr(jaccard, "CHUNK", chunk)
+                found = jaccard.open_blocks(mine, theirs, num, 100)
+                assert set(found) <= set(pairs)
+                assert roots(found) == roots(pairs)
+                assert len(found) == len(roots(pairs)) - len(set(roots(pairs).values()))
+
+
+def family(seed, n=60):
+    """Texts of one family, most of which miss the threshold, and cores of near copies among them."""
+    r = random.Random(seed)
+    base = [f"{r.choice('abcdefgh')}{r.randrange(1000)}" for _ in range(120)]
+    out = []
+    for i in range(n):
+        text = list(base)
+        for _ in range(r.choice([3, 6, 9])):
+            text[r.randrange(len(text))] = f"x{r.randrange(10**6)}"
+        out.append(text[:r.choice([120, 110, 95])])
+        for j in range(12 if i % 20 == 0 else r.randrange(2)):
+            copy = list(out[-1])
+            copy[r.randrange(len(copy))] = f"y{j}"
+            out.append(copy)
+    return [" ".join(x) for x in out]
+
+
+@pytest.mark.parametrize("size", [(256, 1 << 20), (4, 4000)])
+def test_a_family_below_the_threshold(spark, monkeypatch, size):
+    """One group of many cores: blocks of several, large cores and neighbouring size classes."""
+    monkeypatch.setattr(jaccard, "BLOCK", size[0])
+    monkeypatch.setattr(jaccard, "BLOCK_BYTES", size[1])
+    rows = list(enumerate(family(1)))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.link(df).collect())
+    want = sorted(slow_link(rows, 3, 90, 100))
+    assert 5 < len({x for _, _, x in want}) < len(rows) - 20
+    assert got == want
 
 
 def test_jaccard_edges(spark):

@@ -4,8 +4,8 @@ Texts with the same shingle set form a class. What follows works on classes.
 
 1. Grouping. Classes that agree in two minhashes at once, in one of three bands,
    are compared with one leader per band bucket: as many comparisons as members.
-   Those that link make up a group of similar documents, all others are groups
-   of one.
+   Those at least half alike hang together in a group of similar documents; all
+   others are groups of one. Those that link make up the cores of a group.
 2. Token-group matrix. Tokens (shingles) have one global order, frequent ones
    last. For any count l, two sets that link have at least l tokens in common
    within the first n - ceil(t n) + l tokens of the larger one and the first
@@ -14,15 +14,19 @@ Texts with the same shingle set form a class. What follows works on classes.
    smaller size, so that a passage which two texts share does not bring them
    together. The matrix has a cell for each such token and group, the union over
    the group's members by size class. Pairs of groups with fewer common cells
-   hold no link.
-3. Qualifying pairs of groups are opened in blocks of members. A document's
-   overlap with a block's token union bounds its overlap with any member, so
-   most are decided there; the rest are compared by their whole sets.
-
-A group that is already connected is never compared within itself, so a large
-group of near copies costs one comparison per member. Every link between
-different groups is found, so components are exact. Only bounded data is
-broadcast: at most HOT frequent tokens, and a filter of fixed size.
+   hold no link. A family of texts that miss the threshold is one group, so its
+   cells are counted once, not once per pair of its texts.
+3. Qualifying pairs of groups, and groups of more than one core, are opened in
+   blocks of members of one size class; only classes whose sizes fit meet. A
+   document's overlap with a block's token union bounds its overlap with any
+   member; what is left is counted as a product of 0/1 matrices, some thousand
+   tokens at a time.
+
+Members of one core are connected already; a core of BLOCK or more has blocks of
+its own, which are never compared with each other. So a large set of near copies
+costs one comparison per member. Every two cores that hold a link are found, so
+components are exact. Only bounded data is broadcast: at most HOT frequent
+tokens, and a filter of fixed size.
 
 Sets and classes are told apart by 64-bit hashes; for ten million documents
 the chance that any two classes clash is about 3 in a million.
@@ -45,12 +49,15 @@ from pyspark.sql import functions as F
 from worktrail.llm import urls
 from worktrail.llm.common import Cache, runs, small_batches, stored
 from worktrail.llm.components import components
+from worktrail.operators.ranking import salted_lookup
 
 SHARE = 0.02  # of the smaller set, to be found in common among the first tokens
 BANDS, ROWS = 3, 2
 HOT = 1 << 20
 FLUSH, REPEATS = 2_000_000, 4  # shingles counted at a time; repeats within them to be reported
-BLOCK = 64
+BLOCK, BLOCK_BYTES = 256, 1 << 20  # sets, and bytes of their tokens, expected in a block
+CHUNK = 4096  # common tokens per matrix product
+SALTS = 8  # tasks over which the members of one group are spread
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _PERM = np.array([0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xFF51AFD7ED558CCD,
                   0xC4CEB9FE1A85EC53, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
@@ -238,19 +245,19 @@ def overlap(a, b):
                               assume_unique=True))
 
 
-def linked_to_leaders(docs, classes, pairs, num, den, k, id_column, text):
-    """The pairs (u, v) of ``pairs`` whose whole sets link.
+def compared_with_leaders(docs, classes, pairs, num, den, k, id_column, text):
+    """``pairs`` (u, v) with ``alike``: 2 where the whole sets link, 1 where half alike, else 0.
 
     A set travels once to each of its leaders, of which it has one per band.
     """
-    @F.arrow_udf("boolean")
-    def linked(a: pa.Array, b: pa.Array) -> pa.Array:
+    @F.arrow_udf("int")
+    def alike(a: pa.Array, b: pa.Array) -> pa.Array:
         out = []
         for x, y in zip(a, b, strict=True):
             x, y = x.as_py(), y.as_py()
             both, total = overlap(x, y), (len(x) + len(y)) // 8
-            out.append(den * both >= num * (total - both))
-        return pa.array(out, pa.bool_())
+            out.append(2 if den * both >= num * (total - both) else int(3 * both >= total))
+        return pa.array(out, pa.int32())
 
     to = (pairs.select(F.col("u").alias("c"), F.col("v").alias("t"))
           .union(pairs.select(F.col("v").alias("c"), F.col("v").alias("t"))).distinct()
@@ -260,7 +267,7 @@ def linked_to_leaders(docs, classes, pairs, num, den, k, id_column, text):
     rows = sets.select("c", F.explode("to").alias("v"), "tokens")
     lead = rows.filter("c = v").select("v", F.col("tokens").alias("b"))
     return (rows.filter("c <> v").select(F.col("c").alias("u"), "v", F.col("tokens").alias("a"))
-            .join(lead, "v").filter(linked(F.col("a"), F.col("b"))).select("u", "v"))
+            .join(lead, "v").select("u", "v", alike(F.col("a"), F.col("b")).alias("alike")))
 
 
 def leaders(classes):
@@ -296,73 +303,150 @@ def common_cells(cells):
 
 
 def qualifying(common, num, den):
-    """(g, h): pairs of groups, g < h, with as many common cells of fitting size as a link needs."""
+    """(g, own, h, size): size classes of two groups with as many common cells as a link needs.
+
+    ``own`` is ``size`` or the next smaller class; of equal ones g < h.
+    """
     smaller = common.filter("short").select("token", "g", F.col("size").alias("own"), F.explode(
         F.array(F.col("size"), F.col("size") + 1)).alias("size"))
     larger = common.select("token", F.col("g").alias("h"), "size")
     least = F.exp(F.col("own") * size_step(num, den)) * (1 - 1e-9)  # size of the class's sets
+    swap = (F.col("own") == F.col("size")) & (F.col("g") > F.col("h"))
     return (smaller.join(larger, ["token", "size"]).filter("g <> h")
-            .groupBy("g", "h", "own").agg(F.count("*").alias("cells"))
+            .groupBy("g", "own", "h", "size").agg(F.count("*").alias("cells"))
             .filter(F.col("cells") >= 2 + F.floor(least * SHARE))
-            .select(F.least("g", "h").alias("g"), F.greatest("g", "h").alias("h")).distinct())
+            .select(F.when(swap, F.col("h")).otherwise(F.col("g")).alias("g"), "own",
+                    F.when(swap, F.col("g")).otherwise(F.col("h")).alias("h"), "size").distinct())
+
+
+def placed(classes, groups, cores, num, den):
+    """(c, id, n, g, r, size, kin): each class's group, core and size class.
+
+    ``kin`` is the core where it has BLOCK classes or more, else 0.
+    """
+    large = (cores.groupBy(F.col("root").alias("r")).agg(F.count("*").alias("many"))
+             .filter(F.col("many") >= BLOCK))
+    own = (classes.select("c", "id", "n")
+           .join(groups.select(F.col("u").alias("c"), F.col("root").alias("g")), "c", "left")
+           .join(cores.select(F.col("u").alias("c"), F.col("root").alias("r")), "c", "left")
+           .select("c", "id", "n", F.coalesce("g", "c").alias("g"), F.coalesce("r", "c").alias("r"),
+                   size_class(F.col("n"), num, den).alias("size")))
+    return salted_lookup(own, large, ["r"], ["c"], "left", SALTS).select(
+        "c", "id", "n", "g", "r", "size",
+        F.when(F.col("many").isNotNull(), F.col("r")).otherwise(F.lit(0)).alias("kin"))
+
+
+def within(places):
+    """(g, own, h, size) with h = g: size classes of one group that hold more than one core."""
+    each = places.groupBy("g", "size").agg(F.min("r").alias("lo"), F.max("r").alias("hi"))
+    # A group has as many rows here as size classes: about 100 at most.
+    next_one = F.lead(F.struct("size", "lo", "hi")).over(Window.partitionBy("g").orderBy("size"))
+    each = each.withColumn("b", next_one)
+    alone = each.filter("lo <> hi").select("g", F.col("size").alias("own"), F.col("g").alias("h"),
+                                           "size")
+    two = each.filter("b.size = size + 1 and least(lo, b.lo) <> greatest(hi, b.hi)").select(
+        "g", F.col("size").alias("own"), F.col("g").alias("h"), F.col("b.size").alias("size"))
+    return alone.unionByName(two)
+
+
+def overlaps(mine, theirs, num, den):
+    """How many tokens each two of the sets share, 0 where a union's bound rules out a link."""
+    common = np.intersect1d(np.concatenate(mine), np.concatenate(theirs))
+    out = np.zeros((len(mine), len(theirs)), np.int64)
+
+    def found(sets):
+        tokens, sizes = np.concatenate(sets), np.array([len(x) for x in sets])
+        own = np.repeat(np.arange(len(sets)), sizes)
+        at = np.searchsorted(common, tokens)
+        at[at == len(common)] = 0
+        near = common[at] == tokens
+        near &= (den * np.bincount(own[near], minlength=len(sets)) >= num * sizes)[own]
+        at, own = at[near], own[near]
+        order = np.argsort(at, kind="stable")
+        return at[order], own[order]
+
+    if not len(common):
+        return out
+    (at, a), (to, b) = found(mine), found(theirs)
+    if not len(at) or not len(to):
+        return out
+    for start in range(0, len(common), CHUNK):
+        x, y = (np.searchsorted(v, [start, start + CHUNK]) for v in (at, to))
+        left = np.zeros((len(mine), CHUNK), np.float32)
+        right = np.zeros((len(theirs), CHUNK), np.float32)
+        left[a[x[0]:x[1]], at[x[0]:x[1]] - start] = 1
+        right[b[y[0]:y[1]], to[y[0]:y[1]] - start] = 1
+        out += (left @ right.T).astype(np.int64)
+    return out
 
 
 def open_blocks(mine, theirs, num, den):
-    """An edge between two blocks of sets, None if no two of their sets link.
+    """Edges between cores of two blocks, enough to connect all that hold a link.
 
-    ``mine`` and ``theirs`` are lists of (class, tokens).
+    ``mine`` and ``theirs`` are lists of (core, tokens).
     """
-    sets = [(c, np.frombuffer(t, np.uint64)) for c, t in theirs]
-    union = np.unique(np.concatenate([t for _, t in sets]))
-    for c, tokens in mine:
-        own = np.frombuffer(c_tokens := tokens, np.uint64)
-        near = np.intersect1d(own, union, assume_unique=True)
-        if den * len(near) < num * len(own):
-            continue
-        for d, other in sets:
-            total = len(own) + len(other)
-            if den * min(len(own), len(other)) < num * max(len(own), len(other)):
-                continue
-            both = overlap(c_tokens, other.tobytes())
-            if den * both >= num * (total - both):
-                return c, d
-    return None
-
-
-def opened(docs, pairs, members, num, den, k, id_column, text):
-    """Edges (u, v) between the groups of each pair: one per two blocks that hold a link.
-
-    ``members`` has (c, id, g). A group is dealt into blocks of about BLOCK sets,
-    and each two blocks of a pair of groups are compared on their own.
+    (r, a), (s, b) = ((np.array([c for c, _ in z], np.int64),
+                       [np.frombuffer(t, np.uint64) for _, t in z]) for z in (mine, theirs))
+    both = overlaps(a, b, num, den)
+    total = np.add.outer([len(x) for x in a], [len(x) for x in b])
+    i, j = np.nonzero((den * both >= num * (total - both)) & (r[:, None] != s[None, :]))
+    up, edges = {}, []
+
+    def top(x):
+        while (y := up.setdefault(x, x)) != x:
+            up[x] = x = up[y]
+        return x
+
+    for u, v in set(zip(r[i].tolist(), s[j].tolist(), strict=True)):
+        x, y = top(u), top(v)
+        if x != y:
+            up[x] = y
+            edges.append((u, v))
+    return edges
+
+
+def opened(docs, near, places, num, den, k, id_column, text):
+    """Edges (u, v) between cores that hold a link, of the size classes in ``near``.
+
+    The members of a group, size class and large core are dealt into blocks, and
+    each two blocks that may hold a link of two cores are compared on their own.
     """
-    blocks = members.groupBy("g").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
-    wanted = (members.join(blocks, "g")
-              .select("c", "id", "g", F.pmod(F.xxhash64("c"), "blocks").alias("block")))
-    held = (whole_sets(docs, wanted, k, id_column, text).groupBy("g", "block")
-            .agg(F.collect_list(F.struct("c", "tokens")).alias("sets")))
-
-    @F.arrow_udf("struct<u:bigint,v:bigint>")
-    def edge(a: pa.Array, b: pa.Array) -> pa.Array:
+    box, keys = ["g", "size", "kin"], ["g", "size"]
+    open_ids = near.select("g", F.col("own").alias("size")).union(near.select("h", "size")).distinct()
+    members = stored(salted_lookup(places, open_ids, keys, ["c"], "left_semi", SALTS), "members")
+    boxes = members.groupBy(*box).agg(F.ceil(F.greatest(
+        F.count("*") / BLOCK, F.sum("n") * 8 / BLOCK_BYTES)).alias("blocks"))
+    wanted = (salted_lookup(members, boxes, box, ["c"], "inner", SALTS)
+              .select("c", "id", "r", *box, F.pmod(F.xxhash64("c"), "blocks").alias("block")))
+    held = (whole_sets(docs, wanted, k, id_column, text).groupBy(*box, "block")
+            .agg(F.collect_list(F.struct("r", "tokens")).alias("sets")))
+
+    @F.arrow_udf("array<struct<u:bigint,v:bigint>>")
+    def edges(a: pa.Array, b: pa.Array) -> pa.Array:
         out = []
         for x, y in zip(a, b, strict=True):
-            found = open_blocks(*([(r["c"], r["tokens"]) for r in z.as_py()] for z in (x, y)),
+            found = open_blocks(*([(q["r"], q["tokens"]) for q in z.as_py()] for z in (x, y)),
                                 num, den)
-            out.append(found and {"u": found[0], "v": found[1]})
-        return pa.array(out, pa.struct([("u", pa.int64()), ("v", pa.int64())]))
+            out.append([{"u": u, "v": v} for u, v in found])
+        return pa.array(out, pa.list_(pa.struct([("u", pa.int64()), ("v", pa.int64())])))
 
     def numbers(n):
         return F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
 
-    other = blocks.withColumnRenamed("g", "h").withColumnRenamed("blocks", "others")
-    two = (pairs.join(blocks, "g").join(other, "h")
-           .select("g", "h", "others", numbers("blocks").alias("block"))
-           .select("g", "block", "h", numbers("others").alias("other")))
-    right = held.select(F.col("g").alias("h"), F.col("block").alias("other"),
-                        F.col("sets").alias("b"))
-    return (two.join(held.withColumnRenamed("sets", "a"), ["g", "block"])
-            .select("h", "other", "a").join(right, ["h", "other"])
-            .select(edge(F.col("a"), F.col("b")).alias("e"))
-            .filter("e is not null").select("e.*"))
+    ours = boxes.withColumnRenamed("size", "own")
+    other = boxes.select(F.col("g").alias("h"), "size", F.col("kin").alias("kind"),
+                         F.col("blocks").alias("others"))
+    two = (near.join(ours, ["g", "own"]).join(other, ["h", "size"])
+           .filter("g <> h or kin <> kind or kin = 0")
+           .select("g", "own", "kin", "h", "size", "kind", "others", numbers("blocks").alias("block"))
+           .select("g", "own", "kin", "block", "h", "size", "kind", numbers("others").alias("other"))
+           .filter("g <> h or own <> size or kin < kind or (kin = kind and block <= other)"))
+    left = held.withColumnRenamed("size", "own").withColumnRenamed("sets", "a")
+    right = held.select(F.col("g").alias("h"), "size", F.col("kin").alias("kind"),
+                        F.col("block").alias("other"), F.col("sets").alias("b"))
+    return (two.join(left, ["g", "own", "kin", "block"])
+            .select("h", "size", "kind", "other", "a").join(right, ["h", "size", "kind", "other"])
+            .select(F.explode(edges(F.col("a"), F.col("b"))).alias("e")).select("e.*"))
 
 
 def link(docs, k=3, num=90, den=100, id_column="doc_id", text="text"):
@@ -378,31 +462,29 @@ def link(docs, k=3, num=90, den=100, id_column="doc_id", text="text"):
         F.min("id").alias("id"), F.first("n").alias("n"), F.first("bands").alias("bands"),
         F.count("*").alias("copies")), "classes")
 
-    # 1. Groups of similar documents around leaders.
+    # 1. Groups of similar documents around leaders, and their cores of linked ones.
     least = -(-num // (den - num))
-    pairs = stored(leaders(classes.filter(F.col("n") >= least)), "pairs")
-    groups = stored(components(linked_to_leaders(
-        docs, classes, pairs, num, den, k, id_column, text)), "groups")
+    able = classes.filter(F.col("n") >= least)
+    pairs = stored(leaders(able), "pairs")
+    compared = stored(compared_with_leaders(
+        docs, classes, pairs, num, den, k, id_column, text), "compared")
+    cores = stored(components(compared.filter("alike = 2")), "cores")
+    groups = stored(components(compared.filter("alike > 0")), "groups")
+    places = stored(placed(able, groups, cores, num, den), "places")
 
     # 2. The matrix of tokens and groups.
     first = prefixes(docs, k, num, den, hot_tokens(rows), text).dropDuplicates(["c"])
-    grouped = first.join(groups.withColumnRenamed("u", "c"), "c", "left")
-    cells = (grouped.select(F.coalesce("root", "c").alias("g"),
-                            size_class(F.col("n"), num, den).alias("size"),
-                            "short", F.posexplode("tokens").alias("at", "token"))
+    cells = (first.join(places.select("c", "g", "size"), "c")
+             .select("g", "size", "short", F.posexplode("tokens").alias("at", "token"))
              .withColumn("short", F.col("at") < F.col("short")).drop("at"))
-    near = stored(qualifying(stored(common_cells(cells), "cells"), num, den), "near")
+    near = qualifying(stored(common_cells(cells), "cells"), num, den)
+    near = stored(near.unionByName(within(places)), "near")
 
     # 3. Open what qualifies.
-    open_ids = near.select("g").union(near.select(F.col("h").alias("g"))).distinct()
-    members = (classes.select("c", "id").join(groups.withColumnRenamed("u", "c"), "c", "left")
-               .select("c", "id", F.coalesce("root", "c").alias("g"))
-               .join(open_ids, "g", "left_semi"))
-    members = stored(members, "members")
-    edges = stored(opened(docs, near, members, num, den, k, id_column, text), "links")
+    edges = stored(opened(docs, near, places, num, den, k, id_column, text), "links")
 
     # Components of all links, and the smallest id in each.
-    every = (groups.select("u", F.col("root").alias("v")).filter("u <> v")
+    every = (cores.select("u", F.col("root").alias("v")).filter("u <> v")
              .unionByName(edges.select("u", "v")))
     roots = components(every).withColumnRenamed("u", "c")
     of = (classes.select("c", "id").join(roots, "c", "left")
