@@ -7,7 +7,8 @@ Texts with the same shingle set form a class. What follows works on classes.
    Those at least half alike hang together in a group of similar documents; all
    others are groups of one. Those that link make up the cores of a group.
 2. Token-group matrix. Tokens (shingles) have one global order, frequent ones
-   last. For any count l, two sets that link have at least l tokens in common
+   last: those counted as frequent, and those whose words are, as the product of
+   their words' shares tells how often they meet by chance. For any count l, two sets that link have at least l tokens in common
    within the first n - ceil(t n) + l tokens of the larger one and the first
    m - ceil(2 t m / (1 + t)) + l tokens of the smaller one: otherwise too many
    tokens would have come before the common ones. l is 2 and SHARE of the
@@ -26,7 +27,7 @@ Members of one core are connected already; a core of BLOCK or more has blocks of
 its own, which are never compared with each other. So a large set of near copies
 costs one comparison per member. Every two cores that hold a link are found, so
 components are exact. Only bounded data is broadcast: at most HOT frequent
-tokens, and a filter of fixed size.
+tokens and WORDS frequent words, and a filter of fixed size.
 
 Sets and classes are told apart by 64-bit hashes; for ten million documents
 the chance that any two classes clash is about 3 in a million.
@@ -53,7 +54,8 @@ from worktrail.operators.ranking import salted_lookup
 
 SHARE = 0.02  # of the smaller set, to be found in common among the first tokens
 BANDS, ROWS = 3, 2
-HOT = 1 << 20
+HOT, WORDS = 1 << 20, 1 << 18  # frequent tokens and words at most: those with as great a share
+FAINT = 8  # tokens expected 2 ** -FAINT times or less are all equally rare
 FLUSH, REPEATS = 2_000_000, 4  # shingles counted at a time; repeats within them to be reported
 BLOCK, BLOCK_BYTES = 256, 1 << 20  # sets, and bytes of their tokens, expected in a block
 CHUNK = 4096  # common tokens per matrix product
@@ -68,18 +70,47 @@ def mixed(x):
     return x ^ (x >> np.uint64(29))
 
 
-def shingles(text, k):
-    """Sorted distinct hashes of a text's k-word shingles (A-Z in lower case)."""
+def word_hashes(text):
     words = (text or "").encode().lower().split()
-    n = len(words)
+    return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+
+
+def windows(w, k):
+    """Hashes of all k-word shingles of the words ``w``, of all words where these are fewer."""
+    n, size = len(w), min(k, len(w))
     if not n:
-        return np.zeros(0, np.uint64)
-    w = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, n)
-    size = min(k, n)
+        return w
     x = w[:n - size + 1] + np.uint64(size)
     for j in range(1, size):
         x = mixed(x) * _M1 + w[j:n - size + 1 + j]
-    return np.unique(mixed(x))
+    return mixed(x)
+
+
+def shingles(text, k):
+    """Sorted distinct hashes of a text's k-word shingles (A-Z in lower case)."""
+    return np.unique(windows(word_hashes(text), k))
+
+
+def found_in(table, keys):
+    """Places of ``keys`` in the sorted ``table``, and which of them are in it."""
+    if not len(table):
+        return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+    at = np.minimum(np.searchsorted(table, keys), len(table) - 1)
+    return at, table[at] == keys
+
+
+def rated_shingles(text, k, words, share):
+    """``shingles`` and for each the logarithm (base 2) of the product of its words' shares."""
+    w = word_hashes(text)
+    tokens, first = np.unique(windows(w, k), return_index=True)
+    at, known = found_in(words, w)
+    each = np.full(len(w), -np.log2(2.0 * WORDS))
+    each[known] = share[at[known]]
+    size = min(k, len(w))
+    total = np.zeros(len(w) - size + 1)
+    for j in range(size):
+        total += each[j:len(w) - size + 1 + j]
+    return tokens, total[first]
 
 
 def class_id(tokens):
@@ -98,64 +129,81 @@ def _signed(x):
 
 
 def outline(docs, k, id_column, text):
-    """Stored: per document id, n, c (class) and bands; and repeated tokens with their counts.
+    """Stored: per document id, n, c (class) and bands; and repeated tokens and words with counts.
 
-    Rows of the second sort have n null, the token in c and its count in ``count``.
+    Rows of the second sort have n null, the token or word in c, its count in ``count``
+    and in ``word`` which of them it is.
     """
     id_type = docs.select(id_column).schema[0].dataType.simpleString()
-    names = ["id", "n", "c", "bands", "count"]
+    names = ["id", "n", "c", "bands", "count", "word"]
 
-    def out(kinds, ids, n, c, b, count):
+    def out(kinds, ids, n, c, b, count, word):
         return pa.RecordBatch.from_arrays([
             pa.array(ids, kinds), pa.array(n, pa.int64()), pa.array(c, pa.int64()),
-            pa.array(b, pa.list_(pa.int64())), pa.array(count, pa.int64())], names)
+            pa.array(b, pa.list_(pa.int64())), pa.array(count, pa.int64()),
+            pa.array(word, pa.bool_())], names)
 
-    def repeats(kinds, held):
+    def repeats(kinds, held, word):
         held.sort()
         first = np.flatnonzero(np.r_[True, held[1:] != held[:-1]])
         count = np.diff(np.r_[first, len(held)])
         tokens, count = held[first[count >= REPEATS]], count[count >= REPEATS]
         none = [None] * len(tokens)
-        return out(kinds, none, none, _signed(tokens), none, count)
+        return out(kinds, none, none, _signed(tokens), none, count, [word] * len(tokens))
 
     def run(batches):
         Cache.release()
-        held, size, kinds = np.empty(FLUSH, np.uint64), 0, None
+        # What is counted: tokens and words, each with room for FLUSH of them.
+        held, sizes, kinds = (np.empty(FLUSH, np.uint64), np.empty(FLUSH, np.uint64)), [0, 0], None
         for batch in batches:
             kinds = batch.column(0).type
             rows = []
             for x in (x for xs in runs(batch.column(1)) for x in xs):
-                tokens = shingles(x, k)
+                words = word_hashes(x)
+                tokens = np.unique(windows(words, k))
                 if len(tokens):
                     rows.append((len(tokens), class_id(tokens), bands(tokens)))
                 else:
                     rows.append((0, None, None))
-                while len(tokens):
-                    part, tokens = tokens[:FLUSH - size], tokens[FLUSH - size:]
-                    held[size:size + len(part)] = part
-                    size += len(part)
-                    if size == FLUSH:
-                        yield repeats(kinds, held)
-                        size = 0
+                for i, new in enumerate((tokens, words)):
+                    while len(new):
+                        part, new = new[:FLUSH - sizes[i]], new[FLUSH - sizes[i]:]
+                        held[i][sizes[i]:sizes[i] + len(part)] = part
+                        sizes[i] += len(part)
+                        if sizes[i] == FLUSH:
+                            yield repeats(kinds, held[i], i == 1)
+                            sizes[i] = 0
             if rows:
                 n, c, b = zip(*rows, strict=True)
-                yield out(kinds, batch.column(0), n, c, b, [None] * len(n))
-        if size:
-            yield repeats(kinds, held[:size])
+                none = [None] * len(n)
+                yield out(kinds, batch.column(0), n, c, b, none, none)
+        for i, size in enumerate(sizes):
+            if size:
+                yield repeats(kinds, held[i][:size], i == 1)
 
     return stored(docs.select(id_column, text).mapInArrow(
-        run, f"id {id_type}, n bigint, c bigint, bands array<bigint>, count bigint"), "outline")
+        run, f"id {id_type}, n bigint, c bigint, bands array<bigint>, count bigint, word boolean"),
+        "outline")
+
+
+def frequent(rows, total, most, word):
+    """Sorted tokens or words with 1 / ``most`` of ``total`` or more, and the log2 of their counts.
+
+    The ``most`` most frequent are enough: they only set the order of tokens.
+    """
+    found = (rows.filter(F.col("word") == word).groupBy("c").agg(F.sum("count").alias("count"))
+             .filter(F.col("count") * most >= F.lit(total))
+             .orderBy(F.desc("count"), "c").limit(most).toPandas())
+    keys = found["c"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(keys)
+    return keys[order], np.log2(found["count"].to_numpy(np.int64)[order].astype(float))
 
 
-def hot_tokens(rows):
-    """Frequent tokens and the class of their frequency: HOT entries at most."""
-    total = rows.agg(F.sum("n")).first()[0] or 0
-    found = (rows.filter("count is not null").groupBy("c").agg(F.sum("count").alias("count"))
-             .filter(F.col("count") * HOT >= F.lit(total)).toPandas())
-    order = np.argsort(found["c"].to_numpy(np.int64).view(np.uint64))
-    tokens = found["c"].to_numpy(np.int64).view(np.uint64)[order]
-    level = np.minimum(np.log2(np.maximum(found["count"].to_numpy(np.int64)[order], 1)), 30)
-    return tokens, level.astype(np.uint64) + np.uint64(1)
+def rarity(rows):
+    """What orders tokens: frequent ones, frequent words' shares, log2 of the number of tokens."""
+    total = max(rows.agg(F.sum("n")).first()[0] or 0, 1)
+    words, count = frequent(rows, total, WORDS, True)
+    return *frequent(rows, total, HOT, False), words, np.minimum(count - np.log2(total), 0), np.log2(total)
 
 
 def needed(n):
@@ -179,17 +227,21 @@ def prefixes(docs, k, num, den, hot, text):
 
     def run(batches):
         Cache.release()
-        tokens_, level = shared.value
+        hot_, count, words, share, total = shared.value
         for batch in batches:
             for texts in runs(batch.column(0)):
-                sets = [s for x in texts if len(s := shingles(x, k)) >= least]
-                if not sets:
+                rated = [r for x in texts
+                         if len((r := rated_shingles(x, k, words, share))[0]) >= least]
+                if not rated:
                     continue
+                sets = [s for s, _ in rated]
                 whole = np.concatenate(sets)
-                order = mixed(whole * _M1) >> np.uint64(5)
-                if len(tokens_):
-                    at = np.minimum(np.searchsorted(tokens_, whole), len(tokens_) - 1)
-                    order |= np.where(tokens_[at] == whole, level[at], np.uint64(0)) << np.uint64(59)
+                # The greater of the number expected by chance and the number counted.
+                level = np.concatenate([e for _, e in rated]) + total
+                at, known = found_in(hot_, whole)
+                level[known] = np.maximum(level[known], count[at[known]])
+                level = np.clip(level + FAINT, 0, 31).astype(np.uint64)
+                order = (mixed(whole * _M1) >> np.uint64(5)) | (level << np.uint64(59))
                 out, end = [], 0
                 for s in sets:
                     own = order[end:end + len(s)]
@@ -473,7 +525,7 @@ def link(docs, k=3, num=90, den=100, id_column="doc_id", text="text"):
     places = stored(placed(able, groups, cores, num, den), "places")
 
     # 2. The matrix of tokens and groups.
-    first = prefixes(docs, k, num, den, hot_tokens(rows), text).dropDuplicates(["c"])
+    first = prefixes(docs, k, num, den, rarity(rows), text).dropDuplicates(["c"])
     cells = (first.join(places.select("c", "g", "size"), "c")
              .select("g", "size", "short", F.posexplode("tokens").alias("at", "token"))
              .withColumn("short", F.col("at") < F.col("short")).drop("at"))
