@@ -7,8 +7,9 @@ order of their weight, so a block's best possible score lies near its real ones
 top-k query reads only blocks that can still reach the k-th score. Documents carry
 their event's date and time, so a hit is fetched from its own day and row groups.
 
-Writers are dealt by measured size, and a term found in every document is cut by
-ranges of numbers before its blocks are made, so it is spread over tasks. Removed
+Blocks are made by the task that numbers their documents, so postings aren't shuffled;
+tasks are as many as the size of the texts asks for, so a term found in every document
+is spread over them. Merging deals blocks, not postings. Removed
 documents are listed by number, with the document counts their terms lose. Segments
 are merged by levels; a merge leaves removed documents out.
 """
@@ -33,9 +34,14 @@ SEGMENT_BITS, TASK_BITS = 40, 24
 #: Up to so many postings are scored at once; beyond, blocks are pruned first.
 SCORED_AT_ONCE = 65_536
 FIRST_BLOCKS = 64
-#: A segment of so few tokens is one sorted table; a larger one is partitioned by bucket.
+#: A segment of so few tokens is one sorted table. Of a larger one each task that numbers
+#: documents writes a sorted table, and merging partitions it by bucket.
 FLAT_TOKENS = 2_000_000
+#: A merge opens the blocks of about so many tokens in one task, at least a bucket's.
+SHARE_TOKENS = 4_000_000
 KNOWN_TERMS = 10_000
+#: Texts of so many bytes are numbered and cut into blocks by one task.
+TASK_BYTES = 32_000_000
 #: Stemmed words are short (the stemmer leaves long ones alone), so this many are a few MB.
 BROADCAST_STEMS = 200_000
 
@@ -51,33 +57,55 @@ def weight(tf, n_tokens, avg):
     return tf * (X.K1 + 1) / (tf + X.K1 * (1 - X.B + X.B * n_tokens / avg))
 
 
-def numbered_docs(docs, number, columns):
-    """``columns`` of each document with its number, ``doc``; numbers rise with id within a task.
+def tasks_for(docs):
+    """Tasks that number ``docs``, by the size of their texts; at least the session's."""
+    size = docs.agg(F.sum(sum(F.coalesce(F.octet_length(c), F.lit(0)) for c in X.COLUMNS))).first()[0]
+    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), (size or 0) // TASK_BYTES)
+
+
+def numbered_docs(docs, number, columns, tasks):
+    """``columns`` of each document with its number, ``doc``, and the ``task`` that gives it.
 
     Documents are dealt by a hash of the id and sorted by it, so the numbers are the
-    same whenever and for whichever columns they are made. The partition count is
-    explicit: texts grow when split into words, so their size tells too little.
+    same whenever and for whichever columns they are made, and rise with id within a
+    task. The plan knows that a task holds all of its documents.
     """
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = docs.select("id", *columns).repartition(parts, "id").sortWithinPartitions("id")
-    at = F.monotonically_increasing_id()
-    task, place = F.shiftright(at, 33), at.bitwiseAND(F.lit((1 << 33) - 1))
-    doc = F.lit(number << SEGMENT_BITS) + F.shiftleft(task, TASK_BITS) + place
-    return ordered.select(doc.alias("doc"), "id", *columns)
+    dealt = docs.select("id", *columns, F.pmod(F.xxhash64("id"), F.lit(tasks)).cast("int").alias("task"))
+    ordered = dealt.repartitionById(tasks, "task").sortWithinPartitions("id")
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    doc = F.lit(number << SEGMENT_BITS) + F.shiftleft(F.col("task").cast("bigint"), TASK_BITS) + place
+    return ordered.select(doc.alias("doc"), "id", *columns, "task")
+
+
+def n_tokens():
+    return sum((F.size(X.written_tokens(F.col(c))) for c in X.COLUMNS[1:]),
+               F.size(X.written_tokens(F.col(X.COLUMNS[0]))))
 
 
 def document_words(texts):
-    """(doc, n_tokens, word, spots): places of a word in a document, as 2 * place + column."""
-    split = texts.select("doc", *[X.tokens(F.col(c)).alias(c) for c in X.COLUMNS])
+    """(doc, n_tokens, word, spots): places of a word in a document, as 2 * place + column.
+
+    A document's words are grouped within its row: sorted, and cut where a new word
+    begins. Each step is its own projection, so no array is built more than once.
+    """
+    kept = ["doc", *(c for c in texts.columns if c == "task")]
+    split = texts.select(*kept, *[X.tokens(F.col(c)).alias(c) for c in X.COLUMNS])
     total = sum((F.size(c) for c in X.COLUMNS[1:]), F.size(X.COLUMNS[0]))
 
     def placed(number, name):
         return F.transform(name, lambda t, i: F.struct(
             t.alias("word"), (2 * i + number).alias("spot")))
 
-    spots = F.concat(*[placed(n, c) for n, c in enumerate(X.COLUMNS)])
-    return (split.select("doc", total.alias("n_tokens"), F.inline(spots))
-            .groupBy("doc", "n_tokens", "word").agg(F.collect_list("spot").alias("spots")))
+    spots = F.array_sort(F.concat(*[placed(n, c) for n, c in enumerate(X.COLUMNS)]))
+    rows = split.select(*kept, total.alias("n_tokens"), spots.alias("places"))
+    begins = F.transform("places", lambda p, i: F.when(
+        (i == 0) | (p["word"] != F.get("places", i - 1)["word"]), i))
+    rows = rows.withColumn("begins", F.filter(begins, lambda i: i.isNotNull()))
+    words = F.transform("begins", lambda at, i: F.struct(
+        F.get("places", at)["word"].alias("word"),
+        F.transform(F.slice("places", at + 1, F.coalesce(F.get("begins", i + 1), F.size("places")) - at),
+                    lambda p: p["spot"]).alias("spots")))
+    return rows.select(*kept, "n_tokens", F.inline(words))
 
 
 def changed_words(words):
@@ -87,21 +115,29 @@ def changed_words(words):
 
 
 def with_terms(words, stems, n_stems):
-    """(doc, n_tokens, term, spots). Words of one stem stay apart until blocks are made."""
+    """``words`` with their ``term`` for ``word``. Words of one stem are rows apart."""
     if n_stems <= BROADCAST_STEMS:
         stems = F.broadcast(stems)
+    kept = [c for c in words.columns if c not in ("word", "spots")]
     return words.join(stems, "word", "left").select(
-        "doc", "n_tokens", F.coalesce("stem", "word").alias("term"), "spots")
+        *kept, F.coalesce("stem", "word").alias("term"), "spots")
+
 
+def blocks_of(rows, avg, apart=False):
+    """Blocks from (doc, n_tokens, term, spots); ``apart`` where a term of a document may have many rows.
 
-def blocks_of(rows, avg):
-    """Blocks from (doc, n_tokens, term, spots)."""
+    A block lies within a span. Rows with a ``task`` by which they are dealt already, all
+    rows of a term and span to one, aren't moved.
+    """
     keys = ["term_bucket", "span", "term"]
-    dealt = rows.select(X.term_bucket("term").alias("term_bucket"),
-                        F.shiftright("doc", SPAN_BITS).alias("span"), "term", "doc", "n_tokens", "spots"
-                        ).repartition("term_bucket", "span")
-    whole = dealt.groupBy(*keys, "doc", "n_tokens").agg(F.flatten(F.collect_list("spots")).alias("spots"))
-    whole = whole.withColumn("tf", F.size("spots"))
+    whole = rows.withColumn("term_bucket", X.term_bucket("term")).withColumn("span", F.shiftright("doc", SPAN_BITS))
+    if "task" in rows.columns:
+        keys = ["task", *keys]
+    else:
+        whole = whole.repartition("term_bucket", "span")
+    if apart:
+        whole = whole.groupBy(*keys, "doc", "n_tokens").agg(F.flatten(F.collect_list("spots")).alias("spots"))
+    whole = whole.select(*keys, "doc", "n_tokens", "spots", F.size("spots").alias("tf"))
     tier = F.floor(weight(F.col("tf").cast("double"), F.col("n_tokens"), F.lit(max(float(avg), 1.0)))
                    / (X.K1 + 1) * TIERS)
     place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("tier"), "doc"))
@@ -118,6 +154,15 @@ def blocks_of(rows, avg):
         F.transform("p", lambda x: x["spots"]).alias("spots"), "term_bucket")
 
 
+def dealt_blocks(blocks, n_tokens):
+    """Blocks dealt as they are, with their ``task``: a bucket, or a share of its spans where it is large."""
+    shares = max(1, int(n_tokens) // (X.BUCKETS * SHARE_TOKENS))
+    span = F.shiftright("first", SPAN_BITS)
+    task = F.col("term_bucket") * shares + F.pmod(F.xxhash64(span), F.lit(shares)).cast("int")
+    return (blocks.select("term", "term_bucket", "first", "docs", "tokens", "spots", task.alias("task"))
+            .repartitionById(X.BUCKETS * shares, "task"))
+
+
 def unpacked(blocks, spots=False):
     """One row per posting: term, term_bucket, doc, n_tokens, tf and perhaps spots."""
     columns = ["docs", "tokens", "tfs"] + ["spots"] * spots
@@ -229,19 +274,18 @@ class TextStore:
         live, done = self._known(spark, part)
         if done:
             return
+        tasks = tasks_for(docs)
         if not fresh and live:
             docs = docs.join(self.load(spark).live_docs().select("id"), "id", "left_anti")
         number = self._next(live)
-        dated = docs.withColumn("event_date", times.utc_date(F.col("timestamp")))
-        (numbered_docs(dated, number, ["event_date", "timestamp"])
+        # The lengths are read for the sum only: postings hold them too.
+        dated = docs.withColumn("event_date", times.utc_date(F.col("timestamp"))).withColumn("n_tokens", n_tokens())
+        (numbered_docs(dated, number, ["event_date", "timestamp", "n_tokens"], tasks).drop("task")
          .write.mode("overwrite").parquet(self._path(part, "docs")))
-        numbers = spark.read.schema(DOCS).parquet(self._path(part, "docs"))
-        words = document_words(numbered_docs(docs, number, X.COLUMNS)).persist(StorageLevel.DISK_ONLY)
-        rows = self._terms(words, part, stemmed)
-        held = numbers.count()
-        tokens = _tokens(words)
-        where = self._write_blocks(rows, part, held, tokens)
-        words.unpersist()
+        held, tokens = (spark.read.schema("n_tokens bigint").parquet(self._path(part, "docs"))
+                        .agg(F.count("*"), F.coalesce(F.sum("n_tokens"), F.lit(0))).first())
+        rows = self._terms(document_words(numbered_docs(docs, number, X.COLUMNS, tasks)), part, stemmed)
+        where = self._write_blocks(rows, part, held, tokens, apart=stemmed)
         self.manifest.commit(spark, [Entry("text", part, None, 0, facts(
             number=number, held=held, docs=held, tokens=tokens, **where))])
 
@@ -253,17 +297,22 @@ class TextStore:
         stems = words.sparkSession.read.schema("word string, stem string").parquet(path)
         return with_terms(words, stems, stems.count())
 
-    def _write_blocks(self, rows, part, held, tokens):
-        """Write the blocks; the facts of where they are."""
-        made, flat = blocks_of(rows, tokens / held if held else 1.0), tokens <= FLAT_TOKENS
-        made = made.hint("rebalance") if flat else made.hint("rebalance", "term_bucket")
+    def _write_blocks(self, rows, part, held, tokens, apart=False, by_bucket=False):
+        """Write the blocks; the facts of where they are.
+
+        Few are gathered in few files. Else each task writes its own: one sorted file
+        of all its terms, or ``by_bucket`` if that is how the rows are dealt.
+        """
+        made, parted = blocks_of(rows, tokens / held if held else 1.0, apart), by_bucket and tokens > FLAT_TOKENS
+        if tokens <= FLAT_TOKENS:
+            made = made.hint("rebalance")
         writer = (made.sortWithinPartitions("term_bucket", "term", "first")
                   .write.mode("overwrite").option("compression", "zstd"))
-        if flat:
-            writer.parquet(self._path(part, "flat"))
-        else:
+        if parted:
             writer.partitionBy("term_bucket").parquet(self._path(part, "blocks"))
-        return {"flat": held, "parted": 0} if flat else {"flat": 0, "parted": held}
+        else:
+            writer.parquet(self._path(part, "flat"))
+        return {"flat": 0, "parted": held} if parted else {"flat": held, "parted": 0}
 
     def remove(self, docs, part=None, stemmed=True):
         """Remove ``docs`` (id, label, content as they were indexed)."""
@@ -299,16 +348,20 @@ class TextStore:
         number = self._next(live)
         part = f"merged-{number}"
         all_gone, mine = self._index(spark, live).gone, self._index(spark, old)
-        rows, docs = unpacked(mine.blocks, spots=True), mine.docs
+        rows = dealt_blocks(mine.blocks, mine.n_tokens).select(
+            "term", "task", "first", F.inline(F.arrays_zip("docs", "tokens", "spots")))
+        rows = rows.select("term", "task", (F.col("first") + F.col("docs")).alias("doc"),
+                           F.col("tokens").alias("n_tokens"), "spots")
+        docs = mine.docs
         lost = spark.createDataFrame([], ADJUST)
         if all_gone is not None:
-            lost = (rows.join(all_gone, "doc", "left_semi").groupBy("term").agg(F.count("*").alias("df")))
+            lost = (unpacked(mine.blocks).join(all_gone, "doc", "left_semi").groupBy("term").agg(F.count("*").alias("df")))
             rows, docs = rows.join(all_gone, "doc", "left_anti"), docs.join(all_gone, "doc", "left_anti")
         docs.hint("rebalance").sortWithinPartitions("doc").write.mode("overwrite").parquet(
             self._path(part, "docs"))
         kept = spark.read.schema(DOCS).parquet(self._path(part, "docs"))
         held = kept.count()
-        where = self._write_blocks(rows, part, held, mine.n_tokens)
+        where = self._write_blocks(rows, part, held, mine.n_tokens, by_bucket=True)
         # Removals of documents in other segments go on; counts add up over all segments.
         left = gone = 0
         if mine.gone is not None:
